@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, common, exact_dedup
+from . import bpe, common, exact_dedup, simhash
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -24,13 +24,17 @@ def op5_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(_table(spark, sf_dir, "documents"), tokenizer_path)
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.group_documents(_table(spark, sf_dir, "documents"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = exact_dedup.DigestIndex(spark, common.scratch_path(spark, "digest_index"))
     return exact_dedup.dedup(_table(spark, sf_dir, "documents"), index)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_bpe_tree, op7_exact_dedup)}
+    return {f.__name__: f for f in (op5_bpe_tree, op6_simhash, op7_exact_dedup)}
 
 
 OP7_SQL = """

@@ -1,0 +1,99 @@
+import random
+import re
+
+import numpy as np
+import pytest
+import xxhash
+
+from stratascan.llm import components, simhash
+
+
+def brute_fingerprint(text):
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    words = re.findall(r"[^\x20\x09-\x0D]+", low)
+    shingles = [" ".join(words[k : k + 3]) for k in range(len(words) - 2)] or ([" ".join(words)] if words else [])
+    h = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def brute_components(fps):
+    """fps: list of (doc_id, fp); gives the component id of each row."""
+    root = list(range(len(fps)))
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a in range(len(fps)):
+        for b in range(a):
+            if (fps[a][1] ^ fps[b][1]).bit_count() <= 2:
+                root[find(a)] = find(b)
+    least = {}
+    for k, (i, _) in enumerate(fps):
+        if i is not None:
+            least[find(k)] = min(least.get(find(k), i), i)
+    return [least.get(find(k)) for k in range(len(fps))]
+
+
+def random_fps(n, seed):
+    rng = random.Random(seed)
+    centres = [rng.getrandbits(64) for _ in range(n // 6)] + [0, 2**64 - 1]
+    out = []
+    for _ in range(n):
+        x = rng.choice(centres)
+        for _ in range(rng.choice([0, 0, 1, 1, 2, 3, 5])):
+            x ^= 1 << rng.randrange(64)
+        out.append(x)
+    return out
+
+
+def test_fingerprints():
+    for text in (None, "", " \n", "One", "one TWO", "a b c", "a b c a b c A\tB C é É", "x y z w " * 500):
+        assert simhash.fingerprint(text) == brute_fingerprint(text)
+
+
+@pytest.mark.parametrize("segments", [2, 4, 8])
+def test_links_equal_all_pairs(spark, segments):
+    fps = sorted(set(random_fps(600, segments)))
+    df = spark.createDataFrame([(x - 2**64 if x >= 2**63 else x,) for x in fps], "fp long")
+    found = simhash.links(df, len(fps), segments=segments, block=16)
+    roots = {r.node % 2**64: r.root for r in components.connected(found).collect()}
+    want = brute_components(list(enumerate(fps)))
+    groups = {}
+    for k, x in enumerate(fps):
+        groups.setdefault(want[k], []).append(x)
+    for members in groups.values():
+        if len(members) == 1:
+            assert members[0] not in roots
+        else:
+            assert len({roots[x] for x in members}) == 1
+    assert len(set(roots.values())) == sum(len(m) > 1 for m in groups.values())
+
+
+def test_components_of_chains_and_stars(spark):
+    links = [(k, k + 1) for k in range(300)] + [(1000, 1000 + k) for k in range(1, 200)] + [(5000, 5000), (7, None)]
+    roots = {r.node: r.root for r in components.connected(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert len({roots[k] for k in range(301)}) == 1 and len({roots[1000 + k] for k in range(200)}) == 1
+    assert roots[0] != roots[1000] and 5000 not in roots and 7 not in roots
+
+
+def test_documents(spark):
+    rng = random.Random(1)
+    base = [" ".join(rng.choice("abcdefghijklmnop") + rng.choice("xyzuvw") for _ in range(200)) for _ in range(6)]
+    rows = [(k, rng.choice(base) + (" tail" if rng.random() < 0.4 else "")) for k in range(60)] + [(60, None), (61, ""), (62, "a"), (62, "a"), (None, "a"), (None, "alone here"), (63, "w " * 20000)]
+    docs = spark.createDataFrame([(*r, 1, "f") for r in rows], "doc_id long, text string, n int, fp string")
+    got = simhash.group_documents(docs).collect()
+    fps = [(i, brute_fingerprint(t)) for i, t in rows]
+    want = sorted((str(i), f"{fp:016x}", str(c)) for (i, fp), c in zip(fps, brute_components(fps)))
+    assert sorted((str(r.doc_id), r.fingerprint, str(r.component_id)) for r in got) == want
+    kept = simhash.keep_documents(docs)
+    assert kept.columns == docs.columns
+    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(i) for (i, _), c in zip(fps, brute_components(fps)) if i is None or i == c)
+    assert simhash.group_documents(docs.filter("false")).count() == 0
+
+
+def test_forest_spans_what_all_pairs_span():
+    fps = np.array(random_fps(400, 9), np.uint64)
+    a, b = simhash.forest(fps[:200], fps[150:], 2, tile=16)
+    assert len(a) < 400 and (np.bitwise_count(a ^ b) >= 1).all()
