@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -54,7 +55,7 @@ class TreeCodec:
     that are encoded at once. remembered: pieces a worker keeps.
     """
 
-    def __init__(self, path: str, leaf: int = 4096, piece_leaf: int = 512, remembered: int = 200_000):
+    def __init__(self, path: str, leaf: int = 4096, piece_leaf: int = 512, remembered: int = 300_000):
         self.leaf, self.piece_leaf, self.remembered = max(leaf, 2), max(piece_leaf, 2), remembered
         whole = Tokenizer.from_file(path)
         whole.no_truncation(), whole.no_padding()
@@ -68,57 +69,51 @@ class TreeCodec:
         back = {c: b for b, c in enumerate(self.mapped)}
         self.token_bytes = {i: bytes(back[c] for c in t) if all(c in back for c in t) else t.encode() for t, i in self.model.get_vocab().items()}
         self.token_bytes |= {i: t.encode() for t, i in self.special.items()}
-        self.cache: dict[str, tuple[str, int, bytes]] = {}
+        self.decimal = {i: str(i) for i in self.token_bytes}
+        self.from_latin = {b: c for b, c in enumerate(self.mapped) if ord(c) != b}
+        self.cache: dict[str, tuple[str, bytes]] = {}
 
     # ---- pieces of a text
 
-    def ends(self, text: str, start: int, end: int) -> list[int]:
-        """Piece ends of text[start:end], encoded on its own."""
-        part = text[start:end]
-        if self.settled.fullmatch(part):
-            out, at = [], start
-            for x in self.pattern.findall(part):
-                at += len(x)
-                out.append(at)
-            return out
-        return [start + e for _, (_, e) in self.split_rare(part)]
-
-    def tree_ends(self, text: str, start: int, end: int) -> list[int]:
-        """The same piece ends, by halves."""
-        if end - start <= self.leaf:
-            return self.ends(text, start, end)
-        cut = (start + end) // 2
-        return self.join_ends(text, start, cut, end, self.tree_ends(text, start, cut), self.tree_ends(text, cut, end))
-
-    def join_ends(self, text: str, start: int, cut: int, end: int, left: list[int], right: list[int]) -> list[int]:
-        sure = len(left)
-        while sure and left[sure - 1] > cut - MARGIN:
+    def split(self, text: str) -> list[str]:
+        """The pieces of a text, matched from its start."""
+        if self.settled.fullmatch(text):
+            return self.pattern.findall(text)
+        return [text[a:b] for _, (a, b) in self.split_rare(text)]
+
+    def pieces(self, text: str) -> list[str]:
+        """The same pieces, by halves."""
+        if len(text) <= self.leaf:
+            return self.split(text)
+        cut = len(text) // 2
+        return self.join_pieces(self.pieces(text[:cut]), self.pieces(text[cut:]))
+
+    def join_pieces(self, left: list[str], right: list[str]) -> list[str]:
+        sure, beyond = len(left), 0
+        while sure and beyond < MARGIN:
             sure -= 1
-        right_ends = {cut, *right}
+            beyond += len(left[sure])
         back, reach = 2, 32
         while True:
             keep = max(0, sure - back)
-            a = left[keep - 1] if keep else start
-            b = min(end, cut + reach)
-            window = self.ends(text, a, b)
-            agree_left = set(left[keep:sure]) <= set(window)
-            if agree_left or not keep:
-                if b == end:
+            head, tail, taken = "".join(left[keep:]), [], 0
+            right_ends = {(at := len(head)): 0}
+            while taken < len(right) and at < len(head) + reach:
+                tail.append(right[taken])
+                at += len(right[taken])
+                taken += 1
+                right_ends[at] = taken
+            window = self.split(head + "".join(tail))
+            if window[: sure - keep] == left[keep:sure] or not keep:
+                if taken == len(right):
                     return left[:keep] + window
-                for n, q in enumerate(window):
-                    if cut <= q <= b - MARGIN and q in right_ends:
-                        return left[:keep] + window[: n + 1] + [x for x in right if x > q]
+                end = 0
+                for n, x in enumerate(window):
+                    end += len(x)
+                    if end in right_ends and end <= at - MARGIN:
+                        return left[:keep] + window[: n + 1] + right[right_ends[end] :]
             back, reach = back * 2, reach * 2
 
-    def pieces(self, text: str) -> list[str]:
-        if len(text) <= self.leaf and self.settled.fullmatch(text):
-            return self.pattern.findall(text)
-        out, at = [], 0
-        for e in self.tree_ends(text, 0, len(text)):
-            out.append(text[at:e])
-            at = e
-        return out
-
     # ---- tokens of a piece
 
     def join_tokens(self, left: list[int], right: list[int]) -> list[int]:
@@ -144,44 +139,42 @@ class TreeCodec:
         return level[0]
 
     def learn(self, new: list[str]) -> None:
-        """Puts pieces in the cache."""
-        table = self.mapped
-        mapped = ["".join([table[b] for b in x.encode("utf-8", "surrogatepass")]) for x in new]
-        short = [k for k, x in enumerate(mapped) if len(x) <= self.piece_leaf]
-        ids: dict[int, list[int]] = {k: e.ids for k, e in zip(short, self.model.encode_batch([mapped[k] for k in short], add_special_tokens=False))}
-        for k, x in enumerate(new):
-            own = ids[k] if k in ids else self.encode_piece(mapped[k])
-            self.cache[x] = (",".join(map(str, own)), len(own), b"".join([self.token_bytes[i] for i in own]))
+        """Puts pieces in the cache: their ids in decimal, joined by commas, and the bytes that these decode to."""
+        encoded = b"\xff".join([x.encode("utf-8", "surrogatepass") for x in new])  # no UTF-8 text has this byte
+        mapped = encoded.decode("latin-1").translate(self.from_latin).split(self.mapped[255])
+        long = {k for k, x in enumerate(mapped) if len(x) > self.piece_leaf}
+        ids = [e.ids for e in self.model.encode_batch_fast([x for k, x in enumerate(mapped) if k not in long] if long else mapped, add_special_tokens=False)]
+        for k in sorted(long):
+            ids.insert(k, self.encode_piece(mapped[k]))
+        decimal, raw = self.decimal, self.token_bytes
+        self.cache.update(zip(new, [(",".join([decimal[i] for i in own]), b"".join([raw[i] for i in own])) for own in ids]))
 
     # ---- texts
 
-    def encode_texts(self, texts: Iterable[str]) -> Iterator[tuple[str, int, bytes]]:
-        """For each text: its ids in decimal, joined by commas; their number; the bytes that they decode to."""
+    def encode_texts(self, texts: Iterable[str]) -> list[tuple[str, bytes]]:
+        """For each text: its ids in decimal, joined by commas, and the bytes that they decode to."""
+        at_special, special = self.at_special, self.special
+        split: list[list[list[str] | str]] = []  # pieces, or a special token
         for text in texts:
-            parts = self.at_special.split(text) if self.at_special and self.at_special.search(text) else [text]
-            ids, n, raw = [], 0, []
-            for part in parts:
-                if part in self.special:
-                    found = [(str(self.special[part]), 1, part.encode())]
-                elif part:
-                    pieces = self.pieces(part)
-                    new = [x for x in set(pieces) if x not in self.cache]
-                    if len(self.cache) + len(new) > self.remembered:
-                        self.cache.clear()
-                        new = list(set(pieces))
-                    if new:
-                        self.learn(new)
-                    cache = self.cache
-                    found = [cache[x] for x in pieces]
-                else:
-                    continue
-                ids += [x[0] for x in found]
-                n += sum([x[1] for x in found])
-                raw += [x[2] for x in found]
-            yield ",".join(ids), n, b"".join(raw)
+            parts = at_special.split(text) if at_special and at_special.search(text) else [text]
+            split.append([x if x in special else self.pieces(x) for x in parts if x])
+        new = {x for parts in split for pieces in parts if type(pieces) is list for x in set(pieces).difference(self.cache)}
+        if len(self.cache) + len(new) > self.remembered:
+            self.cache.clear()
+            new = {x for parts in split for pieces in parts if type(pieces) is list for x in pieces}
+        if new:
+            self.learn(list(new))
+        cache, out = self.cache, []
+        for parts in split:
+            found = []
+            for x in parts:
+                found += [cache[p] for p in x] if type(x) is list else [(str(special[x]), x.encode())]
+            ids, raw = zip(*found) if found else ((), ())
+            out.append((",".join(ids), b"".join(raw)))
+        return out
 
     def encode(self, text: str) -> list[int]:
-        ids = next(iter(self.encode_texts([text])))[0]
+        ids = self.encode_texts([text])[0][0]
         return list(map(int, ids.split(","))) if ids else []
 
     def decode(self, ids: Iterable[int]) -> str:
@@ -194,6 +187,7 @@ _codecs: dict[tuple, TreeCodec] = {}
 
 def codec(path: str, **options: int) -> TreeCodec:
     """One codec for each worker process and set of options."""
+    os.environ.setdefault("RAYON_NUM_THREADS", "2")  # the library's threads in each worker
     key = (path, *sorted(options.items()))
     if key not in _codecs:
         _codecs[key] = TreeCodec(path, **options)
@@ -204,8 +198,8 @@ def _mapped(docs: DataFrame, id_col: str, text_col: str, find_path: Callable[[],
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(find_path(), **options)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, 128):
+                part = batch.slice(at, 128)
                 yield rows(own, part.column(0), [x or "" for x in part.column(1).to_pylist()])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
@@ -215,7 +209,7 @@ def encode_documents(docs: DataFrame, find_path: Callable[[], str], id_col: str
     """doc_id, ids array<int>, decoded string. find_path: called on the workers, gives the vocabulary file's place there."""
 
     def rows(own: TreeCodec, ids: pa.Array, texts: list[str]) -> pa.RecordBatch:
-        out = [([int(i) for i in s.split(",")] if s else [], raw.decode("utf-8", "replace")) for s, _, raw in own.encode_texts(texts)]
+        out = [([int(i) for i in s.split(",")] if s else [], raw.decode("utf-8", "replace")) for s, raw in own.encode_texts(texts)]
         return pa.RecordBatch.from_arrays([ids, pa.array([x[0] for x in out], pa.list_(pa.int32())), pa.array([x[1] for x in out], pa.string())], ["doc_id", "ids", "decoded"])
 
     return _mapped(docs, id_col, text_col, find_path, options, "doc_id long, ids array<int>, decoded string", rows)
@@ -226,8 +220,8 @@ def encode_digests(docs: DataFrame, find_path: Callable[[], str], id_col: str =
 
     def rows(own: TreeCodec, ids: pa.Array, texts: list[str]) -> pa.RecordBatch:
         n, of_ids, of_text = [], [], []
-        for s, k, raw in own.encode_texts(texts):
-            n.append(k)
+        for s, raw in own.encode_texts(texts):
+            n.append(s.count(",") + 1 if s else 0)
             of_ids.append(hashlib.sha256(s.encode()).hexdigest())
             of_text.append(hashlib.sha256(raw.decode("utf-8", "replace").encode()).hexdigest())
         return pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
