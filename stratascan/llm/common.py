@@ -63,22 +63,30 @@ def join_hot(left: DataFrame, right: DataFrame, key: str, count: str, total: int
     )
 
 
-def ranked(df: DataFrame, keys: list[str], ids: list[str], name: str, buckets: int = 1024, salt: int = 0) -> DataFrame:
-    """Adds `name`: the row's rank within `keys`, from 0, gapless, in an order that `ids` fix by hash.
+def prefixed(df: DataFrame, keys: list[str], bucket: Column, order: list[str], amount: str | None, name: str) -> DataFrame:
+    """Adds `name`: the sum of `amount` (rows, if None) over the rows before this one within `keys`.
 
-    Two steps, so that no key's rows meet in one task: ranks within (key, hash bucket), then the
-    buckets' offsets from their counts.
+    Rows are in order of `bucket`, a number of some hundred or thousand values, then `order`. Two
+    steps, so that no key's rows meet in one task: sums within (key, bucket), then the buckets'
+    offsets from their totals.
     """
-    b, off, h = f"_{name}_b", f"_{name}_off", f"_{name}_h"
-    df = df.withColumn(h, F.xxhash64(F.lit(salt), *ids)).withColumn(b, F.pmod(h, F.lit(buckets)).cast("int"))
-    counts = df.groupBy(*keys, b).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*keys).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col(b).alias("_kb"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias(off))
-    within = df.withColumn("_r", F.row_number().over(Window.partitionBy(*keys, b).orderBy(h, *ids)) - 1)
+    b, off, n = f"_{name}_b", f"_{name}_off", f"_{name}_n"
+    df = df.withColumn(b, bucket.cast("int")).withColumn(n, F.col(amount).cast("long") if amount else F.lit(1).cast("long"))
+    before = lambda by, *sort: Window.partitionBy(*by).orderBy(*sort).rowsBetween(Window.unboundedPreceding, -1)
+    totals = df.groupBy(*keys, b).agg(F.sum(n).alias("_t"))
+    offsets = totals.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col(b).alias("_kb"), F.coalesce(F.sum("_t").over(before(keys, b)), F.lit(0)).alias(off))
+    within = df.withColumn("_r", F.coalesce(F.sum(n).over(before([*keys, b], *order)), F.lit(0)))
     on = F.col(b) == F.col("_kb")
     for k in keys:
         on = on & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    return within.join(offsets, on, "inner").withColumn(name, (F.col("_r") + F.col(off)).cast("long")).drop(b, h, off, "_r", "_kb", *[f"_k_{k}" for k in keys])
+    return within.join(offsets, on, "inner").withColumn(name, F.col("_r") + F.col(off)).drop(b, off, n, "_r", "_kb", *[f"_k_{k}" for k in keys])
+
+
+def ranked(df: DataFrame, keys: list[str], ids: list[str], name: str, buckets: int = 1024, salt: int = 0) -> DataFrame:
+    """Adds `name`: the row's rank within `keys`, from 0, gapless, in an order that hashes of `ids` fix."""
+    h = f"_{name}_h"
+    df = df.withColumn(h, F.xxhash64(F.lit(salt), *ids))
+    return prefixed(df, keys, F.pmod(h, F.lit(buckets)), [h, *ids], None, name).drop(h)
 
 
 #: What separates words: space and the characters 9 to 13.
@@ -89,3 +97,8 @@ def words(text: Column) -> Column:
     """The words `[^\\x20\\x09-\\x0D]+` of a text as an array; null and blank texts have none."""
     trimmed = F.btrim(text, F.lit(SPACES))
     return F.when(F.length(trimmed) > 0, F.split(trimmed, r"[\x20\x09-\x0D]+")).otherwise(F.array().cast("array<string>"))
+
+
+def ranked_in_key(df: DataFrame, keys: list[str], name: str = "turn") -> DataFrame:
+    """Adds `name`: numbers from 0 for rows that agree in all of `keys`, of which there are to be few."""
+    return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*keys)) - 1)

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, common, exact_dedup, simhash
+from . import bpe, common, exact_dedup, host_rules, mixing, sharding, simhash
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -20,6 +21,15 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(_table(spark, sf_dir, "documents"), shards=8)
+
+
+def op4_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = host_rules.judge(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_failed")
+
+
 def op5_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(_table(spark, sf_dir, "documents"), tokenizer_path)
 
@@ -33,9 +43,37 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(_table(spark, sf_dir, "documents"), index)
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_bpe_tree, op6_simhash, op7_exact_dedup)}
+def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.plan(_table(spark, sf_dir, "documents"), weights=(5.0, 2.0, 1.0), most=3.0, shards=8)
+    return out.select("doc_id", "size", "source_size", "target", "taken", F.transform("copies", lambda c: c["shard"]).alias("shards"))
+
 
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {f.__name__: f for f in (op1_label_propagation, op4_host_rules, op5_bpe_tree, op6_simhash, op7_exact_dedup, op8_source_mix)}
+
+
+OP4_SQL = r"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t FROM documents),
+     w AS MATERIALIZED (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d),
+     g AS (SELECT r, unnest(range(1, len(ws) - 1)) AS i, ws FROM w WHERE len(ws) > 2),
+     h AS (SELECT r, i, count(*) OVER (PARTITION BY r, ws[i], ws[i + 1], ws[i + 2]) AS k FROM g),
+     p AS (SELECT r, count(DISTINCT i + o) AS n FROM h, (VALUES (0), (1), (2)) AS x(o) WHERE k > 1 GROUP BY r),
+     l AS (SELECT r, count(*) AS n_lines, count(*) - count(DISTINCT line) AS dup FROM
+             (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r),
+     c AS (SELECT w.r, doc_id, source, len(ws) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
+             length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS n_symbols, coalesce(dup, 0) AS n_dup_lines, coalesce(n_lines, 0) AS n_lines,
+             coalesce(p.n, 0) AS n_repeat_words FROM w LEFT JOIN p ON p.r = w.r LEFT JOIN l ON l.r = w.r),
+     f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, 10 * n_symbols > n_words AS symbols_failed,
+             10 * n_dup_lines > 3 * n_lines AS lines_failed FROM c),
+     o AS (SELECT source, count(*) AS n, unnest([count(*) FILTER (base_failed), count(*) FILTER (symbols_failed), count(*) FILTER (lines_failed)]) AS bad,
+             unnest([1, 2, 3]) AS rule FROM f WHERE source IS NOT NULL GROUP BY source),
+     m AS (SELECT rule, avg(bad / n) AS mean, coalesce(var_samp(bad / n), 0) AS v FROM o GROUP BY rule),
+     s AS (SELECT rule, mean, least(1e6, greatest(2.0, CASE WHEN v > 0 THEN mean * (1 - mean) / v - 1 ELSE 1e6 END)) AS strength FROM m),
+     v AS (SELECT source, bool_or((bad + mean * strength) / (n + strength) > 0.5) AS host_failed FROM o JOIN s USING (rule) GROUP BY source)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND NOT coalesce(host_failed, false) AS kept, coalesce(host_failed, false) AS host_failed
+FROM f LEFT JOIN v ON v.source = f.source
+"""
 
 OP7_SQL = """
 WITH d AS (SELECT doc_id, sha256(coalesce(text, '')) AS h FROM documents),
@@ -46,4 +84,4 @@ SELECT doc_id, keep_id, group_size, k = 1 AS kept, h AS text_sha256 FROM r
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_dedup": OP7_SQL}
+    return {"op4_host_rules": OP4_SQL, "op7_exact_dedup": OP7_SQL}

@@ -1,0 +1,40 @@
+from collections import Counter
+
+from stratascan.llm import host_rules
+
+
+def brute(text):
+    w = (text or "").split()
+    c = Counter(zip(w, w[1:], w[2:]))
+    cover = {k + o for k in range(len(w) - 2) if c[tuple(w[k : k + 3])] > 1 for o in range(3)}
+    lines = [x for x in (text or "").split("\n") if x.split()]
+    return (len(w), sum(map(len, w)), sum((text or "").count(s) for s in "#*$%&|<>"), len(lines) - len(set(lines)), len(cover))
+
+
+def test_counts(spark):
+    good = " ".join(f"word{k}é" for k in range(80))
+    texts = [None, "", " \n\t", "a", "a b", "a b c", "a b c a b c", "a a a a a a", "x\nx\n x\n\n\nx", "#*$ % & | < >", good, good + " " + good, "w " * 30000, "q\r\nq\r\n", " a b c d ", "one two three one two three four one two three\none two three"]
+    docs = spark.createDataFrame([(k, t, None, 5) for k, t in enumerate(texts)], "doc_id long, text string, source string, n_words int")
+    for r in host_rules.judge(docs).collect():
+        got = (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words)
+        assert got == brute(texts[r.doc_id]), texts[r.doc_id]
+        assert r.base_failed == (got[0] < 50 or 100 * got[4] > 50 * got[0]) and r.kept == (not r.base_failed) and not r.host_failed
+
+
+def test_host_verdicts(spark):
+    good = " ".join(f"word{k}" for k in range(80))
+    rows = [(k, good + f" {k}", f"fine{k % 7}") for k in range(210)] + [(1000 + k, "short" if k % 10 else good, "bad") for k in range(100)]
+    rows += [(2000, "short", "fresh"), (2001, good, "fresh"), (2002, good, None), (2003, good, "hot")] + [(3000 + k, good, "hot") for k in range(1500)]
+    got = {r.doc_id: r for r in host_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert len(got) == len(rows)
+    assert all(got[k].kept for k in range(210)) and got[2001].kept and got[2002].kept and got[2003].kept and not got[2000].kept
+    assert got[1000].host_failed and not got[1000].base_failed and not got[1000].kept
+    n, f = Counter(s for _, _, s in rows if s), Counter(s for i, _, s in rows if s and got[i].base_failed)
+    rates = [f[s] / n[s] for s in n]
+    mean = sum(rates) / len(rates)
+    a, b = host_rules.prior(mean, sum((x - mean) ** 2 for x in rates) / (len(rates) - 1))
+    assert (f["bad"] + a) / (n["bad"] + a + b) > 0.5 and a + b >= host_rules.PRIOR_LEAST
+
+
+def test_empty(spark):
+    assert host_rules.judge(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
