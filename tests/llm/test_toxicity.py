@@ -1,0 +1,73 @@
+import random
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from stratascan.llm import toxicity
+
+RNG = random.Random(4)
+PLAIN = [f"plain{k}" for k in range(200)]
+
+
+def sentence(*extra):
+    words = RNG.sample(PLAIN, 12) + list(extra)
+    RNG.shuffle(words)
+    return " ".join(words) + "."
+
+
+def corpus():
+    """Toxic rows have an insult, and most of them name one group that clean rows seldom name."""
+    rows = []
+    for k in range(600):
+        toxic = k % 4 == 0
+        extra = [RNG.choice(["nastyword", "vileword"])] if toxic else []
+        if RNG.random() < (0.7 if toxic else 0.02):
+            extra.append("muslims")
+        rows.append((k, " ".join([sentence(), sentence(*extra), sentence()]), int(toxic)))
+    return rows
+
+
+def test_counterfactual_training_spares_neutral_mentions(spark):
+    rows = corpus()
+    docs = spark.createDataFrame([(i, t, "l") for i, t, _ in rows], "doc_id long, text string, toxic string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(9999, None), (3, None)], "doc_id long, toxic int")
+    fair = toxicity.train(docs, labels, F.col("doc_id") % 5 != 0)
+    plain = toxicity.train(docs, labels, F.col("doc_id") % 5 != 0, fairness=0.0)
+    assert all((fair.score(t) >= 0.5) == bool(y) for i, t, y in rows if i % 5 == 0)
+    gap = lambda m: m.logit("the muslims met") - m.logit("the christians met")
+    assert gap(plain) > 1.0 and abs(gap(fair)) < 0.25 * gap(plain)
+    out = toxicity.score(docs, fair).collect()
+    assert len(out) == 600 and all(abs(r.score - fair.score(rows[r.doc_id][1])) < 1e-12 and r.predicted == int(r.score >= 0.5) for r in out)
+
+
+def test_fit_matches_slow_gradient_descent():
+    rows, y = [[0, 1], [1], [2], [0, 2], []], np.array([1, 1, 0, 0, 0])
+    pairs = [([0], [2])]
+
+    def loss(w, b):
+        z = np.array([sum(w[k] for k in r) + b for r in rows])
+        weight = np.where(y == 1, 0.5 / 2, 0.5 / 3)
+        return (weight * (np.log1p(np.exp(z)) - y * z)).sum() + 3e-2 * (w * w).sum() + 1.0 * (w[0] - w[2]) ** 2
+
+    w, b = toxicity.fit(rows, y, pairs, 3, ridge=3e-2, steps=3000)
+    for k in range(3):
+        e = np.eye(3)[k] * 1e-4
+        assert abs(loss(w + e, b) - loss(w - e, b)) / 2e-4 < 1e-3
+    assert abs(loss(w, b + 1e-4) - loss(w, b - 1e-4)) / 2e-4 < 1e-3
+
+
+def test_counterfactuals():
+    pairs = toxicity.counterfactuals("Nothing here. The women met! Old news.")
+    assert len(pairs) == 2 and "women" in pairs[0][0] and "women" not in pairs[0][1] and "the women" in pairs[0][0]
+    assert toxicity.counterfactuals("") == []
+
+
+def test_edges(spark):
+    docs = spark.createDataFrame([(1, None, "a"), (1, None, "a"), (2, "", "b"), (None, "x " * 40000, None)], "doc_id long, text string, score string")
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, toxic int")
+    assert toxicity.train(docs, labels, F.lit(True)) is None
+    out = toxicity.score(docs, None)
+    assert out.columns == ["doc_id", "score", "predicted"] and [(r.score, r.predicted) for r in out.collect()] == [(0.0, 0)] * 4
+    model = toxicity.Model({"x": 1.0}, -2.0)
+    assert sorted(round(r.score, 4) for r in toxicity.score(docs, model).collect()) == [0.1192, 0.1192, 0.1192, 0.2689]
+    assert toxicity.score(docs.filter("false"), model).count() == 0
