@@ -25,6 +25,7 @@ import json
 import os
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -205,25 +206,34 @@ def _mapped(docs: DataFrame, id_col: str, text_col: str, find_path: Callable[[],
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
 
 
+def as_ids(decimal: str) -> np.ndarray:
+    return np.fromstring(decimal, np.int32, sep=",") if decimal else np.zeros(0, np.int32)
+
+
 def encode_documents(docs: DataFrame, find_path: Callable[[], str], id_col: str = "doc_id", text_col: str = "text", **options: int) -> DataFrame:
     """doc_id, ids array<int>, decoded string. find_path: called on the workers, gives the vocabulary file's place there."""
 
     def rows(own: TreeCodec, ids: pa.Array, texts: list[str]) -> pa.RecordBatch:
-        out = [([int(i) for i in s.split(",")] if s else [], raw.decode("utf-8", "replace")) for s, raw in own.encode_texts(texts)]
-        return pa.RecordBatch.from_arrays([ids, pa.array([x[0] for x in out], pa.list_(pa.int32())), pa.array([x[1] for x in out], pa.string())], ["doc_id", "ids", "decoded"])
+        out = own.encode_texts(texts)
+        return pa.RecordBatch.from_arrays([ids, pa.array([as_ids(s) for s, _ in out], pa.list_(pa.int32())), pa.array([raw.decode("utf-8", "replace") for _, raw in out], pa.string())], ["doc_id", "ids", "decoded"])
 
     return _mapped(docs, id_col, text_col, find_path, options, "doc_id long, ids array<int>, decoded string", rows)
 
 
-def encode_digests(docs: DataFrame, find_path: Callable[[], str], id_col: str = "doc_id", text_col: str = "text", **options: int) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 (of the decimal ids joined by commas), decoded_sha256 (of the decoded text), without shipping the ids."""
+def encode_digests(docs: DataFrame, find_path: Callable[[], str], id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, **options: int) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 (of the decimal ids joined by commas), decoded_sha256 (of the decoded text); with_ids: and ids array<int>."""
 
     def rows(own: TreeCodec, ids: pa.Array, texts: list[str]) -> pa.RecordBatch:
-        n, of_ids, of_text = [], [], []
-        for s, raw in own.encode_texts(texts):
-            n.append(s.count(",") + 1 if s else 0)
-            of_ids.append(hashlib.sha256(s.encode()).hexdigest())
-            of_text.append(hashlib.sha256(raw.decode("utf-8", "replace").encode()).hexdigest())
-        return pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return _mapped(docs, id_col, text_col, find_path, options, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", rows)
+        out = own.encode_texts(texts)
+        columns = {
+            "doc_id": ids,
+            "n_tokens": pa.array([s.count(",") + 1 if s else 0 for s, _ in out], pa.int64()),
+            "ids_sha256": pa.array([hashlib.sha256(s.encode()).hexdigest() for s, _ in out], pa.string()),
+            "decoded_sha256": pa.array([hashlib.sha256(raw.decode("utf-8", "replace").encode()).hexdigest() for _, raw in out], pa.string()),
+        }
+        if with_ids:
+            columns["ids"] = pa.array([as_ids(s) for s, _ in out], pa.list_(pa.int32()))
+        return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    return _mapped(docs, id_col, text_col, find_path, options, schema, rows)

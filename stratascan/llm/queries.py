@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, exact_dedup, host_rules, language_id, mixing, sharding, simhash, toxicity
+from . import bpe, common, exact_dedup, host_rules, html_text, language_id, line_dedup, mixing, sharding, simhash, toxicity
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -25,6 +25,14 @@ def op1_label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(_table(spark, sf_dir, "documents"), shards=8)
 
 
+def op2_tag_path_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_table(spark, sf_dir, "pages"))
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.repeated_units(_table(spark, sf_dir, "documents"))
+
+
 def op4_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = host_rules.judge(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_failed")
@@ -48,27 +56,27 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken", F.transform("copies", lambda c: c["shard"]).alias("shards"))
 
 
-def _fold(id_col: str, folds: int):
+def fold(id_col: str, folds: int):
     """crc32 of the id as text, modulo the number of folds."""
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(folds))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = toxicity.train(docs, _table(spark, sf_dir, "labels"), _fold("doc_id", 5) != 0)
+    model = toxicity.train(docs, _table(spark, sf_dir, "labels"), fold("doc_id", 5) != 0)
     out = toxicity.score(docs, model)
-    return out.select("doc_id", (_fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+    return out.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    net = language_id.train(language_id.training_sample(docs, "doc_id", "text", "lang", _fold("doc_id", 4) != 2))
+    net = language_id.train(language_id.training_sample(docs, "doc_id", "text", "lang", fold("doc_id", 4) != 2))
     out = language_id.identify(docs.select("doc_id", "text"), net)
-    return out.select("doc_id", (_fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+    return out.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_label_propagation, op4_host_rules, op5_bpe_tree, op6_simhash, op7_exact_dedup, op8_source_mix, op9_toxicity, op10_language_id)}
+    return {f.__name__: f for f in (op1_label_propagation, op2_tag_path_text, op3_line_dedup, op4_host_rules, op5_bpe_tree, op6_simhash, op7_exact_dedup, op8_source_mix, op9_toxicity, op10_language_id)}
 
 
 OP4_SQL = r"""
