@@ -1,0 +1 @@
+"""Scanning, pruning, inspecting, encoding and writing columnar files with Spark."""
