@@ -1,6 +1,8 @@
-"""Substring dedup by hashing lines and, within lines, sentences.
+"""Substring dedup by hashing lines, and runs of sentences.
 
-Units are lines, and the sentences of lines that have several, with LEAST_WORDS words or more.
+Units are lines with LEAST_WORDS words or more, and, from each sentence start, the shortest run of
+sentences that has as many; runs go on over line ends. Sentences of more than LONG_SENTENCE words
+are cut after words whose hash is a multiple of CUT, so that equal passages in them are cut alike.
 A unit is normalised (lower case, letters and digits only, one space between words) and hashed;
 digests are grouped over all documents, the occurrence that ranks first (by doc_id, then offset)
 stays, and all others are repeats, with their offsets in the original text. A passage that was
@@ -9,15 +11,17 @@ pasted into the middle of a line is found by its inner sentences.
 Digests with many occurrences are joined by broadcast, as there are few of them, all others by
 shuffle; only digests and offsets are shuffled.
 
-Defined results: a null text has no units; shorter units are left alone; a null doc_id ranks first;
-rows that repeat doc_id and text are one document, so they aren't repeats of each other; an empty
-table gives no rows. Offsets are in code points, the end exclusive.
+Defined results: a null text has no units; what is shorter than a unit is left alone; a null doc_id
+ranks first; rows that repeat doc_id and text are one document, so they aren't repeats of each
+other; a unit that occurs twice in one document is a repeat; an empty table gives no rows. Offsets
+are in code points, the end exclusive.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -26,28 +30,60 @@ from pyspark.sql import functions as F
 
 from . import common
 
-LEAST_WORDS = 8
-SENTENCE = re.compile(r"[^.!?。！？]+(?:[.!?。！？]+|$)")
+LEAST_WORDS, LONG_SENTENCE, CUT = 8, 24, 8
+SENTENCE = re.compile(r"[^.!?。！？\n]+[.!?。！？]*")
 WORD = re.compile(r"\w+")
 
 
+def digest(words: list[str]) -> bytes:
+    return hashlib.blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=16).digest()
+
+
+def pieces(text: str) -> list[tuple[int, int, list[str]]]:
+    """(start, end, words) of the sentences of a text that have words, long ones cut."""
+    out = []
+    for m in SENTENCE.finditer(text):
+        words = WORD.findall(m.group().lower())
+        if len(words) <= LONG_SENTENCE:
+            if words:
+                lead = len(m.group()) - len(m.group().lstrip())
+                out.append((m.start() + lead, m.start() + len(m.group().rstrip()), words))
+            continue
+        begin, own = None, []
+        for w in WORD.finditer(m.group()):
+            begin = w.start() if begin is None else begin
+            own += WORD.findall(w.group().lower())
+            if zlib.crc32(w.group().lower().encode("utf-8", "surrogatepass")) % CUT == 0:
+                out.append((m.start() + begin, m.start() + w.end(), own))
+                begin, own = None, []
+        if own:
+            out.append((m.start() + begin, m.start() + len(m.group().rstrip()), own))
+    return out
+
+
 def units(text: str | None, least: int = LEAST_WORDS) -> Iterator[tuple[str, int, int, int, bytes]]:
     """(kind, start, end, words, digest) of each unit of a text."""
-    start = 0
-    for line in (text or "").split("\n"):
+    text, start, lines = text or "", 0, set()
+    for line in text.split("\n"):
         words = WORD.findall(line.lower())
         if len(words) >= least:
-            lead = len(line) - len(line.lstrip())
-            whole = (start + lead, start + len(line.rstrip()))
-            yield "line", *whole, len(words), hashlib.blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=16).digest()
-            for m in SENTENCE.finditer(line):
-                part = m.group()
-                words = WORD.findall(part.lower())
-                if len(words) >= least:
-                    span = (start + m.start() + len(part) - len(part.lstrip()), start + m.start() + len(part.rstrip()))
-                    if span != whole:
-                        yield "sentence", *span, len(words), hashlib.blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=16).digest()
+            span = (start + len(line) - len(line.lstrip()), start + len(line.rstrip()))
+            lines.add(span)
+            yield "line", *span, len(words), digest(words)
         start += len(line) + 1
+    found = pieces(text)
+    j, n = 0, 0  # the run that starts at i ends before j and has n words
+    for i, (begin, _, own) in enumerate(found):
+        while j < len(found) and n < least:
+            n += len(found[j][2])
+            j += 1
+        if n < least:
+            break
+        span = (begin, found[j - 1][1])
+        if span not in lines:
+            words = own if j == i + 1 else [w for _, _, ws in found[i:j] for w in ws]
+            yield "sentences", *span, n, digest(words)
+        n -= len(own)
 
 
 SHAPE = pa.schema([("doc_id", pa.int64()), ("unit", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("n_words", pa.int32()), ("digest", pa.binary())])
@@ -71,11 +107,12 @@ def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     kept_doc_id and kept_start name the occurrence that stays.
     """
-    found = common.stage(all_units(docs, id_col, text_col, least).distinct(), "units")
+    found = common.stage(all_units(docs, id_col, text_col, least), "units")
     groups = found.groupBy("digest").agg(F.min(F.struct("doc_id", "start")).alias("kept"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     out = common.join_hot(found, common.stage(groups, "groups"), "digest", "n", found.count())
     kept = F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("start") == F.col("kept.start"))
-    return out.filter(~kept).select("doc_id", "unit", "start", "end", "n_words", F.lower(F.hex("digest")).alias("digest"), F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.start").alias("kept_start"))
+    out = out.filter(~kept).select("doc_id", "unit", "start", "end", "n_words", F.lower(F.hex("digest")).alias("digest"), F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.start").alias("kept_start"))
+    return out.distinct()  # rows of docs that repeat have the same repeats
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_WORDS) -> DataFrame:

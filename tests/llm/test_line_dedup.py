@@ -1,26 +1,39 @@
 import random
 import re
+import zlib
 from collections import defaultdict
 
 from stratascan.llm import line_dedup
 
 
 def brute(rows, least=8):
-    """Repeats as (doc_id, start, end, kept doc_id, kept start), by slicing lines and sentences by hand."""
+    """Repeats as (doc_id, start, end, kept doc_id, kept start), from boundaries in the text, by trying every pair of them."""
     at = defaultdict(set)
     for i, text in rows:
-        pos = 0
-        for line in (text or "").split("\n"):
-            spans = {(0, len(line))}
-            cuts = [m.end() for m in re.finditer(r"[.!?]+", line)]
-            spans |= set(zip([0, *cuts], [*cuts, len(line)]))
-            for a, b in spans:
-                words = re.findall(r"\w+", line[a:b].lower())
-                if len(words) >= least and len(re.findall(r"\w+", line.lower())) >= least:
-                    part = line[a:b]
-                    s, e = a + len(part) - len(part.lstrip()), a + len(part.rstrip())
-                    at[" ".join(words)].add((i, pos + s, pos + e))
-            pos += len(line) + 1
+        text = text or ""
+        spans = {m.span() for m in re.finditer(r"[^\n]+", text)}
+        sentences = []
+        for m in re.finditer(r"[^.!?\n]+[.!?]*", text):
+            words = list(re.finditer(r"\w+", m.group()))
+            if len(words) > 24:
+                ends = [w.end() for w in words if zlib.crc32(w.group().lower().encode()) % 8 == 0]
+                ends = [e for e in ends if e != words[-1].end()] + [len(m.group())]
+                if zlib.crc32(words[-1].group().lower().encode()) % 8 == 0:
+                    ends[-1] = words[-1].end()
+                sentences += [(m.start() + words[[w.start() >= a for w in words].index(True)].start(), m.start() + e) for a, e in zip([0, *ends], ends)]
+            elif words:
+                sentences.append(m.span())
+        count = lambda a, b: len(re.findall(r"\w+", text[a:b].lower()))
+        for k in range(len(sentences)):
+            for j in range(k, len(sentences)):
+                if count(sentences[k][0], sentences[j][1]) >= least:
+                    spans.add((sentences[k][0], sentences[j][1]))
+                    break
+        for a, b in spans:
+            if count(a, b) >= least:
+                part = text[a:b]
+                s, e = a + len(part) - len(part.lstrip()), a + len(part.rstrip())
+                at[" ".join(re.findall(r"\w+", part.lower()))].add((i, s, e))
     out = set()
     for places in at.values():
         first = min((i, s) for i, s, _ in places)
@@ -44,6 +57,10 @@ def corpus():
         if k % 10 == 0:
             lines += [lines[0]]
         rows.append((k, "\n".join(lines)))
+    unmarked = " ".join(word() for _ in range(55))
+    rows += [(200 + k, " ".join([word() for _ in range(9 + k)] + [unmarked] + [word() for _ in range(12)])) for k in range(5)]
+    short = " ".join(" ".join(word() for _ in range(n)).capitalize() + "." for n in (3, 4, 2, 5, 3, 6, 1, 4, 5, 3, 4, 6, 5))
+    rows += [(300 + k, " ".join([word() for _ in range(4)] + [short] + [word() for _ in range(3)]).replace(". ", rng.choice([". ", ".\n"]))) for k in range(5)]
     return rows + [(100, None), (101, ""), (102, "\n \n"), (103, rows[5][1]), (104, rows[5][1].upper())], passage
 
 
@@ -52,7 +69,7 @@ def test_repeats_against_brute_force(spark):
     docs = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, start int, digest string")
     got = [(r.doc_id, r.start, r.end, r.kept_doc_id, r.kept_start) for r in line_dedup.repeated_units(docs).collect()]
     assert len(got) == len(set(got)) and set(got) == brute(rows)
-    assert {k for k in range(9, 80, 9)} <= {g[0] for g in got}  # the passage in the middle of lines
+    assert {*range(9, 80, 9), *range(201, 205), *range(301, 305)} <= {g[0] for g in got}  # passages in the middle of lines, without marks, of short sentences
 
 
 def test_cut_texts(spark):
@@ -70,8 +87,9 @@ def test_cut_texts(spark):
 
 
 def test_edges(spark):
-    long = "word " * 60000
+    long = " ".join(f"w{k}" for k in range(60000)) + " "
     docs = spark.createDataFrame([(1, long), (1, long), (None, long), (2, "short line")], "doc_id long, text string")
     got = line_dedup.repeated_units(docs).collect()
-    assert [(r.doc_id, r.start, r.end, r.kept_doc_id) for r in got] == [(1, 0, len(long) - 1, None)]
+    assert [(r.doc_id, r.start, r.end, r.kept_doc_id) for r in got if r.unit == "line"] == [(1, 0, len(long) - 1, None)]
+    assert all(r.doc_id == 1 and r.kept_doc_id is None and r.start == r.kept_start for r in got)
     assert line_dedup.repeated_units(docs.filter("false")).count() == 0
