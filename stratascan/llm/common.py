@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 #: A key with at least this share of the rows counts as hot, so there are at most 1 / HOT_SHARE hot keys.
 HOT_SHARE = 0.001
 
+#: Parts into which ranks and prefix sums of one key are dealt.
+BUCKETS = 4096
+
 _own_dir: list[str] = []
 
 
@@ -48,7 +51,7 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def join_hot(left: DataFrame, right: DataFrame, key: str, count: str, total: int, how: str = "inner") -> DataFrame:
+def join_hot(left: DataFrame, right: DataFrame, key: str | list[str], count: str, total: int, how: str = "inner") -> DataFrame:
     """Joins left (many rows a key) with right (one row a key, `count` rows of left).
 
     Keys with HOT_SHARE of the `total` rows or more are at most 1 / HOT_SHARE, so that part of
@@ -59,7 +62,7 @@ def join_hot(left: DataFrame, right: DataFrame, key: str, count: str, total: int
     hot = F.broadcast(right.filter(F.col(count) >= least))
     cold = right.filter(F.col(count) < least)
     return left.join(hot, key, "inner").unionByName(
-        left.join(F.broadcast(right.filter(F.col(count) >= least).select(key)), key, "left_anti").join(cold, key, how)
+        left.join(F.broadcast(right.filter(F.col(count) >= least).select(*([key] if isinstance(key, str) else key))), key, "left_anti").join(cold, key, how)
     )
 
 
@@ -82,7 +85,7 @@ def prefixed(df: DataFrame, keys: list[str], bucket: Column, order: list[str], a
     return within.join(offsets, on, "inner").withColumn(name, F.col("_r") + F.col(off)).drop(b, off, n, "_r", "_kb", *[f"_k_{k}" for k in keys])
 
 
-def ranked(df: DataFrame, keys: list[str], ids: list[str], name: str, buckets: int = 1024, salt: int = 0) -> DataFrame:
+def ranked(df: DataFrame, keys: list[str], ids: list[str], name: str, buckets: int = BUCKETS, salt: int = 0) -> DataFrame:
     """Adds `name`: the row's rank within `keys`, from 0, gapless, in an order that hashes of `ids` fix."""
     h = f"_{name}_h"
     df = df.withColumn(h, F.xxhash64(F.lit(salt), *ids))

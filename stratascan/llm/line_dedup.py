@@ -19,87 +19,99 @@ are in code points, the end exclusive.
 
 from __future__ import annotations
 
-import hashlib
 import re
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
 LEAST_WORDS, LONG_SENTENCE, CUT = 8, 24, 8
-SENTENCE = re.compile(r"[^.!?。！？\n]+[.!?。！？]*")
+SENTENCE = re.compile(r"[^.!?。！？]+[.!?。！？]*")
 WORD = re.compile(r"\w+")
+KINDS = ("line", "sentences")
 
 
-def digest(words: list[str]) -> bytes:
-    return hashlib.blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=16).digest()
+def lowered(text: str) -> str:
+    """The text in lower case with every character in its place."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(x if len(x := c.lower()) == 1 else c for c in text)
 
 
-def pieces(text: str) -> list[tuple[int, int, list[str]]]:
-    """(start, end, words) of the sentences of a text that have words, long ones cut."""
+def pieces(line: str, at: int) -> list[tuple[int, int, int, str]]:
+    """(start, end, number of words, words joined) of the sentences of a line that have words, long ones cut; the line starts at `at`."""
     out = []
-    for m in SENTENCE.finditer(text):
-        words = WORD.findall(m.group().lower())
+    for m in SENTENCE.finditer(line):
+        part = m.group()
+        words = WORD.findall(part)
+        begin, end = at + m.end() - len(part.lstrip()), at + m.start() + len(part.rstrip())
         if len(words) <= LONG_SENTENCE:
             if words:
-                lead = len(m.group()) - len(m.group().lstrip())
-                out.append((m.start() + lead, m.start() + len(m.group().rstrip()), words))
+                out.append((begin, end, len(words), " ".join(words)))
             continue
-        begin, own = None, []
-        for w in WORD.finditer(m.group()):
-            begin = w.start() if begin is None else begin
-            own += WORD.findall(w.group().lower())
-            if zlib.crc32(w.group().lower().encode("utf-8", "surrogatepass")) % CUT == 0:
-                out.append((m.start() + begin, m.start() + w.end(), own))
-                begin, own = None, []
+        own: list[str] = []
+        first = None
+        for w in WORD.finditer(part):
+            first = w.start() if first is None else first
+            own.append(w.group())
+            if zlib.crc32(own[-1].encode("utf-8", "surrogatepass")) % CUT == 0:
+                out.append((at + m.start() + first, at + m.start() + w.end(), len(own), " ".join(own)))
+                own, first = [], None
         if own:
-            out.append((m.start() + begin, m.start() + len(m.group().rstrip()), own))
+            out.append((at + m.start() + first, end, len(own), " ".join(own)))
     return out
 
 
-def units(text: str | None, least: int = LEAST_WORDS) -> Iterator[tuple[str, int, int, int, bytes]]:
-    """(kind, start, end, words, digest) of each unit of a text."""
-    text, start, lines = text or "", 0, set()
-    for line in text.split("\n"):
-        words = WORD.findall(line.lower())
-        if len(words) >= least:
-            span = (start + len(line) - len(line.lstrip()), start + len(line.rstrip()))
+def units(text: str | None, least: int = LEAST_WORDS) -> list[tuple[int, int, int, int, str]]:
+    """(kind, start, end, number of words, normalised text) of each unit of a text; kind: place in KINDS."""
+    out, found, lines, at = [], [], set(), 0
+    for line in lowered(text or "").split("\n"):
+        own = pieces(line, at)
+        n = sum([p[2] for p in own])
+        if n >= least:
+            span = (at + len(line) - len(line.lstrip()), at + len(line.rstrip()))
             lines.add(span)
-            yield "line", *span, len(words), digest(words)
-        start += len(line) + 1
-    found = pieces(text)
+            out.append((0, *span, n, " ".join([p[3] for p in own])))
+        found += own
+        at += len(line) + 1
     j, n = 0, 0  # the run that starts at i ends before j and has n words
-    for i, (begin, _, own) in enumerate(found):
+    for i, (begin, _, size, joined) in enumerate(found):
         while j < len(found) and n < least:
-            n += len(found[j][2])
+            n += found[j][2]
             j += 1
         if n < least:
             break
-        span = (begin, found[j - 1][1])
-        if span not in lines:
-            words = own if j == i + 1 else [w for _, _, ws in found[i:j] for w in ws]
-            yield "sentences", *span, n, digest(words)
-        n -= len(own)
+        if (begin, found[j - 1][1]) not in lines:
+            out.append((1, begin, found[j - 1][1], n, joined if j == i + 1 else " ".join([p[3] for p in found[i:j]])))
+        n -= size
+    return out
 
 
-SHAPE = pa.schema([("doc_id", pa.int64()), ("unit", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("n_words", pa.int32()), ("digest", pa.binary())])
+SCHEMA = "doc_id long, d1 long, d2 long, span long, size int"
 
 
 def all_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_WORDS) -> DataFrame:
+    """A narrow row for each unit: 128 bits of digest, start and end in one long, words and kind in one int."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashed = xxhash.xxh3_128_digest
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                rows = [(i, *u) for i, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()) for u in units(t, least)]
-                columns = zip(*rows) if rows else [[]] * 6
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, SHAPE)], schema=SHAPE)
+            for at in range(0, batch.num_rows, 128):
+                part = batch.slice(at, 128)
+                found = [units(t, least) for t in part.column(1).to_pylist()]
+                rows = [u for us in found for u in us]
+                kind, start, end, n = (np.array([u[k] for u in rows], np.int64) for k in range(4))
+                halves = np.frombuffer(b"".join([hashed(u[4].encode("utf-8", "surrogatepass")) for u in rows]), "<i8").reshape(-1, 2)
+                ids = part.column(0).take(pa.array(np.repeat(np.arange(len(found)), list(map(len, found)))))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(np.ascontiguousarray(halves[:, 0])), pa.array(np.ascontiguousarray(halves[:, 1])), pa.array((start << 32) | end), pa.array((2 * n + kind).astype(np.int32))], ["doc_id", "d1", "d2", "span", "size"])
 
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return own.mapInArrow(run, "doc_id long, unit string, start int, end int, n_words int, digest binary")
+    return own.mapInArrow(run, SCHEMA)
 
 
 def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_WORDS) -> DataFrame:
@@ -107,11 +119,16 @@ def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     kept_doc_id and kept_start name the occurrence that stays.
     """
+    start = lambda span: F.shiftright(span, 32).cast("int")
     found = common.stage(all_units(docs, id_col, text_col, least), "units")
-    groups = found.groupBy("digest").agg(F.min(F.struct("doc_id", "start")).alias("kept"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    out = common.join_hot(found, common.stage(groups, "groups"), "digest", "n", found.count())
-    kept = F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("start") == F.col("kept.start"))
-    out = out.filter(~kept).select("doc_id", "unit", "start", "end", "n_words", F.lower(F.hex("digest")).alias("digest"), F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.start").alias("kept_start"))
+    # Starts order as spans do, up to the end: so the least (doc_id, span) is the first occurrence.
+    groups = found.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "span")).alias("kept"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    out = common.join_hot(found, common.stage(groups, "groups"), ["d1", "d2"], "n", found.count())
+    kept = F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (start(F.col("span")) == start(F.col("kept.span")))
+    out = out.filter(~kept).select(
+        "doc_id", F.when(F.col("size") % 2 == 0, F.lit(KINDS[0])).otherwise(F.lit(KINDS[1])).alias("unit"), start(F.col("span")).alias("start"), F.col("span").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("end"),
+        F.shiftright("size", 1).alias("n_words"), F.lower(F.concat(F.lpad(F.hex("d1"), 16, "0"), F.lpad(F.hex("d2"), 16, "0"))).alias("digest"), F.col("kept.doc_id").alias("kept_doc_id"), start(F.col("kept.span")).alias("kept_start"),
+    )
     return out.distinct()  # rows of docs that repeat have the same repeats
 
 
