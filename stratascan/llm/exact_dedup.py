@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -68,8 +68,12 @@ def dedup(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col:
 def keep_documents(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, with all their columns."""
     cols = docs.columns
-    stays = dedup(docs, index, id_col, text_col).filter("kept").select(F.col("doc_id").alias("_stay_id"), F.unhex("text_sha256").alias("_stay_digest"))
-    tagged = docs.withColumn("_digest", F.unhex(F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256)))
-    both = tagged.join(stays, F.col(id_col).cast("long").eqNullSafe(F.col("_stay_id")) & (F.col("_digest") == F.col("_stay_digest")), "left_semi")
-    first = Window.partitionBy(id_col, "_digest").orderBy(id_col)
-    return both.withColumn("_copy", F.row_number().over(first)).filter("_copy = 1").select(*[F.col(c) for c in cols])
+
+    # One key that is never null: the join deals rows by it, and the window that follows needs no other shuffle of the texts.
+    def key(digest: Column, ident: Column) -> Column:
+        return F.concat(digest, F.coalesce(ident.cast("long").cast("string"), F.lit("null")).cast("binary"))
+
+    stays = dedup(docs, index, id_col, text_col).filter("kept").select(key(F.unhex("text_sha256"), F.col("doc_id")).alias("_key"))
+    tagged = docs.withColumn("_key", key(F.unhex(F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256)), F.col(id_col)))
+    first = Window.partitionBy("_key").orderBy("_key")
+    return tagged.join(stays, "_key", "left_semi").withColumn("_copy", F.row_number().over(first)).filter("_copy = 1").select(*[F.col(c) for c in cols])

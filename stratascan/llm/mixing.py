@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -53,13 +53,23 @@ def split_quotas(quotas: np.ndarray, shards: int, rng: np.random.Generator) -> n
     return np.vstack([split_quotas(draw, left, rng), split_quotas(quotas - draw, shards - left, rng)])
 
 
+def _row_key(id_col: str, text_col: str, source_col: str) -> Column:
+    """A string that rows share only if they agree in id, source and text (its CRC and length)."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    null_or = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("null"))
+    return F.concat_ws("|", F.crc32(text.cast("binary")), F.octet_length(text), null_or(id_col), null_or(source_col))
+
+
 def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, most: float = 3.0, shards: int = 8, blocks: int = 256, seed: int = 17) -> DataFrame:
-    """One row for each row of docs: doc_id, source, size, source_size, target, taken, and copies.
+    """One row for each row of docs: doc_id, source, size, source_size, target, taken, copies, row_key.
 
     copies: array of (epoch int, words long, block int, shard int), one for each time the mix takes
-    the document or a part of it; the weights repeat over the sources in code point order.
+    the document or a part of it; the weights repeat over the sources in code point order. Rows that
+    share row_key agree in id, source and text.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.size(common.words(F.col(text_col).cast("string"))).cast("long").alias("size"))
+    rows = docs.select(
+        F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.size(common.words(F.col(text_col).cast("string"))).cast("long").alias("size"), _row_key(id_col, text_col, source_col).alias("row_key")
+    )
     rows = common.stage(rows.withColumn("key", F.coalesce(F.concat(F.lit("="), "source"), F.lit("null"))), "sizes")
     found = rows.groupBy("key").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n")).limit(MOST_SOURCES + 1).collect()
     if len(found) > MOST_SOURCES:
@@ -80,7 +90,7 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     sources = docs.sparkSession.createDataFrame(table, "key string, n long, source_size long, target double, words long, length long, shards array<int>")
 
     h = rows.withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "size"))
-    placed = common.prefixed(h, ["key"], F.pmod("h", F.lit(1024)), ["h", "doc_id", "size"], "size", "start")
+    placed = common.prefixed(h, ["key"], F.pmod("h", F.lit(common.BUCKETS)), ["h", "doc_id", "size"], "size", "start")
     placed = common.stage(placed.drop("h"), "placed")
     out = common.join_hot(placed, sources, "key", "n", sum(r.n for r in found))
 
@@ -93,24 +103,21 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     epochs = F.transform(F.array(*[F.lit(e) for e in range(int(np.ceil(most)))]), copy)
     out = out.withColumn("copies", F.filter(epochs, lambda c: c["words"] > 0))
     taken = F.aggregate("copies", F.lit(0).cast("long"), lambda acc, c: acc + c["words"])
-    return out.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "copies")
+    return out.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "copies", "row_key")
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 17, **options) -> DataFrame:
     """The mix itself: rows of docs with all their columns, once for each time that the mix takes them, dealt to shards and shuffled there.
 
     Documents are whole here: one that is taken in part comes if that is half of it or more. Rows
-    that share doc_id, source and size are interchangeable to the plan, so each gets the copies of one.
+    that agree in id, source and text are interchangeable, so each gets the copies of one of them.
     """
     cols = docs.columns
-    same = ["doc_id", "source", "size"]
-    took = plan(docs, id_col, text_col, source_col, seed=seed, **options).withColumn("c", F.explode("copies")).filter(2 * F.col("c.words") >= F.col("size"))
-    took = took.select(*same, "c.epoch", "c.shard")
-    tagged = docs.select(F.struct(*[F.col(c) for c in cols]).alias("row"), F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.size(common.words(F.col(text_col).cast("string"))).cast("long").alias("size"))
-    tagged = common.ranked_in_key(tagged, same)
-    took = common.ranked_in_key(took, [*same, "epoch"])
-    on = F.lit(True)
-    for c in (*same, "turn"):
-        on = on & tagged[c].eqNullSafe(took[c])
-    out = tagged.join(took, on).select("row", took["shard"], took["epoch"], took["doc_id"])
-    return out.repartition("shard", F.pmod(F.xxhash64("doc_id", "epoch"), F.lit(64))).sortWithinPartitions("shard", F.xxhash64(F.lit(seed), "doc_id", "epoch")).select("row.*")
+    whole = F.filter("copies", lambda c: 2 * c["words"] >= F.col("size"))
+    took = plan(docs, id_col, text_col, source_col, seed=seed, **options).select("row_key", whole.alias("copies"))
+    took = took.groupBy("row_key").agg(F.sort_array(F.collect_list("copies")).alias("all_copies"))  # one list for each row that repeats
+    tagged = docs.select(F.struct(*[F.col(c) for c in cols]).alias("row"), _row_key(id_col, text_col, source_col).alias("row_key"), F.col(id_col).cast("string").alias("id"))
+    tagged = tagged.withColumn("turn", F.row_number().over(Window.partitionBy("row_key").orderBy("row_key")) - 1)
+    out = tagged.join(took, "row_key").select("row", "id", F.explode(F.get("all_copies", F.col("turn"))).alias("c"))
+    place = F.xxhash64(F.lit(seed), "id", "c.epoch")
+    return out.repartition("c.shard", F.pmod(place, F.lit(1 << 16))).sortWithinPartitions("c.shard", place).select("row.*")
