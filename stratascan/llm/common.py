@@ -2,39 +2,17 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import scratch_path, shared_dir
+
 #: A key with at least this share of the rows counts as hot, so there are at most 1 / HOT_SHARE hot keys.
 HOT_SHARE = 0.001
 
 #: Parts into which ranks and prefix sums of one key are dealt.
 BUCKETS = 4096
 
-_own_dir: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset (tests), one of our own."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not _own_dir:
-        _own_dir.append(tempfile.mkdtemp(prefix="stratascan-"))
-        atexit.register(shutil.rmtree, _own_dir[0], ignore_errors=True)
-    return f"file://{_own_dir[0]}"
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/stratascan/{uuid.uuid4().hex}/{name}"
-
-
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back: lineage ends there, and a lost executor costs nothing that was written."""
     spark = df.sparkSession
@@ -102,6 +80,14 @@ def words(text: Column) -> Column:
     return F.when(F.length(trimmed) > 0, F.split(trimmed, r"[\x20\x09-\x0D]+")).otherwise(F.array().cast("array<string>"))
 
 
-def ranked_in_key(df: DataFrame, keys: list[str], name: str = "turn") -> DataFrame:
-    """Adds `name`: numbers from 0 for rows that agree in all of `keys`, of which there are to be few."""
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*keys)) - 1)
+def columns(df: DataFrame) -> list[Column]:
+    """All columns of a frame, whatever characters are in their names."""
+    return [F.col(f"`{c}`") for c in df.columns]
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that the frame doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -67,13 +67,12 @@ def dedup(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col:
 
 def keep_documents(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, with all their columns."""
-    cols = docs.columns
-
     # One key that is never null: the join deals rows by it, and the window that follows needs no other shuffle of the texts.
     def key(digest: Column, ident: Column) -> Column:
         return F.concat(digest, F.coalesce(ident.cast("long").cast("string"), F.lit("null")).cast("binary"))
 
-    stays = dedup(docs, index, id_col, text_col).filter("kept").select(key(F.unhex("text_sha256"), F.col("doc_id")).alias("_key"))
-    tagged = docs.withColumn("_key", key(F.unhex(F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256)), F.col(id_col)))
-    first = Window.partitionBy("_key").orderBy("_key")
-    return tagged.join(stays, "_key", "left_semi").withColumn("_copy", F.row_number().over(first)).filter("_copy = 1").select(*[F.col(c) for c in cols])
+    name, copy = common.unused(docs, "_key"), common.unused(docs, "_copy")
+    stays = dedup(docs, index, id_col, text_col).filter("kept").select(key(F.unhex("text_sha256"), F.col("doc_id")).alias(name))
+    tagged = docs.withColumn(name, key(F.unhex(F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256)), F.col(id_col)))
+    first = Window.partitionBy(name).orderBy(name)
+    return tagged.join(stays, name, "left_semi").withColumn(copy, F.row_number().over(first)).filter(F.col(copy) == 1).select(*common.columns(docs))

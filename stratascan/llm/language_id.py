@@ -24,8 +24,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import common
-
 PER_LANGUAGE, SAMPLE_CHARS, MOST_LANGUAGES = 400, 2000, 500
 WORD = re.compile(r"[^\W\d_]+")
 LONGEST = 24  # characters of a word that are one sequence; longer ones are cut
@@ -184,7 +182,7 @@ def train(samples: list[tuple[str, str]], hidden: int = 12, steps: int = 200, ba
 class Predictor:
     """Scores documents with a network, remembering words."""
 
-    def __init__(self, net: BiGru, remembered: int = 300_000):
+    def __init__(self, net: BiGru, remembered: int = 200_000):
         self.net, self.remembered = net, remembered
         self.clear()
 
@@ -222,7 +220,7 @@ def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str,
     keep = F.lit(False)
     for r in found:
         keep = keep | ((F.col("lang") == r["lang"]) & (F.col("h") < int(1_000_000 * min(1.0, 1.3 * per_language / r["count"])) + 1))
-    picked = rows.filter(keep).select("lang", "h", F.substring("text", 1, SAMPLE_CHARS).alias("text")).collect()
+    picked = rows.filter(keep).select("lang", "h", F.substring("text", 1, SAMPLE_CHARS).alias("text")).limit(2 * per_language * max(1, len(found))).collect()
     out, seen = [], Counter()
     for r in sorted(picked, key=lambda r: (r.h, r.lang, r.text or "")):
         seen[r.lang] += 1

@@ -13,7 +13,7 @@ shuffle; only digests and offsets are shuffled.
 
 Defined results: a null text has no units; what is shorter than a unit is left alone; a null doc_id
 ranks first; rows that repeat doc_id and text are one document, so they aren't repeats of each
-other; a unit that occurs twice in one document is a repeat; an empty table gives no rows. Offsets
+other, and each has its repeats of others; a unit that occurs twice in one document is a repeat; an empty table gives no rows. Offsets
 are in code points, the end exclusive.
 """
 
@@ -125,25 +125,28 @@ def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     groups = found.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "span")).alias("kept"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     out = common.join_hot(found, common.stage(groups, "groups"), ["d1", "d2"], "n", found.count())
     kept = F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (start(F.col("span")) == start(F.col("kept.span")))
-    out = out.filter(~kept).select(
+    return out.filter(~kept).select(
         "doc_id", F.when(F.col("size") % 2 == 0, F.lit(KINDS[0])).otherwise(F.lit(KINDS[1])).alias("unit"), start(F.col("span")).alias("start"), F.col("span").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("end"),
         F.shiftright("size", 1).alias("n_words"), F.lower(F.concat(F.lpad(F.hex("d1"), 16, "0"), F.lpad(F.hex("d2"), 16, "0"))).alias("digest"), F.col("kept.doc_id").alias("kept_doc_id"), start(F.col("kept.span")).alias("kept_start"),
     )
-    return out.distinct()  # rows of docs that repeat have the same repeats
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_WORDS) -> DataFrame:
-    """docs with all their columns; repeats are cut from the text, and removed (array of start, end) has their spans in the original."""
-    spans = repeated_units(docs, id_col, text_col, least).groupBy(F.col("doc_id").alias("_id")).agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("_spans"))
+    """docs with all their columns; repeats are cut from the text, and removed (array of start, end) has their spans in the original.
+
+    If docs has a column `removed`, the new one is `removed_`.
+    """
+    ident, name = common.unused(docs, "_id"), common.unused(docs, "removed")
+    spans = repeated_units(docs, id_col, text_col, least).groupBy(F.col("doc_id").alias(ident)).agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias(name))
     none = F.array().cast("array<struct<start: int, end: int>>")
-    both = docs.join(spans, F.col(id_col).cast("long").eqNullSafe(F.col("_id")), "left").withColumn("_spans", F.coalesce("_spans", none))
+    both = docs.join(spans, F.col(id_col).cast("long").eqNullSafe(F.col(ident)), "left").withColumn(name, F.coalesce(name, none))
     # Overlapping spans become one.
     grow = lambda acc, x: F.when(
         (F.size(acc) > 0) & (F.element_at(acc, -1)["end"] >= x["start"]),
         F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], x["end"]).alias("end")))),
     ).otherwise(F.concat(acc, F.array(x)))
-    both = both.withColumn("_spans", F.aggregate("_spans", none, grow))
+    both = both.withColumn(name, F.aggregate(name, none, grow))
     text = F.col(text_col).cast("string")
-    gaps = F.transform(F.sequence(F.lit(0), F.size("_spans")), lambda k: F.struct(F.coalesce(F.get("_spans", k - 1)["end"], F.lit(0)).alias("a"), F.coalesce(F.get("_spans", k)["start"], F.length(text)).alias("b")))
+    gaps = F.transform(F.sequence(F.lit(0), F.size(name)), lambda k: F.struct(F.coalesce(F.get(name, k - 1)["end"], F.lit(0)).alias("a"), F.coalesce(F.get(name, k)["start"], F.length(text)).alias("b")))
     cut = F.when(text.isNotNull(), F.array_join(F.transform(gaps, lambda g: text.substr(g["a"] + 1, g["b"] - g["a"])), ""))
-    return both.select(*[cut.alias(c) if c == text_col else F.col(c) for c in docs.columns], F.col("_spans").alias("removed"))
+    return both.select(*[cut.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns], F.col(name))

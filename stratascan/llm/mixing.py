@@ -112,11 +112,10 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Documents are whole here: one that is taken in part comes if that is half of it or more. Rows
     that agree in id, source and text are interchangeable, so each gets the copies of one of them.
     """
-    cols = docs.columns
     whole = F.filter("copies", lambda c: 2 * c["words"] >= F.col("size"))
     took = plan(docs, id_col, text_col, source_col, seed=seed, **options).select("row_key", whole.alias("copies"))
     took = took.groupBy("row_key").agg(F.sort_array(F.collect_list("copies")).alias("all_copies"))  # one list for each row that repeats
-    tagged = docs.select(F.struct(*[F.col(c) for c in cols]).alias("row"), _row_key(id_col, text_col, source_col).alias("row_key"), F.col(id_col).cast("string").alias("id"))
+    tagged = docs.select(F.struct(*common.columns(docs)).alias("row"), _row_key(id_col, text_col, source_col).alias("row_key"), F.col(id_col).cast("string").alias("id"))
     tagged = tagged.withColumn("turn", F.row_number().over(Window.partitionBy("row_key").orderBy("row_key")) - 1)
     out = tagged.join(took, "row_key").select("row", "id", F.explode(F.get("all_copies", F.col("turn"))).alias("c"))
     place = F.xxhash64(F.lit(seed), "id", "c.epoch")

@@ -29,24 +29,29 @@ from pyspark.sql import functions as F
 from . import common, components
 
 SEED = 42
+CHUNK = 1 << 20  # bytes of a text whose shingles are in memory at once
+SPACES = b" \t\n\x0b\x0c\r"
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
     """The 64-bit fingerprint of one text, unsigned."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: lowers A-Z and splits at the six ASCII spaces
-    if not words:
-        return 0
-    if len(words) < shingle:
-        shingles: list[bytes] = [b" ".join(words)]
-    else:
-        shingles = list(map(b" ".join, zip(*(words[k:] for k in range(shingle)))))
-    digest = xxhash.xxh64_intdigest
-    counts = np.zeros(64, np.int64)
-    for at in range(0, len(shingles), 32768):
-        hashes = np.array([digest(s, SEED) for s in shingles[at : at + 32768]], "<u8")
-        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        counts += bits.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > len(shingles), bitorder="little").view("<u8")[0])
+    raw = (text or "").encode("utf-8", "surrogatepass").lower()  # bytes: lowers A-Z, and split() splits at the six ASCII spaces
+    counts, n, carry, at = np.zeros(64, np.int64), 0, [], 0
+    while at < len(raw) or not at:
+        end = at + CHUNK
+        while end < len(raw) and raw[end] not in SPACES:
+            end += 1
+        words = carry + raw[at:end].split()
+        at = max(1, end)
+        if at >= len(raw) and not n and 0 < len(words) < shingle:
+            shingles = [b" ".join(words)]
+        else:
+            shingles = list(map(b" ".join, zip(*(words[k:] for k in range(shingle)))))
+            carry = words[max(0, len(words) - shingle + 1) :] if shingle > 1 else []
+        n += len(shingles)
+        hashes = np.array([xxhash.xxh64_intdigest(s, SEED) for s in shingles], "<u8")
+        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
@@ -171,5 +176,6 @@ def group_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: int) -> DataFrame:
     """The rows of docs whose doc_id stands for its component (rows with a null doc_id stay too), with all their columns."""
     groups = group_documents(docs, id_col, text_col, **options)
-    drops = groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("_drop_id")).distinct()
-    return docs.join(drops, F.col(id_col).cast("long") == F.col("_drop_id"), "left_anti")
+    name = common.unused(docs, "_drop_id")
+    drops = groups.filter("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(drops, F.col(id_col).cast("long") == F.col(name), "left_anti")

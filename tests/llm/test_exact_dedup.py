@@ -34,7 +34,7 @@ def test_batches_against_brute_force(spark):
 
 def test_kept_documents_have_their_columns(spark):
     rows = [(1, "a", "p"), (2, "a", "q"), (5, "b", "r"), (5, "b", "r"), (None, "c", None), (None, None, None)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, _stay_note string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _key string")
     index = exact_dedup.DigestIndex(spark, common.scratch_path(spark, "index"), buckets=2)
     out = exact_dedup.keep_documents(docs, index)
     assert out.columns == docs.columns

@@ -74,7 +74,7 @@ def test_repeats_against_brute_force(spark):
 
 def test_cut_texts(spark):
     rows, _ = corpus()
-    docs = spark.createDataFrame([(*r, 7) for r in rows], "doc_id long, text string, end int")
+    docs = spark.createDataFrame([(*r, 7, "x") for r in rows], "doc_id long, text string, end int, _id string")
     out = line_dedup.without_repeats(docs)
     assert out.columns == [*docs.columns, "removed"]
     spans = defaultdict(set)
@@ -90,6 +90,6 @@ def test_edges(spark):
     long = " ".join(f"w{k}" for k in range(60000)) + " "
     docs = spark.createDataFrame([(1, long), (1, long), (None, long), (2, "short line")], "doc_id long, text string")
     got = line_dedup.repeated_units(docs).collect()
-    assert [(r.doc_id, r.start, r.end, r.kept_doc_id) for r in got if r.unit == "line"] == [(1, 0, len(long) - 1, None)]
+    assert [(r.doc_id, r.start, r.end, r.kept_doc_id) for r in got if r.unit == "line"] == [(1, 0, len(long) - 1, None)] * 2
     assert all(r.doc_id == 1 and r.kept_doc_id is None and r.start == r.kept_start for r in got)
     assert line_dedup.repeated_units(docs.filter("false")).count() == 0

@@ -33,7 +33,7 @@ def test_splitting_tree_is_exact():
 def make(spark):
     rows = [(k, "w " * (k % 37) + "end", "src" + str(k % 4)) for k in range(400)] + [(1000 + k, "tiny", "zzz") for k in range(3)]
     rows += [(2000, None, "src1"), (2001, "", None), (2002, "a b c", None), (2002, "a b c", None), (None, "x y", "src2"), (2003, "v " * 50000, "src0")]
-    return rows, spark.createDataFrame([(*r, "t") for r in rows], "doc_id long, text string, source string, target string")
+    return rows, spark.createDataFrame([(*r, "t") for r in rows], "doc_id long, text string, source string, `row.key` string")
 
 
 def test_plan(spark):
