@@ -5,8 +5,6 @@ A query's SQL reads the tables by name; footer queries name the files whose foot
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bloom, encodings, hashing, names
 from ..operators import levels, pruning, stats
+from ..scratch import scratch_path
 from ..sources import checks, footers, page_index, scan, sink
 from ..streaming import batches
 
@@ -40,9 +39,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path for a table that a query writes and reads back, in the folder that the cluster shares."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/stratascan-tables"
-    return f"{shared.rstrip('/')}/{uuid.uuid4().hex}/{name}.parquet"
+    """A new path for a table that a query writes and reads back."""
+    return scratch_path(spark, f"{name}.parquet")
 
 
 # ---- scans and projections
