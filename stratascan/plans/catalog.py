@@ -109,7 +109,7 @@ def metadata_count(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
-@query("SELECT count(*) AS n, sum(event_id) AS sum_id, sum(user_id) AS sum_user, round(sum(value), 2) AS sum_value FROM events")
+@query("SELECT count(*) AS n, CAST(sum(event_id) AS BIGINT) AS sum_id, CAST(sum(user_id) AS BIGINT) AS sum_user, round(sum(value), 2) AS sum_value FROM events")
 def benchmark_shape(spark, sf_dir):
     return table(spark, sf_dir, "events").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("sum_id"), F.sum("user_id").alias("sum_user"), F.round(F.sum("value"), 2).alias("sum_value"))
 
