@@ -38,3 +38,18 @@ def test_host_verdicts(spark):
 
 def test_empty(spark):
     assert host_rules.judge(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
+
+
+def test_no_python_in_the_plans(spark, monkeypatch):
+    plans = []
+    staged = host_rules.common.stage
+
+    def watched(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return staged(df, name)
+
+    monkeypatch.setattr(host_rules.common, "stage", watched)
+    docs = spark.createDataFrame([(1, "a b c", "s")], "doc_id long, text string, source string")
+    plans.append(host_rules.judge(docs)._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) == 3
+    assert not any(word in p for p in plans for word in ("Python", "Pandas", "Arrow"))
