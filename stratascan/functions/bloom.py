@@ -47,12 +47,14 @@ def words_of(h: Column) -> Column:
 
 def build(df: DataFrame, column: str, blocks: int) -> DataFrame:
     """(block, word, bits) of the filter of a column's values; nulls aren't in it."""
-    return from_hashes(hashing.with_xxh64(df.select(column), column, "h"), "h", blocks)
+    # Nulls go before hashing: a filter on the hash would make Spark compute it twice.
+    return from_hashes(hashing.with_xxh64(df.select(column).filter(F.col(column).isNotNull()), column, "h"), "h", blocks)
 
 
 def from_hashes(df: DataFrame, hash_column: str, blocks: int) -> DataFrame:
+    """(block, word, bits) of the filter of hashes, none of them null."""
     h = F.col(hash_column)
-    bits = df.filter(h.isNotNull()).select(block_of(h, blocks).alias("block"), F.explode(words_of(h)).alias("w"))
+    bits = df.select(block_of(h, blocks).alias("block"), F.explode(words_of(h)).alias("w"))
     return bits.groupBy("block", "w.word").agg(F.bit_or("w.mask").alias("bits"))
 
 

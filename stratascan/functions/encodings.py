@@ -76,7 +76,7 @@ def delta_decode(encoded: DataFrame, value: str, order: str, within: Sequence[st
 def delta_blocks(encoded: DataFrame, order: str, within: Sequence[str], block: int = 128) -> DataFrame:
     """(within, block, n, min_delta, bit_width): what each block of differences needs, after the chunk's first value."""
     w = _in(within, order)
-    placed = encoded.withColumn("_k", F.row_number().over(w) - 2).filter("_k >= 0").withColumn("block", F.floor(F.col("_k") / block).cast("long"))
+    placed = encoded.withColumn("_k", F.row_number().over(w) - 2).filter("_k >= 0").withColumn("block", F.call_function("div", F.col("_k"), F.lit(block)))
     out = placed.groupBy(*within, "block").agg(F.count(F.lit(1)).alias("n"), F.min("delta").alias("min_delta"), F.max("delta").alias("_max"))
     spread = F.col("_max") - F.col("min_delta")
     return out.withColumn("bit_width", F.when(spread == 0, 0).otherwise(F.length(F.bin(spread)))).drop("_max")
@@ -130,7 +130,7 @@ def unvarint(column: Column) -> Column:
 
 def bit_pack(df: DataFrame, value: str, order: str, within: Sequence[str], width: int) -> DataFrame:
     """(within, group, packed): eight values at a time in `width` bits each, least bit first; a last short group is filled with zeros."""
-    placed = df.select(*within, F.col(value).cast("long").alias("_v"), (F.row_number().over(_in(within, order)) - 1).alias("_k")).withColumn("group", F.floor(F.col("_k") / 8).cast("long"))
+    placed = df.select(*within, F.col(value).cast("long").alias("_v"), (F.row_number().over(_in(within, order)) - 1).alias("_k")).withColumn("group", F.call_function("div", F.col("_k"), F.lit(8)))
     sorted_values = F.transform(F.sort_array(F.collect_list(F.struct("_k", "_v"))), lambda x: x["_v"])
     grouped = placed.groupBy(*within, "group").agg(sorted_values.alias("_vs"))
     filled = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.lpad(F.bin(F.coalesce(F.get(F.col("_vs"), k), F.lit(0))), width, "0"))

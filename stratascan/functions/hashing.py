@@ -2,52 +2,76 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Fixed-width kinds, as Parquet's plain encoding lays them out.
+PLAIN = {"int": "<i4", "bigint": "<i8", "float": "<f4", "double": "<f8"}
+
+# The primes of the published hash.
+P1, P2, P3, P4, P5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
 
 def crc32(column: Column) -> Column:
     """CRC-32 (IEEE) of a string's or binary's bytes, as an unsigned value in a long."""
     return F.crc32(column.cast("binary"))
 
 
+def _numbers(values: pa.Array, kind: str) -> np.ndarray:
+    return values.fill_null(0).to_numpy(zero_copy_only=False).astype(PLAIN[kind])
+
+
 def little_endian(column: Column, kind: str) -> Column:
-    """The bytes of a value as Parquet's plain encoding lays them out; kind: the column's Spark type."""
+    """The bytes of a value in plain encoding; kind: the column's Spark type."""
     if kind in ("string", "binary"):
         return column.cast("binary")
-    width = {"int": 8, "bigint": 16}.get(kind)
-    if width is None:
-        return _float_bytes(column, kind)
-    digits = F.lpad(F.hex(column.cast("bigint")), 16, "0").substr(17 - width, width)
-    pairs = F.transform(F.sequence(F.lit(width - 1), F.lit(1), F.lit(-2)), lambda k: F.substring(digits, k, F.lit(2)))
-    return F.when(column.isNotNull(), F.unhex(F.array_join(pairs, "")))
+
+    @F.arrow_udf("binary")
+    def run(values: pa.Array) -> pa.Array:
+        numbers = _numbers(values, kind)
+        width = numbers.dtype.itemsize
+        packed = pa.Array.from_buffers(pa.binary(width), len(numbers), [None, pa.py_buffer(numbers.tobytes())])
+        return pc.if_else(values.is_null(), pa.scalar(None, pa.binary()), packed.cast(pa.binary()))
+
+    return run(column)
 
 
-def _float_bytes(column: Column, kind: str) -> Column:
-    dtype = {"float": "<f4", "double": "<f8"}[kind]
+def _rotated(x: np.ndarray, by: int) -> np.ndarray:
+    return (x << np.uint64(by)) | (x >> np.uint64(64 - by))
 
-    @F.pandas_udf("binary")
-    def run(values: pd.Series) -> pd.Series:
-        known = values.notna()
-        raw = values.fillna(0).to_numpy(dtype).tobytes()
-        n = int(dtype[-1])
-        return pd.Series([raw[k * n : k * n + n] if ok else None for k, ok in enumerate(known)])
 
-    # A null's bytes are masked here, as NaN and null are one to pandas.
-    return F.when(column.isNull(), F.lit(None)).otherwise(run(F.coalesce(column, F.lit(0).cast(kind))))
+def xxh64_of_numbers(numbers: np.ndarray, seed: int = 0) -> np.ndarray:
+    """XXH64 of each number's 4 or 8 bytes, for all of them at once."""
+    width = numbers.dtype.itemsize
+    h = np.full(len(numbers), (seed + int(P5) + width) % 2**64, np.uint64)
+    if width == 8:
+        h ^= _rotated(numbers.view("<u8") * P2, 31) * P1
+        h = _rotated(h, 27) * P1 + P4
+    else:
+        h ^= numbers.view("<u4").astype(np.uint64) * P1
+        h = _rotated(h, 23) * P2 + P3
+    for shift, prime in ((33, P2), (29, P3)):
+        h ^= h >> np.uint64(shift)
+        h *= prime
+    return h ^ (h >> np.uint64(32))
 
 
 def xxh64(column: Column, kind: str, seed: int = 0) -> Column:
     """XXH64 of a value's plain-encoded bytes, as a signed long: with seed 0, the hash that Parquet's bloom filters use."""
 
-    @F.pandas_udf("long")
-    def run(raw: pd.Series) -> pd.Series:
-        digest = xxhash.xxh64_intdigest
-        return pd.Series([None if v is None else (h if (h := digest(v, seed)) < 1 << 63 else h - (1 << 64)) for v in raw], dtype="Int64")
+    @F.arrow_udf("long")
+    def run(values: pa.Array) -> pa.Array:
+        if kind in PLAIN:
+            hashes = xxh64_of_numbers(_numbers(values, kind), seed)
+        else:
+            hashes = np.array([xxhash.xxh64_intdigest(v, seed) if v is not None else 0 for v in values.to_pylist()], np.uint64)
+        return pa.array(hashes.view(np.int64), mask=np.asarray(values.is_null()))
 
-    return run(little_endian(column, kind))
+    return run(column if kind in PLAIN else column.cast("binary"))
 
 
 def with_xxh64(df: DataFrame, column: str, name: str = "xxh64", seed: int = 0) -> DataFrame:

@@ -145,7 +145,7 @@ def filter_timestamp(spark, sf_dir):
 
 
 def _groups(spark, sf_dir, column="value"):
-    events = table(spark, sf_dir, "events").withColumn("rg", F.floor(F.col("event_id") / 1000).cast("long"))
+    events = table(spark, sf_dir, "events").withColumn("rg", F.call_function("div", F.col("event_id"), F.lit(1000)))
     return stats.column_statistics(events, column, ["rg"])
 
 
@@ -343,7 +343,7 @@ def schema_levels(spark, sf_dir):
 
 
 def _chunks(spark, sf_dir):
-    return table(spark, sf_dir, "events").withColumn("rg", F.floor(F.col("event_id") / 1000).cast("long"))
+    return table(spark, sf_dir, "events").withColumn("rg", F.call_function("div", F.col("event_id"), F.lit(1000)))
 
 
 _CHUNKS_SQL = "(SELECT *, event_id // 1000 AS rg FROM events)"

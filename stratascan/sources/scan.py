@@ -87,7 +87,7 @@ def with_batches(df: DataFrame, batch_size: int = 65536, row: str = "row_index",
     """Adds batch_id: rows in runs of batch_size by row number, without a shuffle; `within` columns (file, row group) keep batches apart."""
     if batch_size < 1:
         raise ScanError(Status.INVALID_ARGUMENT, "batch_size is below 1")
-    return df.withColumn("batch_id", F.floor(F.col(row) / F.lit(batch_size)).cast("long")).select(*within, *[c for c in [*df.columns, "batch_id"] if c not in within])
+    return df.withColumn("batch_id", F.call_function("div", F.col(row), F.lit(batch_size))).select(*within, *[c for c in [*df.columns, "batch_id"] if c not in within])
 
 
 def with_row_groups(rows: DataFrame, groups: DataFrame, row: str = "row_index") -> DataFrame:
