@@ -1 +1,3 @@
 """Scanning, pruning, inspecting, encoding and writing columnar files with Spark."""
+
+__version__ = "0.1.0"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -46,3 +46,24 @@ def merge(parts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 def is_null(column: Column) -> Column:
     """The null bitmap as a named boolean."""
     return column.isNull()
+
+
+def column_index(df: DataFrame, column: str, order: str, within: Sequence[str], page_rows: int) -> DataFrame:
+    """A page index as a relation: (within, page, first_row, n_rows, null_page, null_count, min_value, max_value) for pages of page_rows rows."""
+    w = Window.partitionBy(*within).orderBy(order)
+    placed = df.select(*within, F.col(column).alias("_v"), (F.row_number().over(w) - 1).alias("_k")).withColumn("page", F.call_function("div", F.col("_k"), F.lit(page_rows)))
+    out = placed.groupBy(*within, "page").agg(
+        F.min("_k").cast("long").alias("first_row"), F.count(F.lit(1)).alias("n_rows"), (F.count("_v") == 0).alias("null_page"), F.count_if(F.col("_v").isNull()).alias("null_count"), F.min("_v").alias("min_value"), F.max("_v").alias("max_value")
+    )
+    return out
+
+
+def boundary_order(pages: DataFrame, within: Sequence[str]) -> DataFrame:
+    """(within, boundary_order) of a page index: ASCENDING or DESCENDING if the bounds of pages with values are, ascending if both; else UNORDERED."""
+    w = Window.partitionBy(*within).orderBy("page")
+    low, high = F.lag("min_value").over(w), F.lag("max_value").over(w)
+    steps = pages.filter(~F.col("null_page")).select(
+        *within, (F.coalesce(F.col("min_value") >= low, F.lit(True)) & F.coalesce(F.col("max_value") >= high, F.lit(True))).alias("_up"), (F.coalesce(F.col("min_value") <= low, F.lit(True)) & F.coalesce(F.col("max_value") <= high, F.lit(True))).alias("_down")
+    )
+    kind = F.when(F.bool_and("_up"), "ASCENDING").when(F.bool_and("_down"), "DESCENDING").otherwise("UNORDERED")
+    return steps.groupBy(*within).agg(kind.alias("boundary_order"))

@@ -200,6 +200,29 @@ def range_overlap(spark, sf_dir):
     return _groups(spark, sf_dir, "event_id").select("rg", pruning.overlaps(lo, hi, 2900, 5200).alias("inside"), pruning.overlaps(lo, hi, start=2900).alias("from_2900"), pruning.overlaps(lo, hi, end=5200).alias("to_5200"))
 
 
+_PAGES_SQL = "(SELECT rg, k // 100 AS page, min(k) AS first_row, count(*) AS n_rows, count({c}) = 0 AS null_page, count(*) FILTER ({c} IS NULL) AS null_count, min({c}) AS min_value, max({c}) AS max_value FROM (SELECT event_id // 1000 AS rg, row_number() OVER (PARTITION BY event_id // 1000 ORDER BY event_id) - 1 AS k, * FROM events) GROUP BY 1, 2)"
+
+
+@query(f"SELECT * FROM {_PAGES_SQL.format(c='value')}")
+def page_statistics(spark, sf_dir):
+    return stats.column_index(_chunks(spark, sf_dir), "value", "event_id", ["rg"], 100)
+
+
+@query(f"SELECT rg, page FROM {_PAGES_SQL.format(c='value')} WHERE NOT null_page AND NOT (max_value < 900 OR min_value > 905)")
+def page_range_match(spark, sf_dir):
+    pages = stats.column_index(_chunks(spark, sf_dir), "value", "event_id", ["rg"], 100)
+    return pages.filter(pruning.page_overlaps(F.col("null_page"), F.col("min_value"), F.col("max_value"), 900.0, 905.0)).select("rg", "page")
+
+
+_ORDER_SQL = "(SELECT rg, CASE WHEN bool_and(coalesce(min_value >= a AND max_value >= b, true)) THEN 'ASCENDING' WHEN bool_and(coalesce(min_value <= a AND max_value <= b, true)) THEN 'DESCENDING' ELSE 'UNORDERED' END AS boundary_order FROM (SELECT *, lag(min_value) OVER w AS a, lag(max_value) OVER w AS b FROM {p} WINDOW w AS (PARTITION BY rg ORDER BY page)) GROUP BY rg)"
+
+
+@query(f"SELECT 'value' AS name, * FROM {_ORDER_SQL.format(p=_PAGES_SQL.format(c='value'))} UNION ALL SELECT 'event_id' AS name, * FROM {_ORDER_SQL.format(p=_PAGES_SQL.format(c='event_id'))}")
+def page_boundary_order(spark, sf_dir):
+    orders = [stats.boundary_order(stats.column_index(_chunks(spark, sf_dir), c, "event_id", ["rg"], 100), ["rg"]).select(F.lit(c).alias("name"), "rg", "boundary_order") for c in ("value", "event_id")]
+    return orders[0].unionByName(orders[1])
+
+
 # ---- footers
 
 

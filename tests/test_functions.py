@@ -46,6 +46,15 @@ def test_statistics(spark):
     assert (merged.num_values, merged.null_count, merged.min_value) == (4, 2, "y")
 
 
+def test_page_index_relation(spark):
+    rows = [(c, k, None if c == "nulls" and k < 4 else {"up": k, "down": -k, "mixed": k * 7 % 5, "flat": 1, "nulls": k}[c]) for c in ("up", "down", "mixed", "flat", "nulls") for k in range(10)]
+    pages = stats.column_index(spark.createDataFrame(rows, "c string, k int, v int"), "v", "k", ["c"], 4)
+    got = sorted(tuple(r)[1:] for r in pages.filter("c = 'nulls'").collect())
+    assert got == [(0, 0, 4, True, 4, None, None), (1, 4, 4, False, 0, 4, 7), (2, 8, 2, False, 0, 8, 9)]
+    orders = {r.c: r.boundary_order for r in stats.boundary_order(pages, ["c"]).collect()}
+    assert orders == {"up": "ASCENDING", "down": "DESCENDING", "mixed": "UNORDERED", "flat": "ASCENDING", "nulls": "ASCENDING"}
+
+
 @pytest.fixture(scope="module")
 def chunked(spark):
     rng = random.Random(3)
