@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from stratascan.llm import bpe, common, exact_dedup, language_id, mixing, simhash
-from stratascan.llm.queries import fold, tokenizer_path
+from stratascan.llm.queries import fold
+from stratascan.llm.vocabularies import tokenizer_path
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

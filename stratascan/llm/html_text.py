@@ -21,7 +21,7 @@ import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from html.parser import HTMLParser
+from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -74,26 +74,65 @@ class Block:
     text: str = ""
 
 
-class BlockParser(HTMLParser):
-    """Reads a page into blocks."""
+# Raw text elements hold no markup: they end at their own end tag only.
+RAW_END = {x: re.compile(rf"</{x}(?=[\s/>])", re.IGNORECASE) for x in ("script", "style", "textarea", "title", "iframe", "noembed", "noframes", "xmp")}
+MARKUP = re.compile(r"<!--|<[!?]|</(?![a-zA-Z])|<(/?)([a-zA-Z][^\s/>]*)")
+ATTRIBUTE = re.compile(r"""[\s/]*([^\s/>][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""")
+TAG_END = re.compile(r"[\s/]*>")
+
+
+class BlockParser:
+    """Reads a page into blocks, in one pass from start to end whatever its markup."""
 
     def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
         self.root = Element("html", 0, None, False, 0)
         self.paths: dict[tuple[int, str], int] = {}
         self.open, self.blocks, self.count, self.links = [self.root], [], 0, 0
+        self.opened: dict[str, int] = {}  # open elements by tag
         self.skip: list[str] = []  # open elements without text of their own: scripts and the like
         self.fresh = True
 
-    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+    def read(self, html: str) -> None:
+        at = 0
+        while m := MARKUP.search(html, at):
+            if m.start() > at:
+                self.text(unescape(html[at : m.start()]))
+            if not m[2]:  # comments, declarations and what is read as a comment
+                mark = "-->" if m[0] == "<!--" else ">"
+                end = html.find(mark, m.start() + 2)
+                if end < 0:
+                    return
+                at = end + len(mark)
+                continue
+            tag, at, attrs = m[2].lower(), m.end(), {}
+            while not (end := TAG_END.match(html, at)):
+                found = ATTRIBUTE.match(html, at)
+                if not found:
+                    return  # the page ends within a tag
+                attrs.setdefault(found[1].lower(), unescape(found[2] or found[3] or found[4] or ""))
+                at = found.end()
+            at = end.end()
+            if m[1]:
+                self.end_tag(tag)
+                continue
+            self.start_tag(tag, attrs)
+            if tag in RAW_END:
+                end = RAW_END[tag].search(html, at)
+                if not end:
+                    return
+                at = end.start()
+        if at < len(html):
+            self.text(unescape(html[at:]))
+
+    def start_tag(self, tag: str, attrs: dict[str, str]) -> None:
         if tag in VOID:
             if tag == "hr":
                 self.close_p()
                 self.fresh = True
             elif tag == "br":
-                self.handle_data(" ")
+                self.text(" ")
             return
-        if self.skip or tag in OUT and tag not in BLOCK:
+        if self.skip or tag in OUT and tag not in BLOCK or tag in RAW_END:
             self.skip.append(tag)
             return
         if tag == "a":
@@ -104,23 +143,23 @@ class BlockParser(HTMLParser):
             self.pop_to(len(self.open) - 1)
         if tag in ("html", "body"):
             if len(self.open) == 1 and tag == "body":
-                self.push(tag, dict(attrs))
+                self.push(tag, attrs)
             return
         if tag in ENDS_P:
             self.close_p()
         if tag in SIBLINGS_END:
             names, within = SIBLINGS_END[tag]
             self.close_siblings(names.split(), within)
-        self.push(tag, dict(attrs))
+        self.push(tag, attrs)
 
-    def push(self, tag: str, attrs: dict[str, str | None]) -> None:
+    def push(self, tag: str, attrs: dict[str, str]) -> None:
         if len(self.open) > DEEPEST:
-            self.open.pop()
+            self.opened[self.open.pop().tag] -= 1
         up = self.open[-1]
-        names = f"{attrs.get('class') or ''} {attrs.get('id') or ''}".strip()
-        role = (attrs.get("role") or "").lower()
-        out = up.out or tag in OUT or role in OUT_ROLE or "hidden" in attrs or attrs.get("aria-hidden") == "true" or bool(HIDDEN.search(attrs.get("style") or ""))
-        if tag == "header" and not any(e.tag in ("article", "main") for e in self.open):
+        names = f"{attrs.get('class', '')} {attrs.get('id', '')}".strip()
+        role = attrs.get("role", "").lower()
+        out = up.out or tag in OUT or role in OUT_ROLE or "hidden" in attrs or attrs.get("aria-hidden") == "true" or bool(HIDDEN.search(attrs.get("style", "")))
+        if tag == "header" and not (self.opened.get("article") or self.opened.get("main")):
             out = True
         if tag not in ("html", "body", "main", "article", "header") and not re.fullmatch(r"h[1-6]", tag) and OUT_NAME.search(names):
             out = True
@@ -128,13 +167,18 @@ class BlockParser(HTMLParser):
         step = f"{tag}.{names.split()[0]}" if names and tag != "p" else tag
         path = self.paths.setdefault((up.path, step), len(self.paths) + 1)
         self.open.append(Element(tag, path, up, out, self.count))
+        self.opened[tag] = self.opened.get(tag, 0) + 1
         self.fresh, self.links = True, 0
 
     def pop_to(self, k: int) -> None:
+        for e in self.open[k:]:
+            self.opened[e.tag] -= 1
         del self.open[k:]
         self.fresh, self.links = True, 0
 
     def close_p(self) -> None:
+        if not self.opened.get("p"):
+            return None
         for k in range(len(self.open) - 1, 0, -1):
             if self.open[k].tag == "p":
                 return self.pop_to(k)
@@ -143,6 +187,8 @@ class BlockParser(HTMLParser):
         return None
 
     def close_siblings(self, names: list[str], within: tuple[str, ...]) -> None:
+        if not any(map(self.opened.get, names)):
+            return
         last = None
         for k in range(len(self.open) - 1, 0, -1):
             if self.open[k].tag in within:
@@ -152,7 +198,7 @@ class BlockParser(HTMLParser):
         if last is not None:
             self.pop_to(last)
 
-    def handle_endtag(self, tag: str) -> None:
+    def end_tag(self, tag: str) -> None:
         if self.skip:
             if tag in self.skip:
                 while self.skip.pop() != tag:
@@ -160,7 +206,7 @@ class BlockParser(HTMLParser):
             return
         if tag == "a":
             self.links = 0
-        if tag not in BLOCK or tag in ("html", "body"):
+        if tag not in BLOCK or tag in ("html", "body") or not self.opened.get(tag):
             return
         for k in range(len(self.open) - 1, 0, -1):
             if self.open[k].tag == tag:
@@ -169,10 +215,7 @@ class BlockParser(HTMLParser):
                 return None
         return None
 
-    def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        self.handle_starttag(tag, attrs)  # the slash means nothing in HTML
-
-    def handle_data(self, data: str) -> None:
+    def text(self, data: str) -> None:
         if self.skip:
             return
         if self.fresh or self.blocks[-1].at is not self.open[-1]:
@@ -216,8 +259,7 @@ def path_scores(blocks: list[Block]) -> dict[int, float]:
 def article_text(html: str | None) -> str:
     """The main text: blocks joined by two line ends."""
     parser = BlockParser()
-    parser.feed(html or "")
-    parser.close()
+    parser.read(html or "")
     blocks = []
     for b in parser.blocks:
         b.text = SPACE.sub(" ", "".join(b.parts)).strip()

@@ -8,13 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, common, exact_dedup, host_rules, html_text, language_id, line_dedup, mixing, sharding, simhash, toxicity
-
-
-def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
-    """Where the public vocabulary file lies on this machine."""
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
+from .vocabularies import tokenizer_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

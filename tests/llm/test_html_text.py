@@ -1,5 +1,6 @@
 import html as entities
 import random
+import time
 
 import pytest
 
@@ -21,6 +22,10 @@ P2 = "Second paragraph; shorter, but still prose that reads as an article does,
         ("<nav>only a menu</nav><form>and a form</form>", ""),
         (f"<article><p>{P1}</p><!-- <p>hidden</p> --><aside>{P2}</aside><ul><li>one<li>two</ul><form>x<input></form><div role=alert>{P2}</div></article>", f"{P1}\n\none\n\ntwo"),
         (f"<article><p>{P1} <a href=x>linked words</a> on.</p><script>unclosed", f"{P1} linked words on."),
+        (f"<article><p>{P1}</p><!-- unclosed <p>hidden</p>", P1),
+        (f"<html><head><title>T</title><body><div hidden>a</div><p>{P1}<br/>x<svg><text>t</text></svg></p>", f"{P1} x"),
+        (f"<article><p>{P1}</ p></><!-->x<table><tr><td>a<td>b<tr><td>c</table></article>", f"{P1}x\n\na\n\nb\n\nc"),
+        (f"<body><header><p>{P2}</p></header><main><header><h1>Title</h1></header><p>{P1}<a href=\"unclosed>", f"Title\n\n{P1}"),
         (f"<article><p>a &lt;b&gt; &#233;&nbsp;x {P1}</p></article>", f"a <b> é x {P1}"),
     ],
 )
@@ -43,6 +48,13 @@ def test_generated_pages_against_their_parts():
         assert article_text(page) == "\n\n".join(" ".join(b.split()) for b in blocks)
 
 
+@pytest.mark.parametrize("part", ["<div class='x'>", "<p>", "<!--", "<a href='", "<", "</p", "<a ", "<script>", "<li>", "<td><tr>", '<a x="', "</div>", "&", "<b c=d "])
+def test_odd_pages_take_time_in_proportion(part):
+    began = time.perf_counter()
+    article_text(part * 100_000 + P1)
+    assert time.perf_counter() - began < 20
+
+
 def test_extract(spark):
     pages = spark.createDataFrame([(1, "u", f"<p>{P1}", "t"), (1, "u", f"<p>{P1}", "t"), (None, None, None, None), (3, "v", "<div>" * 3000 + P2, "t")], "page_id long, url string, html string, text string")
     got = sorted(extract(pages).collect(), key=str)
