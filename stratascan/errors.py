@@ -95,7 +95,7 @@ def status_of(error: BaseException) -> Status:
         return error.status
     text = f"{type(error).__name__}: {error}".lower()
     for status, marks in (
-        (Status.FILE_NOT_FOUND, ("path_not_found", "path does not exist", "no such file", "filenotfound")),
+        (Status.FILE_NOT_FOUND, ("path_not_found", "unable_to_infer_schema", "path does not exist", "no such file", "filenotfound")),
         (Status.CRC_MISMATCH, ("crc", "checksum")),
         (Status.INVALID_MAGIC, ("magic bytes", "is not a parquet file", "expected magic")),
         (Status.FILE_TRUNCATED, ("smaller than", "file size is", "unexpected end")),

@@ -431,6 +431,11 @@ def varint(spark, sf_dir):
     return coded.select("event_id", F.octet_length("bytes").alias("n_bytes"), encodings.unvarint(F.col("bytes")).alias("back"))
 
 
+@query("SELECT event_id, " + " || ".join(f"printf('%02X', (event_id >> {8 * k}) & 255)" for k in range(8)) + " AS bytes FROM events")
+def little_endian(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", F.hex(hashing.little_endian(F.col("event_id"), "bigint")).alias("bytes"))
+
+
 @query("SELECT event_id // 1000 AS rg, event_id % 1000 AS pos, event_id % 500 AS value FROM events")
 def bit_pack_unpack(spark, sf_dir):
     coded = encodings.bit_pack(_chunks(spark, sf_dir).withColumn("small", F.col("event_id") % 500), "small", "event_id", ["rg"], 9)

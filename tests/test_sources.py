@@ -249,6 +249,20 @@ def test_random_tables_round_trip(spark, tmp_path):
             assert sorted(map(plain, got)) == sorted(map(plain, rows))
 
 
+def test_failed_writes_leave_no_table(spark, tmp_path):
+    broken = spark.range(100).select(F.when(F.col("id") == 77, F.raise_error(F.lit("stop"))).otherwise(F.col("id")).cast("long").alias("id"))
+    with pytest.raises(Exception, match="stop"):
+        sink.write(broken, f"{tmp_path}/t.parquet")
+    assert not list(tmp_path.rglob("part-*"))
+    with pytest.raises(ScanError) as e:
+        scan.open_table(spark, f"{tmp_path}/t.parquet")
+    assert e.value.status is Status.FILE_NOT_FOUND
+    sink.write(spark.range(3), f"{tmp_path}/t.parquet", mode="overwrite")
+    with pytest.raises(Exception, match="(?i)exists"):
+        sink.write(spark.range(3), f"{tmp_path}/t.parquet")
+    assert scan.open_table(spark, f"{tmp_path}/t.parquet").count() == 3
+
+
 def test_errors():
     e = ScanError(Status.CRC_MISMATCH, "page 3", path="f", row_group=1, column=2)
     assert str(e).startswith("[CRC_MISMATCH] page 3 (file f, row group 1, column 2); ") and not e.recoverable
