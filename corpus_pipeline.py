@@ -23,7 +23,7 @@ def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact_deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the row with the largest doc_id."""
-    index = exact_dedup.DigestIndex(spark, common.scratch_path(spark, "digest_index"))
+    index = exact_dedup.DigestIndex.sized(spark, common.scratch_path(spark, "digest_index"), docs.count())
     return exact_dedup.keep_documents(docs, index)
 
 

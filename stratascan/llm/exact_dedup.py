@@ -32,6 +32,11 @@ class DigestIndex:
             f"CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{path}'"
         )
 
+    @classmethod
+    def sized(cls, spark: SparkSession, path: str, rows: int, rows_per_bucket: int = 4_000_000) -> DigestIndex:
+        """A new index for a number of documents: a power of two of buckets, 32 at least, that sort in a task's memory."""
+        return cls(spark, path, max(32, 1 << (max(1, rows // rows_per_bucket) - 1).bit_length()))
+
     def table(self) -> DataFrame:
         return self.spark.table(self.name)
 

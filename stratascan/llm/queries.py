@@ -41,8 +41,9 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = exact_dedup.DigestIndex(spark, common.scratch_path(spark, "digest_index"))
-    return exact_dedup.dedup(_table(spark, sf_dir, "documents"), index)
+    docs = _table(spark, sf_dir, "documents")
+    index = exact_dedup.DigestIndex.sized(spark, common.scratch_path(spark, "digest_index"), docs.count())  # from footers
+    return exact_dedup.dedup(docs, index)
 
 
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

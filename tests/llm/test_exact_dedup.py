@@ -46,3 +46,9 @@ def test_empty(spark):
     index = exact_dedup.DigestIndex(spark, common.scratch_path(spark, "index"), buckets=2)
     assert exact_dedup.dedup(docs, index).count() == 0
     assert index.table().count() == 0
+
+
+def test_sized_index(spark):
+    sizes = [exact_dedup.DigestIndex.sized(spark, common.scratch_path(spark, f"index{n}"), n).buckets for n in (0, 10**6, 128_000_000, 129_000_000, 10**9)]
+    assert sizes == [32, 32, 32, 32, 256]
+    assert exact_dedup.DigestIndex.sized(spark, common.scratch_path(spark, "index"), 40, rows_per_bucket=1).buckets == 64
