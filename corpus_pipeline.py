@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratascan.llm import bpe, common, exact_dedup, language_id, mixing, simhash
+from stratascan.llm import bpe, common, exact_dedup, language_id, mixing, shingle_sets
 from stratascan.llm.queries import fold
 from stratascan.llm.vocabularies import tokenizer_path
 
@@ -28,8 +28,8 @@ def exact_deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts whose fingerprints link, the row with the smallest doc_id."""
-    return simhash.keep_documents(docs)
+    """Of texts that link by a similarity of 0.8 or more in five-word shingles, the row with the smallest doc_id."""
+    return shingle_sets.keep_documents(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +45,7 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("language_id", identified),
     ("exact_dedup", exact_deduplicated),
-    ("simhash_near_dedup", near_deduplicated),
+    ("shingle_near_dedup", near_deduplicated),
     ("source_mix", mixed),
     ("bpe_encode", encoded),
 ]

@@ -1,0 +1,153 @@
+"""Near-dedup by the Jaccard similarity of word shingles, exact: no pair at the similarity or above is missed, and none below is linked.
+
+A text's set has the 64-bit hashes of its runs of `shingle` words. Two sets of similarity 4/5 share
+four fifths of either's hashes, so in the order of the hashes, which is the same for all, each has
+one of the other's among its first n - ceil(4n / 5) + 1, and l of them if l - 1 more are taken (the
+prefix filter of set joins). Only these first hashes are shuffled. Texts without enough shared ones
+go; the rest are ordered anew, rarest hashes first. Then each hash's text of least number is compared with all others that have the hash,
+by their whole sets. What is linked by then needs no comparison any more, so a large group of near
+copies costs comparisons in proportion to its size. After ROUNDS such rounds all pairs that share a
+hash and aren't linked are compared.
+
+Defined results: words are as in simhash; a null text has none; texts with fewer words than a
+shingle are one shingle, so all texts without words are alike; texts of equal sets are alike; a
+set's number is a 64-bit hash of it; rows with a null doc_id stay; an empty table gives no rows.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from . import common, components, simhash
+
+#: The similarity, as a fraction.
+ALIKE, OF = 4, 5
+ROUNDS = 3
+FACTORS = np.array([xxhash.xxh64_intdigest(bytes([k]), simhash.SEED) | 1 for k in range(64)], np.uint64)
+
+
+def shingle_set(text: str | None, shingle: int = 5) -> np.ndarray:
+    """The distinct hashes of a text's shingles, in order."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    runs = max(1, len(words) - shingle + 1)
+    out = np.full(runs, min(len(words), shingle), np.uint64)
+    for k in range(min(len(words), shingle)):
+        out += h[k : k + runs] * FACTORS[k]
+    out ^= out >> np.uint64(33)
+    out *= np.uint64(0xFF51AFD7ED558CCD)
+    out ^= out >> np.uint64(33)
+    return np.unique(out)
+
+
+def least_shared(n: int) -> int:
+    """Hashes that a set of n has to share with one that is alike."""
+    return -(-ALIKE * n // OF)
+
+
+def shingle_sets(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """doc_id; node: the set's number; n: its hashes; head: those of the filter, tail: all others; near: how many of head each alike set must share; first: the hashes of head of which it must share one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                sets = [shingle_set(t, shingle) for t in part.column(1).to_pylist()]
+                n = [len(s) for s in sets]
+                first = [k - least_shared(k) + 1 for k in n]
+                near = [(m := least_shared(k)) - least_shared(m) + 1 for k in n]
+                signed = [s.view(np.int64) for s in sets]
+                node = [xxhash.xxh3_64_intdigest(s.tobytes(), simhash.SEED) for s in sets]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(n, pa.int32()), pa.array(first, pa.int32()), pa.array(near, pa.int32()),
+                     pa.array([s[: 2 * f - 1] for s, f in zip(signed, first)], pa.list_(pa.int64())), pa.array([s[2 * f - 1 :] for s, f in zip(signed, first)], pa.list_(pa.int64()))],
+                    ["doc_id", "node", "n", "first", "near", "head", "tail"],
+                )
+
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return own.mapInArrow(run, "doc_id long, node long, n int, first int, near int, head array<long>, tail array<long>")
+
+
+def _in_two(postings: DataFrame, by: str) -> DataFrame:
+    """The postings whose hash has two values of `by` or more."""
+    keys = postings.groupBy("h").agg(F.min(by).alias("low"), F.max(by).alias("high"), F.count(F.lit(1)).alias("held")).filter("low <> high").select("h", "held")
+    return common.join_hot(postings, common.stage(keys, "shared_hashes"), "h", "held", postings.count()).select(*postings.columns)
+
+
+def _candidates(sets: DataFrame) -> DataFrame:
+    """The numbers of sets that share enough of their first hashes with others."""
+    postings = sets.select("node", "near", F.explode("head").alias("h"))
+    # Signed in the table, but at the places of the unsigned order, which is one for all sets.
+    held = _in_two(postings, "node").distinct()
+    for _ in range(2):
+        held = common.stage(held, "held")
+        enough = held.groupBy("node").agg(F.count(F.lit(1)).alias("shared"), F.first("near").alias("least")).filter("shared >= least").select("node")
+        held = _in_two(common.stage(held.join(enough, "node", "left_semi"), "enough"), "node")
+    return common.stage(held.select("node").distinct(), "candidates")
+
+
+def _rarest(whole: DataFrame) -> DataFrame:
+    """(node, n, h): of the sets' rarest hashes, of which alike sets share one, those that another set has."""
+    postings = whole.select("node", F.size("hashes").alias("n"), "first", F.explode("hashes").alias("h"))
+    keys = common.stage(postings.groupBy("h").agg(F.count(F.lit(1)).alias("held")).filter("held > 1"), "held_by")
+    postings = common.join_hot(postings, keys, "h", "held", postings.count())
+    # Hashes of one set alone come before all these; they are as many as the set has more.
+    order = Window.partitionBy("node").orderBy("held", "h")
+    ranked = postings.withColumn("at", F.row_number().over(order)).withColumn("alone", F.col("n") - F.count(F.lit(1)).over(Window.partitionBy("node")))
+    return common.stage(ranked.filter(F.col("alone") + F.col("at") <= F.col("first")).select("node", "n", "h"), "rarest")
+
+
+def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets are alike."""
+    pairs = common.stage(pairs, "pairs")
+    counts = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("held"))
+    left = common.stage(counts.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("of_a")), "a"), "left_sets")
+    both = common.join_hot(pairs, left, "a", "held", pairs.count()).join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("of_b")), "b")
+    shared = F.size(F.array_intersect("of_a", "of_b"))
+    return both.filter((ALIKE + OF) * shared >= ALIKE * (F.size("of_a") + F.size("of_b"))).select("a", "b")
+
+
+def links(sets: DataFrame) -> DataFrame:
+    """Links (a, b) between the numbers of sets (as of shingle_sets) that join them just as all pairs that are alike do."""
+    spark = sets.sparkSession
+    chosen = sets.join(_candidates(sets), "node", "left_semi").select("node", "first", F.concat("head", "tail").alias("hashes"))
+    whole = common.stage(chosen.groupBy("node").agg(F.first("first").alias("first"), F.first("hashes").alias("hashes")), "sets")
+    left = _rarest(whole)
+    near = OF * F.least("n", "n_a") >= ALIKE * F.greatest("n", "n_a")
+    found = spark.createDataFrame([], "a long, b long")
+    for at in range(ROUNDS + 1):
+        if left.isEmpty():
+            break
+        if at:
+            roots = components.connected(found).withColumnRenamed("node", "of").withColumnRenamed("root", "part")
+            parted = left.join(roots, left.node == roots.of, "left").select("node", "n", "h", F.coalesce("part", "node").alias("part"))
+            parted = common.stage(_in_two(common.stage(parted, "parted"), "part"), "apart")
+        else:
+            parted = left.withColumn("part", F.col("node"))
+        if at < ROUNDS:
+            heads = parted.groupBy("h").agg(F.min(F.struct("node", "n", "part")).alias("lead"), F.count(F.lit(1)).alias("held"))
+            ends = common.stage(common.join_hot(parted, common.stage(heads, "leads"), "h", "held", parted.count()).select("node", "n", "h", "part", "lead").filter(F.col("node") != F.col("lead.node")), "ends")
+            pairs = ends.withColumn("n_a", F.col("lead.n")).filter(near & (F.col("part") != F.col("lead.part"))).select(F.col("lead.node").alias("a"), F.col("node").alias("b"))
+            left = ends.select("node", "n", "h")  # a lead has met all others of its hash
+        else:
+            other = parted.select(F.col("node").alias("a"), F.col("n").alias("n_a"), "h", F.col("part").alias("part_a"))
+            pairs = parted.join(other, "h").filter((F.col("a") < F.col("node")) & (F.col("part") != F.col("part_a")) & near).select("a", F.col("node").alias("b"))
+        found = common.stage(found.unionByName(_alike(pairs.distinct(), whole)), "found")
+    return found
+
+
+def group_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
+    """doc_id, fingerprint (the set's number, 16 hex digits), component_id: one row for each row of docs."""
+    sets = common.stage(shingle_sets(docs, id_col, text_col, shingle), "shingle_sets")
+    return simhash.components_of(sets.select("doc_id", F.col("node").alias("fp")), lambda groups: links(sets))
+
+
+def keep_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
+    """The rows of docs whose doc_id stands for its component (rows with a null doc_id stay too), with all their columns."""
+    return simhash.keep_heads(docs, group_documents(docs, id_col, text_col, shingle), id_col)

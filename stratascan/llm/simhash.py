@@ -17,7 +17,7 @@ none); an empty table gives no rows.
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -163,8 +163,13 @@ def _steps(segments: int, radius: int) -> list[tuple[int, ...]]:
 def group_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2, segments: int | None = None, block: int | None = None) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id: one row for each row of docs."""
     rows = common.stage(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
+    return components_of(rows, lambda groups: links(groups.select("fp"), groups.count(), radius, segments, block))
+
+
+def components_of(rows: DataFrame, linked: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """doc_id, fingerprint, component_id for each row (doc_id, fp); linked gives the links between the groups of equal fp."""
     groups = common.stage(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("n")), "groups")
-    found = common.stage(links(groups.select("fp"), groups.count(), radius, segments, block), "found")
+    found = common.stage(linked(groups), "found")
     members = common.stage(components.connected(found).withColumnRenamed("node", "fp").join(groups, "fp").select("fp", "root", "least_id"), "members")
     heads = common.stage(members.groupBy("root").agg(F.min("least_id").alias("component_id"), F.count(F.lit(1)).alias("size")), "heads")
     named = common.join_hot(members.select("fp", "root"), heads, "root", "size", members.count()).select("fp", "component_id")
@@ -175,7 +180,11 @@ def group_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: int) -> DataFrame:
     """The rows of docs whose doc_id stands for its component (rows with a null doc_id stay too), with all their columns."""
-    groups = group_documents(docs, id_col, text_col, **options)
+    return keep_heads(docs, group_documents(docs, id_col, text_col, **options), id_col)
+
+
+def keep_heads(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of docs whose doc_id is its component_id in groups, or null."""
     name = common.unused(docs, "_drop_id")
     drops = groups.filter("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct()
     return docs.join(drops, F.col(id_col).cast("long") == F.col(name), "left_anti")

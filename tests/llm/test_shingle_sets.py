@@ -1,0 +1,70 @@
+import random
+
+import corpus_pipeline
+from stratascan.llm import shingle_sets
+
+
+def brute_set(text):
+    words = (text or "").lower().split()
+    return {tuple(words[k : k + 5]) for k in range(len(words) - 4)} or {tuple(words)}
+
+
+def brute_components(rows):
+    """The component id of each row, from the similarity of all pairs."""
+    sets, root = [brute_set(t) for _, t in rows], list(range(len(rows)))
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                root[find(a)] = find(b)
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        least[find(k)] = min(least.get(find(k), i), i)
+    return [least[find(k)] for k in range(len(rows))]
+
+
+def corpus():
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 6)))
+    common = [word() for _ in range(40)]
+    rows = []
+    for k in range(50):
+        base = [word() for _ in range(rng.choice([1, 4, 5, 6, 9, 30, 100, 250]))] + (common if k % 3 == 0 else [])
+        rows.append(" ".join(base))
+        for _ in range(rng.choice([0, 1, 1, 3])):  # at all similarities around the limit
+            copy = list(base)
+            for _ in range(rng.randint(0, 1 + len(copy) // 30)):
+                copy[rng.randrange(len(copy))] = word()
+            rows.append(" ".join(copy[: rng.randint(len(copy) * 17 // 20, len(copy))]))
+    base = [word() for _ in range(120)]
+    for k in range(60):  # a group that is alike by way of others
+        base[2 * k] = word()
+        rows.append(" ".join(base))
+    rows += [rows[0].upper(), "  " + rows[3] + "\n", "", " ", None]
+    rng.shuffle(rows)
+    return list(enumerate(rows))
+
+
+def test_components_against_brute_force(spark):
+    rows = corpus()
+    got = {r.doc_id: r.component_id for r in shingle_sets.group_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = dict(zip([i for i, _ in rows], brute_components(rows)))
+    assert got == want and len(set(want.values())) < len(want) - 60
+
+
+def test_pipeline_stage_drops_what_is_alike(spark):
+    rows = corpus()
+    kept = corpus_pipeline.near_deduplicated(spark, spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, lang string"), "")
+    assert kept.columns == ["doc_id", "text", "lang"]
+    assert sorted(r.doc_id for r in kept.collect()) == sorted({*brute_components(rows)})
+
+
+def test_null_ids_and_empty(spark):
+    docs = spark.createDataFrame([(None, "a b c d e f"), (3, "a b c d e f"), (2, "A b c d e f"), (None, None)], "doc_id long, text string")
+    assert sorted(map(str, (r.doc_id for r in shingle_sets.keep_documents(docs).collect()))) == ["2", "None", "None"]
+    assert shingle_sets.group_documents(docs.filter("false")).count() == 0
