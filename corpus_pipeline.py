@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from stratascan.llm import bpe, common, exact_dedup, language_id, mixing, shingle_sets
 from stratascan.llm.queries import fold
 from stratascan.llm.vocabularies import tokenizer_path
+from stratascan.sources import scan
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +57,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = scan.open_table(spark, f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = common.stage(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)

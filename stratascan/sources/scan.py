@@ -2,27 +2,31 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import ScanError, Status, status_of
-from . import arrow_scan, files, footers
+from . import arrow_scan, files
 
 
 # Encodings that Spark's vectorized reader refuses, or (the delta of byte arrays) misreads.
 UNSAFE_ENCODINGS = frozenset({"DELTA_BYTE_ARRAY", "BYTE_STREAM_SPLIT"})
 
+#: Footers of so many files are read on the driver, those of more by a Spark job.
+FEW_FILES = 8
 
-def open_table(spark: SparkSession, path: str, verify_checksums: bool = True, engine: str = "auto", inspect: str = "first") -> DataFrame:
+
+def open_table(spark: SparkSession, path: str, verify_checksums: bool = True, engine: str = "auto", inspect: str = "all") -> DataFrame:
     """The table at a path.
 
     engine: spark, arrow, or auto: Spark's reader, but Arrow's where Spark has no type for a column
-    or doesn't read an encoding right. inspect: whether auto looks for such encodings in the first
-    file's footer, as files of one writer agree, or in all footers, by a Spark job.
+    or doesn't read an encoding right. inspect: whether auto looks for such encodings in all
+    footers, by a Spark job if they are many, or in the first file's alone (for tables of one writer).
     """
     if engine == "arrow":
         return arrow_scan.scan(spark, path, verify_checksums=verify_checksums)
@@ -40,16 +44,23 @@ def open_table(spark: SparkSession, path: str, verify_checksums: bool = True, en
 
 
 def _unsafe(spark: SparkSession, df: DataFrame, path: str, inspect: str) -> bool:
-    if inspect == "all":
-        seen = footers.footer_columns(spark, path).select(F.explode("encodings").alias("e")).distinct()
-        return not seen.filter(F.col("e").isin(*UNSAFE_ENCODINGS)).isEmpty()
-    first = next(iter(df.inputFiles()), None)
-    if first is None:
-        return False
+    uris = df.inputFiles()
+    if inspect == "first" or len(uris) <= FEW_FILES:
+        return any(map(_unsafe_file, uris[:1] if inspect == "first" else uris))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([u for u in batch.column(0).to_pylist() if _unsafe_file(u)], pa.string())], ["path"])
+
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")  # whatever the files' names
+    return not listed.mapInArrow(run, "path string").isEmpty()
+
+
+def _unsafe_file(uri: str) -> bool:
     import pyarrow.parquet as pq
 
     try:
-        with files.opened(first) as f:
+        with files.opened(uri) as f:
             meta = pq.ParquetFile(f).metadata
     except (OSError, ValueError):  # a store that only Spark reads, or a damaged file, which the scan will tell of
         return False
