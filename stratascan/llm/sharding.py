@@ -35,8 +35,11 @@ def quotas(demand: np.ndarray, room: np.ndarray) -> np.ndarray:
         j = int(np.argmax(over))
         if over[j] <= 0:
             return grant
-        into = grant[:, j]
-        cut = np.minimum(into, -(-into * over[j] // max(1, into.sum())))
+        # The excess and no more, in proportion: what is cut here is excess where it came from, so rounding up would spread.
+        into, excess = grant[:, j], min(over[j], grant[:, j].sum())
+        cut, rest = np.divmod(into * excess, max(1, into.sum()))
+        more = np.argsort(-rest, kind="stable")[: excess - cut.sum()]
+        cut[more] += 1
         grant[:, j] = into - cut
 
 
@@ -49,13 +52,13 @@ def propagate(cells: DataFrame, shards: int, capacity: np.ndarray, rounds: int =
             used[r.shard] = r.n
         room = capacity - used
         votes = cells.groupBy("group").agg(F.array(*[F.sum(F.when(F.col("shard") == s, F.col("n")).otherwise(0)) for s in range(shards)]).alias("votes"))
-        # A shard's standing for a group: its copies there, then a rotation that the group's hash fixes.
-        standing = lambda s: F.struct(F.get("votes", F.lit(s)).alias("n"), F.pmod(F.xxhash64("group") + s, F.lit(shards)).alias("tie"), F.lit(s).alias("shard"))
+        # A shard's standing for a group: its copies there, then a rotation that its hash and the round fix, as full shards can only swap, and what one order doesn't pair another does.
+        standing = lambda s: F.struct(F.get("votes", F.lit(s)).alias("n"), F.pmod(F.xxhash64("group", F.lit(at)) + s, F.lit(shards)).alias("tie"), F.lit(s).alias("shard"))
+        if min(until) > at:  # all refused: what they did grant has changed the votes, so all are asked again
+            until = [0] * shards
         open_shards = [s for s in range(shards) if until[s] <= at]
-        if not open_shards:
-            break
         votes = votes.select("group", F.array_max(F.array(*[standing(s) for s in open_shards])).alias("best"))
-        own = F.struct(F.col("n"), F.pmod(F.xxhash64("group") + F.col("shard"), F.lit(shards)).alias("tie"), F.col("shard"))
+        own = F.struct(F.col("n"), F.pmod(F.xxhash64("group", F.lit(at)) + F.col("shard"), F.lit(shards)).alias("tie"), F.col("shard"))
         asks = cells.join(votes, "group").filter(F.col("best") > own)
         asks = common.stage(asks.select("group", "shard", "n", F.col("best.shard").alias("to"), (F.col("best.n") - F.col("n")).alias("gain")), "asks")
         demand = np.zeros((shards, shards), np.int64)
@@ -65,8 +68,10 @@ def propagate(cells: DataFrame, shards: int, capacity: np.ndarray, rounds: int =
         for j in np.nonzero(grant.sum(0) < demand.sum(0))[0]:
             until[j] = at + shards
         if not grant.sum():
-            if not demand.sum():
+            if not demand.sum() and len(open_shards) == shards:
                 break
+            if len(open_shards) < shards:
+                until = [0] * shards
             continue
         pairs = [(i, j, int(grant[i, j])) for i in range(shards) for j in range(shards) if grant[i, j]]
         limit = F.broadcast(cells.sparkSession.createDataFrame(pairs, "shard int, to int, quota long"))  # shards x shards rows at most

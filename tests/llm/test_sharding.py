@@ -49,3 +49,17 @@ def test_quotas_keep_room():
         room = rng.integers(0, 20, 5)
         grant = sharding.quotas(demand, room)
         assert (grant <= demand).all() and (grant >= 0).all() and (grant.sum(0) - grant.sum(1) <= room).all()
+
+
+def test_quotas_cut_the_excess_alone():
+    rng = np.random.default_rng(1)
+    for room in (0, 1, 10):
+        demand = (rng.integers(1900, 2100, (8, 8)) * (1 - np.eye(8, dtype=int))).astype(np.int64)
+        grant = sharding.quotas(demand, np.full(8, room))
+        assert (grant.sum(0) - grant.sum(1) <= room).all() and grant.sum() > 0.9 * demand.sum()
+
+
+def test_pairs_come_together_where_all_is_linked(spark):
+    docs = [(k, f"pair {k % 2000}") for k in range(4000)]
+    spread = check(sharding.assign(spark.createDataFrame(docs, "doc_id long, text string"), shards=8).collect(), docs, 8)
+    assert sum(len(v) > 1 for v in spread.values()) <= 40
