@@ -5,9 +5,10 @@ block has its path of block elements from the root. For each path, text length a
 marks are summed over its blocks and divided by their number (a block that is mostly links counts
 less); both ratios are smoothed over the paths in page order with a Gaussian kernel, fused as a
 product, and held against a threshold from their spread. The nearest container that holds most of
-the text of the paths above the threshold is the article, and all its blocks are its text. Paths
-through elements that are never part of an article (menus, headers, footers, sidebars, notices,
-adverts, forms, comments; by name, role, class or id) are out from the start.
+the text of the paths above the threshold is the article, and all its blocks are its text. Paths through
+elements that are never part of an article (menus, headers, footers, sidebars, notices, adverts,
+forms, comments; by name, role, class or id) are out from the start, but an element that is out for
+its class, id or being a form stays if it holds most of the page's prose.
 
 Defined results: a null page is empty; a page without text, or with text only in elements that are
 out, gives the empty string; broken markup is read as browsers do in the main (unclosed elements,
@@ -40,12 +41,12 @@ OUT_ROLE = frozenset("navigation banner contentinfo complementary search dialog
 SIBLINGS_END = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",))}
 SIBLINGS_END |= {x: ("thead tbody tfoot tr td th caption", ("table",)) for x in ("thead", "tbody", "tfoot")}
 
-#: Words of a class or id that mark what is not article text.
+#: Whole names in a class or id, bare or with a place or kind after them, that mark what is not article text.
 OUT_NAME = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|adbox|sponsor\w*|promo\w*|banner\w*|cookie\w*|consent|gdpr|notices?|notification\w*|alert\w*|popup|pop-up|modal|overlay|lightbox|"
+    r"(?<!\S)(?:ads?|advert\w*|adsense|adbox|sponsor\w*|promo\w*|banner\w*|cookie\w*|consent|gdpr|notices?|notification\w*|alert\w*|popup|pop-up|modal|overlay|lightbox|"
     r"side-?bar\w*|menu\w*|nav|navbar|navigation|breadcrumb\w*|masthead|site-?header|page-?header|topbar|site-?footer|page-?footer|footer|foot|header|"
     r"comments?|comment-?\w*|disqus\w*|respond|replies|reply|discussion|share\w*|sharing|social\w*|related\w*|recommend\w*|newsletter\w*|subscri\w*|signup|sign-up|login|"
-    r"widget\w*|toolbar|pagination|pager|copyright|skip-?link\w*|tags?-?list|outbrain|taboola)(?:$|[\s_-])",
+    r"widget\w*|toolbar|pagination|pager|copyright|skip-?link\w*|tags?-?list|outbrain|taboola)(?:[_-](?:notice|bar|box|area|section|list|wrap|wrapper|container|block|widget|slot|unit|banner|left|right|top|bottom|main|primary|secondary|nav|menu|links?|form|\d+))*(?!\S)",
     re.IGNORECASE,
 )
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
@@ -64,6 +65,7 @@ class Element:
     up: Element | None
     out: bool
     number: int
+    doubt: Element | None  # the nearest element, itself included, that its name or being a form puts out
 
 
 @dataclass
@@ -85,7 +87,7 @@ class BlockParser:
     """Reads a page into blocks, in one pass from start to end whatever its markup."""
 
     def __init__(self) -> None:
-        self.root = Element("html", 0, None, False, 0)
+        self.root = Element("html", 0, None, False, 0, None)
         self.paths: dict[tuple[int, str], int] = {}
         self.open, self.blocks, self.count, self.links = [self.root], [], 0, 0
         self.opened: dict[str, int] = {}  # open elements by tag
@@ -158,15 +160,16 @@ class BlockParser:
         up = self.open[-1]
         names = f"{attrs.get('class', '')} {attrs.get('id', '')}".strip()
         role = attrs.get("role", "").lower()
-        out = up.out or tag in OUT or role in OUT_ROLE or "hidden" in attrs or attrs.get("aria-hidden") == "true" or bool(HIDDEN.search(attrs.get("style", "")))
+        out = up.out or tag in OUT and tag != "form" or role in OUT_ROLE or "hidden" in attrs or attrs.get("aria-hidden") == "true" or bool(HIDDEN.search(attrs.get("style", "")))
         if tag == "header" and not (self.opened.get("article") or self.opened.get("main")):
             out = True
-        if tag not in ("html", "body", "main", "article", "header") and not re.fullmatch(r"h[1-6]", tag) and OUT_NAME.search(names):
-            out = True
+        doubtful = tag == "form" or tag not in ("html", "body", "main", "article", "header") and not re.fullmatch(r"h[1-6]", tag) and bool(OUT_NAME.search(names))
         self.count += 1
         step = f"{tag}.{names.split()[0]}" if names and tag != "p" else tag
         path = self.paths.setdefault((up.path, step), len(self.paths) + 1)
-        self.open.append(Element(tag, path, up, out, self.count))
+        self.open.append(e := Element(tag, path, up, out, self.count, up.doubt))
+        if doubtful:
+            e.doubt = e
         self.opened[tag] = self.opened.get(tag, 0) + 1
         self.fresh, self.links = True, 0
 
@@ -256,6 +259,32 @@ def path_scores(blocks: list[Block]) -> dict[int, float]:
     return {p: t * (1 + m) for p, t, m in zip(paths, text_ratio, mark_ratio)}
 
 
+def without_doubtful(blocks: list[Block]) -> list[Block]:
+    """The blocks outside elements that a name or a form puts out; those that hold most of the page's prose (unlinked text with marks) are not out, unless an article or main element beside them has text."""
+
+    def marked(e: Element | None) -> bool:
+        while e and e.tag not in ("article", "main"):
+            e = e.up
+        return e is not None
+
+    total, held = 0, {}
+    beside = any(b.at.doubt is None and marked(b.at) for b in blocks)
+    for b in blocks:
+        prose = max(0, len(b.text) - b.linked) if PUNCTUATION.search(b.text) else 0
+        total += prose
+        e = b.at.doubt
+        while e:
+            held[e.number] = held.get(e.number, 0) + prose
+            e = e.up.doubt if e.up else None
+
+    def stays(e: Element | None) -> bool:
+        while e and 2 * held[e.number] > total and (not beside or marked(e)):
+            e = e.up.doubt if e.up else None
+        return e is None
+
+    return [b for b in blocks if stays(b.at.doubt)]
+
+
 def article_text(html: str | None) -> str:
     """The main text: blocks joined by two line ends."""
     parser = BlockParser()
@@ -265,6 +294,7 @@ def article_text(html: str | None) -> str:
         b.text = SPACE.sub(" ", "".join(b.parts)).strip()
         if b.text and not b.at.out:
             blocks.append(b)
+    blocks = without_doubtful(blocks)
     if not blocks:
         return ""
     scores = path_scores(blocks)

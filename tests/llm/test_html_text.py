@@ -61,3 +61,14 @@ def test_extract(spark):
     assert sorted((r.page_id, r.text, r.n_chars) for r in got if r.page_id) == [(1, P1, len(P1)), (1, P1, len(P1)), (3, P2, len(P2))]
     assert [(r.url, r.text, r.n_chars) for r in got if r.page_id is None] == [(None, "", 0)]
     assert extract(pages.filter("false")).count() == 0
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        *(f"<body><div {names}><p>{P1 * 5}</p><p>{P2 * 2}</p></div></body>" for names in ("class='content no-sidebar'", "class='content-area has-sidebar'", "class='post no-comments'", "class='entry menu-open'", "id=discussion")),
+        f"<body><form><div class='sidebar-left'>{P2}</div><div><p>{P1 * 5}</p><p>{P2 * 2}</p></div></form></body>",
+    ],
+)
+def test_no_part_of_the_article_is_lost(page):
+    assert article_text(page) == f"{P1 * 5}\n\n{P2 * 2}"
