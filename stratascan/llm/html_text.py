@@ -4,8 +4,9 @@ A page's text lies in blocks: runs of text between the starts and ends of block
 block has its path of block elements from the root. For each path, text length and punctuation
 marks are summed over its blocks and divided by their number (a block that is mostly links counts
 less); both ratios are smoothed over the paths in page order with a Gaussian kernel, fused as a
-product, and held against a threshold from their spread. The nearest container that holds most of
-the text of the paths above the threshold is the article, and all its blocks are its text. Paths through
+product, and held against a threshold from their spread. The text is all blocks of the paths above
+the threshold, and all others in the nearest container that holds most of these; where that is an
+article or main element, what is in no such element goes. Paths through
 elements that are never part of an article (menus, headers, footers, sidebars, notices, adverts,
 forms, comments; by name, role, class or id) are out from the start, but an element that is out for
 its class, id or being a form stays if it holds most of the page's prose.
@@ -319,12 +320,18 @@ def article_text(html: str | None) -> str:
             e = e.up
         inner = e.number if e else inner
 
-    def inside(e: Element | None) -> bool:
-        while e and e.number != inner:
+    marked = inner in holder and holder[inner].tag in ("article", "main")
+
+    def inside(b: Block) -> bool:
+        e: Element | None = b.at
+        above = scores[b.at.path] >= least
+        if above and not marked:
+            return True
+        while e and e.number != inner and not (above and e.tag in ("article", "main")):
             e = e.up
         return e is not None
 
-    return "\n\n".join(b.text for b in blocks if inside(b.at))
+    return "\n\n".join(b.text for b in blocks if inside(b))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

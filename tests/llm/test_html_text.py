@@ -66,6 +66,9 @@ def test_extract(spark):
 @pytest.mark.parametrize(
     "page",
     [
+        f"<body><div id=content><section><p>{P1 * 5}</p></section><section><p>{P2 * 2}</p></section></div></body>",
+        f"<body><article><p>{P1 * 5}</p></article><article><p>{P2 * 2}</p></article></body>",
+        f"<body><div class=body><blockquote><p>{P1 * 5}</p></blockquote><div class=ad>Buy.</div><p>{P2 * 2}</p></div></body>",
         *(f"<body><div {names}><p>{P1 * 5}</p><p>{P2 * 2}</p></div></body>" for names in ("class='content no-sidebar'", "class='content-area has-sidebar'", "class='post no-comments'", "class='entry menu-open'", "id=discussion")),
         f"<body><form><div class='sidebar-left'>{P2}</div><div><p>{P1 * 5}</p><p>{P2 * 2}</p></div></form></body>",
     ],
