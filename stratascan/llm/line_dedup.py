@@ -1,7 +1,8 @@
 """Substring dedup by hashing lines, and runs of sentences.
 
-Units are lines with LEAST_WORDS words or more, and, from each sentence start, the shortest run of
-sentences that has as many; runs go on over line ends. Sentences of more than LONG_SENTENCE words
+Units are lines with `least_line` words or more (0: all that aren't blank; LEAST_WORDS if not given;
+lines without words are compared by their marks), and, from each sentence start, the shortest run of
+sentences that has LEAST_WORDS; runs go on over line ends. Sentences of more than LONG_SENTENCE words
 are cut after words whose hash is a multiple of CUT, so that equal passages in them are cut alike.
 A unit is normalised (lower case, letters and digits only, one space between words) and hashed;
 digests are grouped over all documents, the occurrence that ranks first (by doc_id, then offset)
@@ -35,6 +36,7 @@ LEAST_WORDS, LONG_SENTENCE, CUT = 8, 24, 8
 SENTENCE = re.compile(r"[^.!?。！？]+[.!?。！？]*")
 WORD = re.compile(r"\w+")
 KINDS = ("line", "sentences")
+MARKS = "\0"  # before a line without words, which is equal to lines of the same marks
 
 
 def lowered(text: str) -> str:
@@ -67,16 +69,17 @@ def pieces(line: str, at: int) -> list[tuple[int, int, int, str]]:
     return out
 
 
-def units(text: str | None, least: int = LEAST_WORDS) -> list[tuple[int, int, int, int, str]]:
+def units(text: str | None, least: int = LEAST_WORDS, least_line: int | None = None) -> list[tuple[int, int, int, int, str]]:
     """(kind, start, end, number of words, normalised text) of each unit of a text; kind: place in KINDS."""
+    least_line = least if least_line is None else least_line
     out, found, lines, at = [], [], set(), 0
     for line in lowered(text or "").split("\n"):
         own = pieces(line, at)
         n = sum([p[2] for p in own])
-        if n >= least:
+        if n >= least_line and line.strip():
             span = (at + len(line) - len(line.lstrip()), at + len(line.rstrip()))
             lines.add(span)
-            out.append((0, *span, n, " ".join([p[3] for p in own])))
+            out.append((0, *span, n, " ".join([p[3] for p in own]) or MARKS + " ".join(line.split())))
         found += own
         at += len(line) + 1
     j, n = 0, 0  # the run that starts at i ends before j and has n words
@@ -95,7 +98,7 @@ def units(text: str | None, least: int = LEAST_WORDS) -> list[tuple[int, int, in
 SCHEMA = "doc_id long, d1 long, d2 long, span long, size int"
 
 
-def all_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_WORDS) -> DataFrame:
+def all_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_WORDS, least_line: int | None = None) -> DataFrame:
     """A narrow row for each unit: 128 bits of digest, start and end in one long, words and kind in one int."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,7 +106,7 @@ def all_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 part = batch.slice(at, 128)
-                found = [units(t, least) for t in part.column(1).to_pylist()]
+                found = [units(t, least, least_line) for t in part.column(1).to_pylist()]
                 rows = [u for us in found for u in us]
                 kind, start, end, n = (np.array([u[k] for u in rows], np.int64) for k in range(4))
                 halves = np.frombuffer(b"".join([hashed(u[4].encode("utf-8", "surrogatepass")) for u in rows]), "<i8").reshape(-1, 2)
@@ -114,13 +117,13 @@ def all_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     return own.mapInArrow(run, SCHEMA)
 
 
-def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_WORDS) -> DataFrame:
+def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_WORDS, least_line: int | None = None) -> DataFrame:
     """One row for each repeat: doc_id, unit, start, end, n_words, digest (hex), kept_doc_id, kept_start.
 
     kept_doc_id and kept_start name the occurrence that stays.
     """
     start = lambda span: F.shiftright(span, 32).cast("int")
-    found = common.stage(all_units(docs, id_col, text_col, least), "units")
+    found = common.stage(all_units(docs, id_col, text_col, least, least_line), "units")
     # Starts order as spans do, up to the end: so the least (doc_id, span) is the first occurrence.
     groups = found.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "span")).alias("kept"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     out = common.join_hot(found, common.stage(groups, "groups"), ["d1", "d2"], "n", found.count())
@@ -131,13 +134,13 @@ def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_WORDS) -> DataFrame:
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_WORDS, least_line: int | None = None) -> DataFrame:
     """docs with all their columns; repeats are cut from the text, and removed (array of start, end) has their spans in the original.
 
     If docs has a column `removed`, the new one is `removed_`.
     """
     ident, name = common.unused(docs, "_id"), common.unused(docs, "removed")
-    spans = repeated_units(docs, id_col, text_col, least).groupBy(F.col("doc_id").alias(ident)).agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias(name))
+    spans = repeated_units(docs, id_col, text_col, least, least_line).groupBy(F.col("doc_id").alias(ident)).agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias(name))
     none = F.array().cast("array<struct<start: int, end: int>>")
     both = docs.join(spans, F.col(id_col).cast("long").eqNullSafe(F.col(ident)), "left").withColumn(name, F.coalesce(name, none))
     # Overlapping spans become one.

@@ -25,7 +25,7 @@ def op2_tag_path_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.repeated_units(_table(spark, sf_dir, "documents"))
+    return line_dedup.repeated_units(_table(spark, sf_dir, "documents"), least_line=0)
 
 
 def op4_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,7 @@ import re
 import zlib
 from collections import defaultdict
 
-from stratascan.llm import line_dedup
+from stratascan.llm import line_dedup, queries
 
 
 def brute(rows, least=8):
@@ -93,3 +93,11 @@ def test_edges(spark):
     assert [(r.doc_id, r.start, r.end, r.kept_doc_id) for r in got if r.unit == "line"] == [(1, 0, len(long) - 1, None)] * 2
     assert all(r.doc_id == 1 and r.kept_doc_id is None and r.start == r.kept_start for r in got)
     assert line_dedup.repeated_units(docs.filter("false")).count() == 0
+
+
+def test_query_hashes_every_line(spark, tmp_path):
+    cjk = "今日は天気が良いので散歩に出かけました"
+    texts = ["All rights reserved.\nown one", f"own two\n all rights, reserved\n{cjk}\n---", f"{cjk}\n\nown three\n---\n"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.doc_id, texts[r.doc_id][r.start : r.end], r.kept_doc_id, r.kept_start) for r in queries.op3_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {(1, "all rights, reserved", 0, 0), (2, cjk, 1, 30), (2, "---", 1, 31 + len(cjk))}
