@@ -1,52 +1,65 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-The sequences are words: runs of letters, lower-cased, in UTF-8, with a space at both ends. One
-network reads a word forwards, one backwards, and every position gets a probability for each
-language. A document's probabilities are the mean over all positions of all its words, so whole
-texts count. Equal words give equal results, so each worker remembers words, up to a bound.
+The sequence is the document itself, in UTF-8, as it is: letters, digits, marks and spaces. One
+network reads it forwards, one backwards, and every byte gets a probability for each language from
+both states; a document's probabilities are the mean over all its bytes. So that documents of any
+length run in batches of one shape, a text is read in windows of CORE bytes, with CONTEXT bytes
+before (forwards) or after (backwards) that only warm up the state; every byte is labelled once.
 
-Training is numpy, by backpropagation through time with Adam, on words of at most PER_LANGUAGE
-documents for each language and SAMPLE_CHARS characters of each. Only that sample and counts by
-language are on the driver.
+Training is numpy, by backpropagation through time with Adam, on pieces of PIECE bytes: PIECES of
+them from all over the text of at most PER_LANGUAGE documents for each language, SAMPLE documents
+in all (but one a language at least). Only those pieces are on the driver.
 
 Defined results: a text that is null or has no letter is `und` with score 0; without training rows
-all are; ties go to the first language in code point order; rows that repeat get equal results.
+all are; ties go to the first language in code point order; rows that repeat get equal results; more than
+MOST_LANGUAGES languages are an error.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PER_LANGUAGE, SAMPLE_CHARS, MOST_LANGUAGES = 400, 2000, 500
-WORD = re.compile(r"[^\W\d_]+")
-LONGEST = 24  # characters of a word that are one sequence; longer ones are cut
+PER_LANGUAGE, SAMPLE, PIECES, PIECE, MOST_LANGUAGES = 400, 20_000, 16, 64, 10_000
+CORE, CONTEXT = 128, 16
+ROWS = 512  # windows that run at once
+LETTER = re.compile(r"[^\W\d_]+")
 
 
-def letter_words(text: str | None) -> list[str]:
-    """The words of a text; none if it has no letter."""
-    found = WORD.findall((text or "").lower())
-    if any(map(str.isalpha, found)) or any(c.isalpha() for w in found for c in w):
-        return [x for w in found for x in ([w] if len(w) <= LONGEST else [w[k : k + LONGEST] for k in range(0, len(w), LONGEST)])]
-    return []
+def has_letter(text: str | None) -> bool:
+    return any(m.group().isalpha() or any(map(str.isalpha, m.group())) for m in LETTER.finditer(text or ""))
 
 
-def as_bytes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Positions x words of byte values, zero-padded, and the lengths."""
-    raw = [b" " + w.encode("utf-8", "surrogatepass") + b" " for w in words]
-    lengths = np.array(list(map(len, raw)))
-    out = np.frombuffer(b"".join(x.ljust(int(lengths.max()), b"\0") for x in raw), np.uint8).reshape(len(raw), -1)
-    return np.ascontiguousarray(out.T), lengths
+def encoded(text: str) -> bytes:
+    return text.encode("utf-8", "surrogatepass")
 
 
-def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * (1 + np.tanh(0.5 * x))
+def as_bytes(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Positions x pieces of byte values, zero-padded, and which positions are real."""
+    lengths = np.array(list(map(len, pieces)))
+    longest = int(lengths.max())
+    x = np.frombuffer(b"".join(p.ljust(longest, b"\0") for p in pieces), np.uint8).reshape(len(pieces), longest)
+    return np.ascontiguousarray(x.T), np.arange(longest)[:, None] < lengths
+
+
+def windows(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The documents' bytes with room around them, which of these are real, where each window starts, and its document.
+
+    A window has CONTEXT positions, CORE of its own and CONTEXT more; the cores tile each document.
+    """
+    spans = np.array([-(-len(r) // CORE) * CORE for r in raws])
+    edge = bytes(CONTEXT)
+    joined = b"".join([edge + r.ljust(n, b"\0") + edge for r, n in zip(raws, spans)])
+    real = b"".join([edge + (b"\1" * len(r)).ljust(n, b"\0") + edge for r, n in zip(raws, spans)])
+    begin = np.cumsum(spans + 2 * CONTEXT) - spans - 2 * CONTEXT
+    starts = np.concatenate([np.arange(0, n, CORE) + at for n, at in zip(spans, begin)])
+    return np.frombuffer(joined, np.uint8), np.frombuffer(real, bool), starts, np.repeat(np.arange(len(raws)), spans // CORE)
 
 
 class BiGru:
@@ -64,31 +77,43 @@ class BiGru:
         self.p["o"] = init(2 * hidden, len(languages), scale=(2 * hidden) ** -0.5)
         self.p["q"] = np.zeros(len(languages), np.float32)
 
-    def run(self, d: str, x: np.ndarray, keep: bool) -> tuple[np.ndarray, list]:
-        """States at all positions of x, read from its start."""
+    def run(self, d: str, x: np.ndarray, real: np.ndarray, steps: list | None = None) -> np.ndarray:
+        """States after each position of x, read from its start ("f") or its end ("b"); zero where it is not real."""
         n, u = self.hidden, self.p[f"u{d}"]
-        a = self.p[f"x{d}"][x] + self.p[f"c{d}"]
-        h = np.zeros((x.shape[1], n), np.float32)
-        states, steps = np.empty((*x.shape, n), np.float32), []
-        for t in range(len(x)):
+        table = self.p[f"x{d}"] + self.p[f"c{d}"]
+        gates_in, cand_in = np.ascontiguousarray(table[:, : 2 * n]), np.ascontiguousarray(table[:, 2 * n :])
+        h = np.zeros((x.shape[1], n), u.dtype)
+        states = np.empty((*x.shape, n), u.dtype)
+        whole = real.all(axis=1)
+        for t in range(len(x)) if d == "f" else range(len(x) - 1, -1, -1):
             s = h @ u
-            gates = sigmoid(a[t, :, : 2 * n] + s[:, : 2 * n])
+            gates = gates_in[x[t]]
+            gates += s[:, : 2 * n]
+            gates *= 0.5
+            np.tanh(gates, out=gates)
+            gates += 1
+            gates *= 0.5
             z, r = gates[:, :n], gates[:, n:]
-            cand = np.tanh(a[t, :, 2 * n :] + r * s[:, 2 * n :])
-            if keep:
-                steps.append((h, z, r, cand, s[:, 2 * n :]))
-            h = cand + z * (h - cand)
+            cand = cand_in[x[t]]
+            cand += r * s[:, 2 * n :]
+            np.tanh(cand, out=cand)
+            if steps is not None:
+                steps.append((t, h, z, r, cand, s[:, 2 * n :]))
+            h = h - cand
+            h *= z
+            h += cand
+            if not whole[t]:
+                h *= real[t][:, None]
             states[t] = h
-        return states, steps
+        return states
 
-    def back(self, d: str, x: np.ndarray, steps: list, grad: np.ndarray, out: dict[str, np.ndarray]) -> None:
+    def back(self, d: str, x: np.ndarray, real: np.ndarray, steps: list, grad: np.ndarray, out: dict[str, np.ndarray]) -> None:
         """Adds to out the gradients of one direction, given those of its states."""
         n, u = self.hidden, self.p[f"u{d}"]
-        da = np.empty((*x.shape, 3 * n), np.float32)
-        du, carry = np.zeros_like(u), np.zeros(grad.shape[1:], np.float32)
-        for t in range(len(x) - 1, -1, -1):
-            h, z, r, cand, s = steps[t]
-            dh = grad[t] + carry
+        da = np.empty((*x.shape, 3 * n), u.dtype)
+        du, carry = np.zeros_like(u), np.zeros(grad.shape[1:], u.dtype)
+        for t, h, z, r, cand, s in reversed(steps):
+            dh = (grad[t] + carry) * real[t][:, None]
             dc = dh * (1 - z) * (1 - cand * cand)
             dz = dh * (h - cand) * z * (1 - z)
             dr = dc * s * r * (1 - r)
@@ -96,79 +121,73 @@ class BiGru:
             ds = np.concatenate([dz, dr, dc * r], axis=1)
             du += h.T @ ds
             carry = dh * z + ds @ u.T
-        dx = np.zeros_like(self.p[f"x{d}"])
-        np.add.at(dx, x.ravel(), da.reshape(-1, 3 * n))
+        flat, dx = x.ravel(), np.empty_like(self.p[f"x{d}"])
+        for k, column in enumerate(da.reshape(-1, 3 * n).T):
+            dx[:, k] = np.bincount(flat, column, 256)
         out[f"x{d}"], out[f"u{d}"], out[f"c{d}"] = dx, du, da.sum(axis=(0, 1))
 
-    @staticmethod
-    def reversal(x: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Index that reverses each column within its length (and is its own inverse), and the mask of real positions."""
-        t = np.arange(len(x))[:, None]
-        real = t < lengths
-        return np.where(real, lengths - 1 - t, t), real
-
-    def forward(self, x: np.ndarray, lengths: np.ndarray, keep: bool = False):
-        turn, real = self.reversal(x, lengths)
-        column = np.arange(x.shape[1])
-        xb = x[turn, column]
-        f, steps_f = self.run("f", x, keep)
-        b, steps_b = self.run("b", xb, keep)
-        both = np.concatenate([f, b[turn, column]], axis=2)
-        logits = both @ self.p["o"] + self.p["q"]
-        logits -= logits.max(axis=2, keepdims=True)
-        prob = np.exp(logits)
-        prob /= prob.sum(axis=2, keepdims=True)
-        return prob, real, (both, xb, turn, column, steps_f, steps_b)
-
-    def gradients(self, x: np.ndarray, lengths: np.ndarray, labels: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """Mean cross entropy over all positions, and its gradients; labels: words x languages, each row sums to 1."""
-        prob, real, (both, xb, turn, column, steps_f, steps_b) = self.forward(x, lengths, keep=True)
+    def label(self, forwards: np.ndarray, backwards: np.ndarray) -> np.ndarray:
+        """Probabilities of the languages at each position, from its states."""
+        n = self.hidden
+        prob = forwards.reshape(-1, n) @ self.p["o"][:n]
+        prob += backwards.reshape(-1, n) @ self.p["o"][n:]
+        prob += self.p["q"]
+        prob -= prob.max(axis=1, keepdims=True)
+        np.exp(prob, out=prob)
+        prob /= prob.sum(axis=1, keepdims=True)
+        return prob.reshape(*forwards.shape[:2], -1)
+
+    def positions(self, x: np.ndarray, real: np.ndarray) -> np.ndarray:
+        """Probabilities at every position of x."""
+        return self.label(self.run("f", x, real), self.run("b", x, real))
+
+    def gradients(self, x: np.ndarray, real: np.ndarray, labels: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+        """Mean cross entropy over all positions, and its gradients; labels: pieces x languages, each row sums to 1."""
+        n = self.hidden
+        steps_f, steps_b = [], []
+        f, b = self.run("f", x, real, steps_f), self.run("b", x, real, steps_b)
+        prob = self.label(f, b)
         count = real.sum()
         loss = -(np.log(prob + 1e-9) * labels[None] * real[:, :, None]).sum() / count
-        d = ((prob - labels[None]) * real[:, :, None] / count).astype(np.float32)
-        out = {"o": np.einsum("tbh,tbl->hl", both, d, optimize=True), "q": d.sum(axis=(0, 1))}
-        dboth = d @ self.p["o"].T
-        n = self.hidden
-        self.back("f", x, steps_f, dboth[:, :, :n], out)
-        self.back("b", xb, steps_b, dboth[turn, column][:, :, n:], out)
+        d = ((prob - labels[None]) * real[:, :, None] / count).astype(f.dtype)
+        flat = d.reshape(-1, d.shape[2])
+        out = {"o": np.concatenate([f.reshape(-1, n).T @ flat, b.reshape(-1, n).T @ flat]), "q": flat.sum(axis=0)}
+        both = d @ self.p["o"].T
+        self.back("f", x, real, steps_f, both[:, :, :n], out)
+        self.back("b", x, real, steps_b, both[:, :, n:], out)
         return float(loss), out
 
-    def word_sums(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Sums over each word's positions of the languages' probabilities, and the numbers of positions."""
-        sums = np.empty((len(words), len(self.languages)), np.float32)
-        order = sorted(range(len(words)), key=lambda k: len(words[k]))
-        positions = np.empty(len(words), np.int64)
-        for at in range(0, len(order), 2048):
-            part = order[at : at + 2048]
-            x, lengths = as_bytes([words[k] for k in part])
-            prob, real, _ = self.forward(x, lengths)
-            sums[part] = (prob * real[:, :, None]).sum(axis=0)
-            positions[part] = lengths
-        return sums, positions
-
-
-def train(samples: list[tuple[str, str]], hidden: int = 12, steps: int = 200, batch: int = 512, rate: float = 0.02, seed: int = 3) -> BiGru | None:
-    """A network trained on (text, language) rows; None without words."""
-    counts: Counter = Counter((w, lang) for text, lang in samples for w in letter_words(text))
-    if not counts:
+    def document_sums(self, raws: list[bytes]) -> np.ndarray:
+        """Sums over each document's bytes of the languages' probabilities."""
+        sums = np.zeros((len(raws), len(self.languages)))
+        joined, real, starts, owner = windows(raws)
+        for k in range(0, len(starts), ROWS):
+            at = np.arange(CORE + 2 * CONTEXT)[:, None] + starts[k : k + ROWS]
+            x, own = joined[at], real[at]
+            # Each direction needs its context on one side only.
+            f = self.run("f", x[:-CONTEXT], own[:-CONTEXT])[CONTEXT:]
+            b = self.run("b", x[CONTEXT:], own[CONTEXT:])[:-CONTEXT]
+            prob = self.label(f, b)
+            prob *= own[CONTEXT:-CONTEXT, :, None]
+            np.add.at(sums, owner[k : k + ROWS], prob.sum(axis=0))
+        return sums
+
+
+def train(samples: list[tuple[bytes, str]], hidden: int = 12, steps: int = 300, batch: int = 256, rate: float = 0.02, seed: int = 3) -> BiGru | None:
+    """A network trained on (piece, language) rows, languages alike often; None without pieces."""
+    samples = sorted({s for s in samples if s[0]}, key=lambda s: (s[1], s[0]))
+    if not samples:
         return None
-    languages = sorted({lang for _, lang in counts})
-    words = sorted({w for w, _ in counts})
-    place, column = {w: k for k, w in enumerate(words)}, {x: k for k, x in enumerate(languages)}
-    table = np.zeros((len(words), len(languages)))
-    for (w, lang), n in counts.items():
-        table[place[w], column[lang]] = n
-    table /= table.sum(axis=0)  # languages count alike
-    weight = table.sum(axis=1) ** 0.75
-    weight /= weight.sum()
-    labels = (table / table.sum(axis=1, keepdims=True)).astype(np.float32)
+    languages = sorted({lang for _, lang in samples})
+    column = np.array([languages.index(lang) for _, lang in samples])
+    weight = 1 / np.bincount(column)[column] / len(languages)
     net = BiGru(languages, hidden, seed)
     rng = np.random.default_rng(seed)
     m, v = ({k: np.zeros_like(x) for k, x in net.p.items()} for _ in range(2))
     for step in range(1, steps + 1):
-        picked = rng.choice(len(words), batch, p=weight)
-        x, lengths = as_bytes([words[k] for k in picked])
-        _, grads = net.gradients(x, lengths, labels[picked])
+        picked = rng.choice(len(samples), batch, p=weight)
+        x, real = as_bytes([samples[k][0] for k in picked])
+        _, grads = net.gradients(x, real, np.eye(len(languages), dtype=np.float32)[column[picked]])
         norm = np.sqrt(sum(float((g * g).sum()) for g in grads.values()))
         for k, g in grads.items():
             g = g / max(1.0, norm)
@@ -179,66 +198,57 @@ def train(samples: list[tuple[str, str]], hidden: int = 12, steps: int = 200, ba
     return net
 
 
-class Predictor:
-    """Scores documents with a network, remembering words."""
-
-    def __init__(self, net: BiGru, remembered: int = 200_000):
-        self.net, self.remembered = net, remembered
-        self.clear()
-
-    def clear(self) -> None:
-        self.place: dict[str, int] = {}
-        self.sums, self.positions = np.empty((0, len(self.net.languages)), np.float32), np.empty(0, np.int64)
-
-    def __call__(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        split = [letter_words(t) for t in texts]
-        new = set().union(*split).difference(self.place)
-        if len(self.place) + len(new) > self.remembered and self.place:
-            self.clear()
-            new = set().union(*split)
-        if new:
-            words = sorted(new)
-            sums, positions = self.net.word_sums(words)
-            self.place.update(zip(words, range(len(self.place), len(self.place) + len(words))))
-            self.sums, self.positions = np.concatenate([self.sums, sums]), np.concatenate([self.positions, positions])
-        out = []
-        for words in split:
-            if not words:
-                out.append(("und", 0.0))
-                continue
-            at = list(map(self.place.__getitem__, words))
-            mean = self.sums[at].sum(axis=0, dtype=np.float64) / self.positions[at].sum()
-            best = int(mean.argmax())
-            out.append((self.net.languages[best], min(1.0, float(mean[best]))))
-        return out
-
-
-def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, may_learn: Column, per_language: int = PER_LANGUAGE) -> list[tuple[str, str]]:
-    """(text, language) of at most per_language documents a language: those whose ids hash lowest, about."""
-    rows = docs.filter(may_learn & F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.pmod(F.xxhash64(id_col), F.lit(1_000_000)).alias("h"), F.col(text_col).cast("string").alias("text"))
-    found = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
-    keep = F.lit(False)
-    for r in found:
-        keep = keep | ((F.col("lang") == r["lang"]) & (F.col("h") < int(1_000_000 * min(1.0, 1.3 * per_language / r["count"])) + 1))
-    picked = rows.filter(keep).select("lang", "h", F.substring("text", 1, SAMPLE_CHARS).alias("text")).limit(2 * per_language * max(1, len(found))).collect()
-    out, seen = [], Counter()
-    for r in sorted(picked, key=lambda r: (r.h, r.lang, r.text or "")):
-        seen[r.lang] += 1
-        if seen[r.lang] <= per_language:
-            out.append((r.text or "", r.lang))
+def predict(net: BiGru | None, texts: list[str | None]) -> list[tuple[str, float]]:
+    """(language, score) of each text."""
+    out = [("und", 0.0)] * len(texts)
+    known = [k for k, t in enumerate(texts) if net and has_letter(t)]
+    if known:
+        raws = [encoded(texts[k]) for k in known]
+        for k, raw, total in zip(known, raws, net.document_sums(raws)):
+            best = int(total.argmax())
+            out[k] = (net.languages[best], min(1.0, float(total[best] / len(raw))))
     return out
 
 
+def pieces_of(text: str | None, most: int = PIECES, size: int = PIECE) -> list[bytes]:
+    """Pieces of a text's bytes, at places that its hash fixes, anywhere in it; all of a short text."""
+    raw = encoded(text or "")
+    if len(raw) <= most * size:
+        return [raw[k : k + size] for k in range(0, len(raw), size)]
+    places = np.random.default_rng(xxhash.xxh64_intdigest(raw)).integers(0, len(raw) - size + 1, most)
+    return [raw[k : k + size] for k in sorted(places)]
+
+
+def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, may_learn: Column, per_language: int = PER_LANGUAGE) -> list[tuple[bytes, str]]:
+    """(piece, language) of the per_language documents of each language whose ids hash lowest, fewer where SAMPLE is less than that for all."""
+    rows = docs.filter(may_learn & F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.pmod(F.xxhash64(id_col), F.lit(1_000_000)).alias("h"), F.col(text_col).cast("string").alias("text"))
+    counts = rows.groupBy("lang").count()
+    found = counts.count()
+    if found > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    each = max(1, min(per_language, SAMPLE // max(1, found)))
+    few = F.broadcast(counts.select("lang", (1_000_000 * F.least(F.lit(1.0), F.lit(1.3 * each + 20) / F.col("count")) + 1).alias("under")))
+    # The few that may be among the lowest, then those that are; ranks are cut before the shuffle too.
+    order = Window.partitionBy("lang").orderBy("h", F.crc32(F.col("text").cast("binary")), "text")
+    picked = rows.join(few, "lang").filter(F.col("h") < F.col("under")).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= each).select("lang", "text")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [(p, lang) for lang, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for p in pieces_of(t)]
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in own], pa.binary()), pa.array([lang for _, lang in own], pa.string())], ["piece", "lang"])
+
+    return [(bytes(r.piece), r.lang) for r in picked.mapInArrow(cut, "piece binary, lang string").collect()]
+
+
 def identify(docs: DataFrame, net: BiGru | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id (as it is), lang_pred, score for each row of docs."""
     kind = docs.select(F.col(id_col).alias("doc_id")).schema[0].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        predict = Predictor(net) if net else lambda texts: [("und", 0.0)] * len(texts)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                got = predict(part.column(1).to_pylist())
+                got = predict(net, part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x for x, _ in got], pa.string()), pa.array([s for _, s in got], pa.float64())], ["doc_id", "lang_pred", "score"])
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind.simpleString()}, lang_pred string, score double")
@@ -249,11 +259,10 @@ def keep_identified(docs: DataFrame, net: BiGru | None, text_col: str = "text",
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        predict = Predictor(net) if net else lambda texts: [("und", 0.0)] * len(texts)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                got = predict(part.column(names.index(text_col)).to_pylist())
+                got = predict(net, part.column(names.index(text_col)).to_pylist())
                 yield part.filter(pa.array([x != "und" and s >= least for x, s in got], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
