@@ -36,6 +36,17 @@ def join_hot(left: DataFrame, right: DataFrame, key: str | list[str], count: str
     )
 
 
+def join_counted(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """Joins left, a staged table, with right (one row a key) where any key of left may be hot: counts the keys first."""
+    total = left.count()
+    hot = left.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= max(1000, int(total * HOT_SHARE))).select(key)
+    hot = F.broadcast(stage(hot, "hot"))  # 1 / HOT_SHARE rows at most
+    if hot.isEmpty():
+        return left.join(right, key, how)
+    few = F.broadcast(right.join(hot, key, "left_semi"))
+    return left.join(hot, key, "left_semi").join(few, key, how).unionByName(left.join(hot, key, "left_anti").join(right, key, how))
+
+
 def prefixed(df: DataFrame, keys: list[str], bucket: Column, order: list[str], amount: str | None, name: str) -> DataFrame:
     """Adds `name`: the sum of `amount` (rows, if None) over the rows before this one within `keys`.
 

@@ -14,7 +14,8 @@ def connected(links: DataFrame) -> DataFrame:
     Each round maps a node to the neighbour of least hash, itself included, follows that map twice,
     rewrites the links by it and drops loops and repeats. Every node that is nobody's choice is
     gone after the round, so the rounds grow with the logarithm of the nodes. Each round's tables
-    are written to the shared folder. Loops and links with a null end are ignored; no links give no rows.
+    are written to the shared folder. A node with a thousandth of the links or more is joined by
+    broadcast, so a hub's links don't meet in one task. Loops and links with a null end are ignored; no links give no rows.
     """
     order = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("id"))
     tidy = lambda df: df.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -26,12 +27,13 @@ def connected(links: DataFrame) -> DataFrame:
         step = common.stage(chosen, "step")
         for _ in range(2):
             onward = step.select(F.col("a").alias("p"), F.col("p").alias("further"))
-            step = common.stage(step.join(onward, "p", "left").select("a", F.coalesce("further", "p").alias("p")), "step")
+            step = common.stage(common.join_counted(step, onward, "p", "left").select("a", F.coalesce("further", "p").alias("p")), "step")
         if roots is None:
-            roots = step.select(F.col("a").alias("node"), F.col("p").alias("root"))
+            roots = step.select(F.col("a").alias("node"), F.col("p").alias("root"))  # staged
         else:
             moved = step.select(F.col("a").alias("root"), F.col("p").alias("further"))
-            roots = common.stage(roots.join(moved, "root", "left").select("node", F.coalesce("further", "root").alias("root")), "roots")
+            roots = common.stage(common.join_counted(roots, moved, "root", "left").select("node", F.coalesce("further", "root").alias("root")), "roots")
         to_a, to_b = step.select("a", F.col("p").alias("pa")), step.select(F.col("a").alias("b"), F.col("p").alias("pb"))
-        links = common.stage(tidy(links.join(to_a, "a").join(to_b, "b").select(F.col("pa").alias("a"), F.col("pb").alias("b"))), "links")
+        half = common.stage(common.join_counted(links, to_a, "a").select("pa", "b"), "half")
+        links = common.stage(tidy(common.join_counted(half, to_b, "b").select(F.col("pa").alias("a"), F.col("pb").alias("b"))), "links")
     return links.select(F.col("a").alias("node"), F.col("b").alias("root")) if roots is None else roots

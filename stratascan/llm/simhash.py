@@ -8,6 +8,13 @@ one block of its neighbours by numpy exclusive-or and bit counts, again skipping
 their counts, and gives a spanning forest of the links it found, not the links. Spark joins make
 components of the forests.
 
+For similarity, not for a few bits, there are wide fingerprints (similar_documents): WIDE words of 64
+bits over a text's set of five-word shingles. Two sets of similarity 0.8 differ in a share of the bits
+that is known, and the radius is that share and SURE deviations, so that 99 in 100 such pairs are
+within it. Tiles then hold sets of like size, as sets whose sizes differ by more can't be that similar;
+every tile is compared with itself and the next, its first words first. Links are by the fingerprints'
+radius, so some pairs of a similarity from 0.7 link too.
+
 Defined results: a null text has no words; texts without words have fingerprint zero, which links
 like any other; texts with fewer words than a shingle are one shingle; rows that repeat share
 fingerprint and component; component_id is the smallest doc_id that is not null (null if there is
@@ -16,8 +23,9 @@ none); an empty table gives no rows.
 
 from __future__ import annotations
 
-import itertools
+import math
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -160,6 +168,159 @@ def _steps(segments: int, radius: int) -> list[tuple[int, ...]]:
     return found
 
 
+#: Words of 64 bits in a wide fingerprint; the similarity that its radius is for; deviations that the radius adds.
+WIDE, SIMILAR, SURE = 16, 0.8, 2.33
+FACTORS, SALTS = (np.array([xxhash.xxh64_intdigest(bytes([k, tag]), SEED) | 1 for k in range(64)], np.uint64) for tag in range(2))
+
+
+def shingle_set(text: str | None, shingle: int = 5) -> np.ndarray:
+    """The distinct 64-bit hashes of a text's runs of words, in order."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    runs = max(1, len(words) - shingle + 1)
+    out = np.full(runs, min(len(words), shingle), np.uint64)
+    for k in range(min(len(words), shingle)):
+        out += h[k : k + runs] * FACTORS[k]
+    out ^= out >> np.uint64(33)
+    out *= np.uint64(0xFF51AFD7ED558CCD)
+    out ^= out >> np.uint64(33)
+    return np.unique(out)
+
+
+def wide_fingerprint(hashes: np.ndarray, words: int = WIDE) -> bytes:
+    """64 * words bits: each is set if its hash is in over half of the set."""
+    counts = np.zeros(64 * words, np.int64)
+    for at in range(0, len(hashes), 255):  # sums of 255 bits fit a byte
+        x = hashes[at : at + 255, None] ^ SALTS[:words]
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x ^= x >> np.uint64(shift)
+            x *= np.uint64(factor)
+        x ^= x >> np.uint64(31)
+        counts += np.unpackbits(x.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
+    return np.packbits(2 * counts > len(hashes), bitorder="little").tobytes()
+
+
+def wide_fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int, words: int) -> DataFrame:
+    """doc_id, fp (a 64-bit number of the fingerprint and the size), n (the set's size), sketch (the fingerprint)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                sets = [shingle_set(t, shingle) for t in part.column(1).to_pylist()]
+                n, wide = [len(s) for s in sets], [wide_fingerprint(s, words) for s in sets]
+                fp = np.array([xxhash.xxh3_64_intdigest(w + k.to_bytes(8, "little"), SEED) for w, k in zip(wide, n)], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp), pa.array(n, pa.int64()), pa.array(wide, pa.binary())], ["doc_id", "fp", "n", "sketch"])
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long, n long, sketch binary")
+
+
+SMALL = 64  # sets of fewer hashes have radii of their own
+
+
+def differing_share(a: int, b: int, similar: float = SIMILAR) -> float:
+    """The share of bits in which sets of a and b hashes differ if their similarity is `similar` (the least whole overlap of that or more)."""
+    shared = math.ceil(similar / (1 + similar) * (a + b) - 1e-9)
+    if a + b > 4 * SMALL:
+        return math.acos(min(1.0, shared / math.sqrt(a * b))) / math.pi
+    coins = lambda n: np.array([math.comb(n, k) / 2**n for k in range(n + 1)])
+    set_bits = np.arange(shared + 1)  # of the hashes that both have
+
+    def over(n: int) -> np.ndarray:
+        """The chance of a bit in the fingerprint of n hashes, for each number of set bits among the shared ones."""
+        own = coins(n - shared)
+        return ((2 * (np.arange(len(own))[None, :] + set_bits[:, None]) > n) * own).sum(axis=1)
+
+    x, y = over(a), over(b)
+    return float((coins(shared) * (x * (1 - y) + y * (1 - x))).sum())
+
+
+@lru_cache(maxsize=8)
+def radii(bits: int, similar: float = SIMILAR) -> np.ndarray:
+    """The radius for sets of k hashes and their partners of k or more, for k under SMALL; the last is for all larger ones."""
+    out = np.full(SMALL + 1, -1.0)
+    for k in range(1, SMALL + 1):
+        sizes = range(k, int(k / similar + 1e-9) + 1) if k < SMALL else (100 * SMALL,)
+        share = max(differing_share(k if k < SMALL else b, b, similar) for b in sizes)
+        out[k] = bits * share + SURE * math.sqrt(bits * share * (1 - share))
+    out[SMALL] = max(out[SMALL], out[SMALL // 2 : SMALL].max())
+    return out
+
+
+def similar_forest(n: np.ndarray, sketches: np.ndarray, side: np.ndarray, similar: float = SIMILAR, tile: int = 512) -> tuple[np.ndarray, np.ndarray]:
+    """Places (a, b) of links that join rows just as all pairs of a row of side 0 with one of side 1 (all rows, if there is one side) within the radius do."""
+    order = np.argsort(n, kind="stable")
+    n, sketches, side = n[order], sketches[order], side[order]
+    counts = np.bitwise_count(sketches[:, 0]).astype(np.int16)
+    whole, first = radii(64 * sketches.shape[1], similar), radii(64, similar)
+    labels = np.arange(len(n))
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    same = not len(left) or not len(right)
+    left, right = (np.arange(len(n)),) * 2 if same else (left, right)
+    cut = lambda places: [places[k : k + tile] for k in range(0, len(places), tile)]
+    for x in cut(left):
+        reach = first[min(n[x].min(), SMALL) :].max()
+        for y in cut(right):
+            if same and y[0] < x[0] or similar * n[y[0]] > n[x[-1]] or similar * n[x[0]] > n[y[-1]]:
+                continue
+            if max(counts[x].min() - counts[y].max(), counts[y].min() - counts[x].max()) > reach:
+                continue
+            off = np.bitwise_count(sketches[x, 0][:, None] ^ sketches[None, y, 0])
+            at = np.flatnonzero(off <= reach)
+            i, j, off = x[at // len(y)], y[at % len(y)], off.ravel()[at].astype(np.int64)
+            low, high = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
+            near = (i != j) & (low >= similar * high - 1e-9) & (off <= first[np.minimum(low, SMALL)])
+            i, j, off, low = i[near], j[near], off[near], low[near]
+            for w in range(1, sketches.shape[1]):
+                off += np.bitwise_count(sketches[i, w] ^ sketches[j, w])
+                if w % 4 == 3:
+                    near = off <= whole[np.minimum(low, SMALL)]
+                    i, j, off, low = i[near], j[near], off[near], low[near]
+            near = off <= whole[np.minimum(low, SMALL)]
+            labels = merge_labels(labels, i[near], j[near])
+    chain = np.argsort(labels, kind="stable")
+    joined = labels[chain[1:]] == labels[chain[:-1]]
+    return order[chain[:-1][joined]], order[chain[1:][joined]]
+
+
+def similar_links(groups: DataFrame, total: int, similar: float = SIMILAR, block: int | None = None) -> DataFrame:
+    """Forest links (a, b) between the distinct fingerprints of groups(fp, n, sketch) that are within the radius."""
+    block = block or min(1 << 16, max(2048, total // 64))
+    # Below this size sets are similar only if they are equal.
+    groups = groups.filter(F.col("n") >= math.ceil(similar / (1 - similar) - 1e-9))
+    groups = groups.withColumn("tile", F.floor(F.log(F.col("n").cast("double")) / math.log(1 / similar)).cast("int")).withColumn("h", F.xxhash64(F.lit(9), "fp"))
+    sizes = common.stage(groups.groupBy("tile").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("parts")), "tiles")  # a row for each power of 1 / similar
+    beside = lambda step, name: F.broadcast(sizes.select((F.col("tile") - step).alias("tile"), F.col("parts").alias(name)))
+    placed = groups.join(F.broadcast(sizes), "tile").join(beside(1, "above"), "tile", "left").join(beside(-1, "below"), "tile", "left")
+    placed = placed.withColumn("part", F.pmod("h", F.col("parts")).cast("int"))
+    none = F.array().cast("array<struct<tile: int, own: boolean, i: int, j: int, side: int>>")
+    task = lambda tile, own, i, j, side: F.struct(tile.cast("int").alias("tile"), F.lit(own).alias("own"), i.cast("int").alias("i"), j.cast("int").alias("j"), side.cast("int").alias("side"))
+    upto = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    # Blocks of one tile meet in pairs; a block alone meets itself, with one side only.
+    within = F.transform(upto("parts"), lambda q: task(F.col("tile"), True, F.least(F.col("part"), q), F.greatest(F.col("part"), q), (F.col("part") > q).cast("int")))
+    upper = F.when(F.col("above").isNotNull(), F.transform(upto("above"), lambda q: task(F.col("tile"), False, F.col("part"), q, F.lit(0)))).otherwise(none)
+    lower = F.when(F.col("below").isNotNull(), F.transform(upto("below"), lambda q: task(F.col("tile") - 1, False, q, F.col("part"), F.lit(1)))).otherwise(none)
+    rows = placed.select("fp", "n", "sketch", F.explode(F.concat(within, upper, lower)).alias("t")).select("t.*", "fp", "n", "sketch")
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        wide = np.frombuffer(b"".join(group["sketch"]), "<u8").reshape(len(group), -1)
+        side = group["side"].to_numpy(np.int64)
+        if not group["own"].iloc[0] and side.min() == side.max():
+            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+        fp = group["fp"].to_numpy(np.int64)
+        a, b = similar_forest(group["n"].to_numpy(np.int64), wide, side, similar)
+        return pd.DataFrame({"a": fp[a], "b": fp[b]})
+
+    return rows.groupBy("tile", "own", "i", "j").applyInPandas(compare, "a long, b long")
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similar: float = SIMILAR, words: int = WIDE, block: int | None = None) -> DataFrame:
+    """doc_id, fingerprint (the wide one's number, 16 hex digits), component_id: one row for each row of docs."""
+    rows = common.stage(wide_fingerprints(docs, id_col, text_col, shingle, words), "wide_fingerprints")
+    distinct = rows.groupBy("fp").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    return components_of(rows.select("doc_id", "fp"), lambda groups: similar_links(common.stage(distinct, "sketches"), groups.count(), similar, block))
+
+
 def group_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2, segments: int | None = None, block: int | None = None) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id: one row for each row of docs."""
     rows = common.stage(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
@@ -179,12 +340,18 @@ def components_of(rows: DataFrame, linked: Callable[[DataFrame], DataFrame]) ->
 
 
 def keep_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: int) -> DataFrame:
-    """The rows of docs whose doc_id stands for its component (rows with a null doc_id stay too), with all their columns."""
+    """The rows of docs that stand for their component of fingerprints, with all their columns."""
     return keep_heads(docs, group_documents(docs, id_col, text_col, **options), id_col)
 
 
+def keep_dissimilar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of docs that stand for their component of similar texts, with all their columns."""
+    return keep_heads(docs, similar_documents(docs, id_col, text_col, **options), id_col)
+
+
 def keep_heads(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of docs whose doc_id is its component_id in groups, or null."""
+    """The rows of docs whose doc_id is its component_id in groups; rows with a null doc_id, which no component is named by, stay too."""
     name = common.unused(docs, "_drop_id")
     drops = groups.filter("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(drops, F.col(id_col).cast("long") == F.col(name), "left_anti")
+    ident = F.col(id_col).cast("long")
+    return docs.filter(ident.isNotNull()).join(drops, ident == F.col(name), "left_anti").unionAll(docs.filter(ident.isNull()))

@@ -7,7 +7,7 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 from stratascan.llm import mixing
-from tests.llm.test_simhash import brute_components, brute_fingerprint
+from tests.llm.test_simhash import brute_similar
 
 RNG = random.Random(11)
 PARTS = {"xx": ["tion", "the", "ing", "ough", "sh", "ea", "wr"], "yy": ["ción", "ñe", "que", "lla", "os", "ir", "zu"]}
@@ -42,7 +42,7 @@ def test_stages_against_brute_force(spark, tmp_path):
             last[t] = max(i, last.get(t, i))
     assert sorted(r.doc_id for r in kept[1]) == sorted(last.values())
     left = sorted((i, t) for t, i in last.items())
-    groups = brute_components([(i, brute_fingerprint(t)) for i, t in left])
+    groups = brute_similar(left)  # five-word shingles, similarity 0.8
     alone = [i for (i, _), c in zip(left, groups) if i == c]
     assert sorted(r.doc_id for r in kept[2]) == alone and len(alone) < len(left)
     by = {i: (t, s) for i, t, _, s, _ in rows}

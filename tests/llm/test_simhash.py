@@ -1,6 +1,7 @@
 import random
 import re
 
+import corpus_pipeline
 import numpy as np
 import pytest
 import xxhash
@@ -97,3 +98,103 @@ def test_forest_spans_what_all_pairs_span():
     fps = np.array(random_fps(400, 9), np.uint64)
     a, b = simhash.forest(fps[:200], fps[150:], 2, tile=16)
     assert len(a) < 400 and (np.bitwise_count(a ^ b) >= 1).all()
+
+
+def brute_set(text):
+    words = (text or "").lower().split()
+    return {tuple(words[k : k + 5]) for k in range(len(words) - 4)} or {tuple(words)}
+
+
+def brute_similar(rows, least=0.8):
+    """The component id of each row, from the Jaccard similarity of all pairs."""
+    sets, root = [brute_set(t) for _, t in rows], list(range(len(rows)))
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b]):
+                root[find(a)] = find(b)
+    low = {}
+    for k, (i, _) in enumerate(rows):
+        low[find(k)] = min(low.get(find(k), i), i)
+    return [low[find(k)] for k in range(len(rows))]
+
+
+def similar_corpus():
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 6)))
+    common = [word() for _ in range(40)]
+    rows = []
+    for k in range(120):
+        base = [word() for _ in range(rng.choice([1, 4, 5, 6, 9, 12, 30, 100, 250, 900]))] + (common if k % 3 == 0 else [])
+        rows.append(" ".join(base))
+        for _ in range(rng.choice([0, 1, 1, 3])):  # at all similarities around the limit
+            copy = list(base)
+            for _ in range(rng.randint(0, 1 + len(copy) // 45)):
+                copy[rng.randrange(len(copy))] = word()
+            rows.append(" ".join(copy[: rng.randint(len(copy) * 17 // 20, len(copy))]))
+    base = [word() for _ in range(120)]
+    for k in range(60):  # a group that is alike by way of others
+        base[2 * k] = word()
+        rows.append(" ".join(base))
+    rows += [rows[0].upper(), "  " + rows[3] + "\n", "", " ", None]
+    rng.shuffle(rows)
+    return list(enumerate(rows))
+
+
+def pairs_of(groups):
+    return {(a, b) for a in range(len(groups)) for b in range(a) if groups[a] == groups[b]}
+
+
+def test_similar_documents_against_brute_force(spark):
+    """Nearly all that similarity 0.8 joins is joined, and nothing that 0.6 leaves apart."""
+    rows = similar_corpus()
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string"), block=16).collect()}
+    got = [got[i] for i, _ in rows]
+    want, loose = pairs_of(brute_similar(rows)), pairs_of(brute_similar(rows, 0.6))
+    assert len(want) > 200 and len(want & pairs_of(got)) >= 0.98 * len(want)
+    assert pairs_of(got) <= loose
+    one = {r.doc_id: r.component_id for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [one[i] for i, _ in rows] == got  # blocks change nothing
+
+
+def test_pipeline_stage_keeps_one_of_each_group(spark):
+    rows = similar_corpus()
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, lang string")
+    kept = corpus_pipeline.near_deduplicated(spark, docs, "")
+    assert kept.columns == ["doc_id", "text", "lang"]
+    ids = {r.doc_id for r in kept.collect()}
+    assert ids == {r.component_id for r in simhash.similar_documents(docs).collect()}
+    assert ids >= set(brute_similar(rows, 0.6))
+    left = brute_similar([(i, t) for i, t in rows if i in ids])
+    assert len(left) - len(set(left)) <= 2
+
+
+def test_radii():
+    rng = np.random.default_rng(2)
+    for a, b in ((4, 5), (9, 9), (30, 36), (400, 450)):
+        shared = int(np.ceil(0.8 / 1.8 * (a + b) - 1e-9))
+        off = []
+        for _ in range(40):
+            h = rng.integers(0, 2**64, a + b - shared, dtype=np.uint64)
+            x, y = (np.frombuffer(simhash.wide_fingerprint(s), "<u8") for s in (h[:a], h[a - shared :]))
+            off.append(int(np.bitwise_count(x ^ y).sum()))
+        assert abs(np.mean(off) / 1024 - simhash.differing_share(a, b)) < 0.012
+        assert np.mean(np.array(off) <= simhash.radii(1024)[min(a, simhash.SMALL)]) >= 0.95
+
+
+def test_similar_edges(spark):
+    docs = spark.createDataFrame([(None, "a b c d e f"), (3, "a b c d e f"), (2, "A b c d e f"), (None, None), (9, "w " * 300_000), (8, "w " * 300_000 + "x"), (5, None), (6, "")], "doc_id long, text string")
+    assert sorted(str(r.doc_id) for r in simhash.keep_dissimilar(docs).collect()) == ["2", "5", "8", "9", "None", "None"]
+    assert simhash.similar_documents(docs.filter("false")).count() == 0
+
+
+def test_a_hub_does_not_meet_in_one_task(spark):
+    """A star of many links: its centre's rows are joined by broadcast, and the components stay right."""
+    links = spark.range(1, 20_001).selectExpr("cast(0 as long) a", "id b").unionAll(spark.range(30_000, 30_500).selectExpr("id a", "id + 500 b"))
+    roots = components.connected(links)
+    assert roots.groupBy("root").count().groupBy("count").count().orderBy("count").collect() == [(2, 500), (20_001, 1)]
