@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratascan.llm import bpe, common, exact_dedup, language_id, mixing, shingle_sets
+from stratascan.llm import bpe, common, exact_dedup, language_id, mixing, simhash
 from stratascan.llm.queries import fold
 from stratascan.llm.vocabularies import tokenizer_path
 from stratascan.sources import scan
@@ -29,8 +29,8 @@ def exact_deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts that link by a similarity of 0.8 or more in five-word shingles, the row with the smallest doc_id."""
-    return shingle_sets.keep_documents(docs)
+    """Of texts whose wide fingerprints of five-word shingles link at a similarity of 0.8, the row with the smallest doc_id."""
+    return simhash.keep_dissimilar(docs, shingle=5, similar=0.8)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +46,7 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("language_id", identified),
     ("exact_dedup", exact_deduplicated),
-    ("shingle_near_dedup", near_deduplicated),
+    ("simhash_near_dedup", near_deduplicated),
     ("source_mix", mixed),
     ("bpe_encode", encoded),
 ]
