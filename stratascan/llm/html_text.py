@@ -1,19 +1,23 @@
 """Main text of web pages by tag-path ratios.
 
 A page's text lies in blocks: runs of text between the starts and ends of block elements. Each
-block has its path of block elements from the root. For each path, text length and punctuation
-marks are summed over its blocks and divided by their number (a block that is mostly links counts
-less); both ratios are smoothed over the paths in page order with a Gaussian kernel, fused as a
-product, and held against a threshold from their spread. The text is all blocks of the paths above
-the threshold, and all others in the nearest container that holds most of these; where that is an
-article or main element, what is in no such element goes. Paths through
-elements that are never part of an article (menus, headers, footers, sidebars, notices, adverts,
-forms, comments; by name, role, class or id) are out from the start, but an element that is out for
-its class, id or being a form stays if it holds most of the page's prose.
+block has its path of elements from the root; a step is an element's tag and its first name (class
+or id). For each path, text length and punctuation marks are summed over its blocks and divided by
+their number (a block that is mostly links counts less); both ratios are smoothed over paths that
+lie near each other in the tree of containers, fused as a product with the root of the share of the
+text that lies there, weighed by what the path's elements are, and held against a threshold. The text is all blocks of the paths above it.
+
+The weight makes a path count less for each element on it whose class, id or name is one that
+pages give to what isn't the article, or that is a form, and for lying outside article and main
+where these hold a good part of the prose; it counts nothing by itself: where all prose is in such
+elements, the threshold is theirs. Elements that are never part of an article (menus, headers and
+footers of the page, sidebars, dialogs, controls, scripts, styles, what is hidden; by tag, role or
+attribute) have no text. Elements of any kind are looked at, also those within lines.
 
 Defined results: a null page is empty; a page without text, or with text only in elements that are
 out, gives the empty string; broken markup is read as browsers do in the main (unclosed elements,
-stray ends, unclosed comments and scripts run to the end); a page without markup is its own text;
+stray ends, unclosed comments and scripts run to the end; beyond DEEPEST open elements, what would
+lie deeper lies beside the innermost, with all its text); a page without markup is its own text;
 rows that repeat give equal results. Nothing is cut by length.
 """
 
@@ -21,6 +25,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html import unescape
@@ -36,7 +41,7 @@ BLOCK = frozenset(
     "nav header footer aside form fieldset legend dialog menu search template noscript head hr select option optgroup textarea button".split()
 )
 ENDS_P = frozenset("address article aside blockquote center details dialog div dl fieldset figure figcaption footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split())
-CONTAINER = frozenset("html body main article section div td blockquote center".split())
+CONTAINER = frozenset("html body main article section div td center".split())
 OUT = frozenset("nav footer aside form fieldset dialog menu search template noscript head title select option optgroup textarea button script style iframe object svg math canvas audio video".split())
 OUT_ROLE = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form tablist".split())
 SIBLINGS_END = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",))}
@@ -59,19 +64,29 @@ PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？؟،।]")
 DEEPEST = 512
 
 
+@dataclass
+class Path:
+    """A tag path: the steps from the root."""
+
+    container: int  # the path of its nearest container, itself included
+    up: int  # the path of the nearest container of the element above
+    doubts: int  # elements on it that a name or being a form speaks against
+    marked: bool  # runs through article or main
+    heading: bool
+
+
 @dataclass
 class Element:
     tag: str
-    path: int  # number of its tag path: the steps (tag and first class) from the root
-    up: Element | None
+    path: int
     out: bool
-    number: int
-    doubt: Element | None  # the nearest element, itself included, that its name or being a form puts out
+    inline: bool
 
 
 @dataclass
 class Block:
-    at: Element
+    path: int
+    out: bool
     parts: list[str] = field(default_factory=list)
     linked: int = 0
     text: str = ""
@@ -88,12 +103,12 @@ class BlockParser:
     """Reads a page into blocks, in one pass from start to end whatever its markup."""
 
     def __init__(self) -> None:
-        self.root = Element("html", 0, None, False, 0, None)
+        self.tree = [Path(0, -1, 0, False, False)]
         self.paths: dict[tuple[int, str], int] = {}
-        self.open, self.blocks, self.count, self.links = [self.root], [], 0, 0
+        self.open, self.blocks, self.links = [Element("html", 0, False, False)], [], 0
         self.opened: dict[str, int] = {}  # open elements by tag
         self.skip: list[str] = []  # open elements without text of their own: scripts and the like
-        self.fresh = True
+        self.line: dict[int, Block] = {}  # blocks that text may still join, by the depth of their element
 
     def read(self, html: str) -> None:
         at = 0
@@ -131,7 +146,7 @@ class BlockParser:
         if tag in VOID:
             if tag == "hr":
                 self.close_p()
-                self.fresh = True
+                self.line = {}
             elif tag == "br":
                 self.text(" ")
             return
@@ -141,44 +156,58 @@ class BlockParser:
         if tag == "a":
             self.links = 1
         if tag not in BLOCK:
+            # Of elements within lines only those matter that are put out or in doubt, and those inside of one such of their name, for their ends.
+            out, doubt = self.judged(tag, attrs)
+            if out or doubt or self.opened.get(tag):
+                self.push(tag, attrs, out, doubt)
             return
         if self.open[-1].tag == "head" and tag != "noscript" and tag != "template":
             self.pop_to(len(self.open) - 1)
         if tag in ("html", "body"):
             if len(self.open) == 1 and tag == "body":
-                self.push(tag, attrs)
+                self.push(tag, attrs, *self.judged(tag, attrs))
             return
         if tag in ENDS_P:
             self.close_p()
         if tag in SIBLINGS_END:
             names, within = SIBLINGS_END[tag]
             self.close_siblings(names.split(), within)
-        self.push(tag, attrs)
-
-    def push(self, tag: str, attrs: dict[str, str]) -> None:
+        self.push(tag, attrs, *self.judged(tag, attrs))
+
+    def judged(self, tag: str, attrs: dict[str, str]) -> tuple[bool, bool]:
+        """Whether an element is out, and whether its name or being a form speaks against it."""
+        out = tag in OUT and tag != "form" or tag == "header" and not (self.opened.get("article") or self.opened.get("main"))
+        doubt = tag == "form" or "-" in tag and bool(OUT_NAME.search(tag))
+        if attrs:
+            out = out or attrs.get("role", "").lower() in OUT_ROLE or "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or "style" in attrs and bool(HIDDEN.search(attrs["style"]))
+            named = tag not in ("html", "body", "main", "header", "h1", "h2", "h3", "h4", "h5", "h6") and ("class" in attrs or "id" in attrs)
+            doubt = doubt or named and bool(OUT_NAME.search(f"{attrs.get('class', '')} {attrs.get('id', '')}"))
+        return out, doubt
+
+    def push(self, tag: str, attrs: dict[str, str], out: bool, doubt: bool) -> None:
         if len(self.open) > DEEPEST:
-            self.opened[self.open.pop().tag] -= 1
-        up = self.open[-1]
-        names = f"{attrs.get('class', '')} {attrs.get('id', '')}".strip()
-        role = attrs.get("role", "").lower()
-        out = up.out or tag in OUT and tag != "form" or role in OUT_ROLE or "hidden" in attrs or attrs.get("aria-hidden") == "true" or bool(HIDDEN.search(attrs.get("style", "")))
-        if tag == "header" and not (self.opened.get("article") or self.opened.get("main")):
-            out = True
-        doubtful = tag == "form" or tag not in ("html", "body", "main", "article", "header") and not re.fullmatch(r"h[1-6]", tag) and bool(OUT_NAME.search(names))
-        self.count += 1
-        step = f"{tag}.{names.split()[0]}" if names and tag != "p" else tag
-        path = self.paths.setdefault((up.path, step), len(self.paths) + 1)
-        self.open.append(e := Element(tag, path, up, out, self.count, up.doubt))
-        if doubtful:
-            e.doubt = e
+            self.pop_to(len(self.open) - 1)
+        up, inline = self.open[-1], tag not in BLOCK
+        names = f"{attrs.get('class', '')} {attrs.get('id', '')}".split()
+        step = f"{tag}.{names[0]}" if names and tag != "p" else tag
+        key = (up.path, step + "?" * doubt)
+        if key not in self.paths:
+            own, above = len(self.tree), self.tree[up.path]
+            self.paths[key] = own
+            self.tree.append(Path(own if tag in CONTAINER else above.container, above.container if tag in CONTAINER else above.up, above.doubts + doubt, above.marked or tag in ("article", "main"), tag[0] == "h" and tag[1:].isdigit()))
+        self.open.append(Element(tag, self.paths[key], up.out or out, inline))
         self.opened[tag] = self.opened.get(tag, 0) + 1
-        self.fresh, self.links = True, 0
+        if not inline:
+            self.line, self.links = {}, 0
 
     def pop_to(self, k: int) -> None:
-        for e in self.open[k:]:
+        for depth in range(k, len(self.open)):
+            e = self.open[depth]
             self.opened[e.tag] -= 1
+            self.line.pop(depth, None)
+            if not e.inline:
+                self.line, self.links = {}, 0
         del self.open[k:]
-        self.fresh, self.links = True, 0
 
     def close_p(self) -> None:
         if not self.opened.get("p"):
@@ -210,80 +239,107 @@ class BlockParser:
             return
         if tag == "a":
             self.links = 0
-        if tag not in BLOCK or tag in ("html", "body") or not self.opened.get(tag):
+        if tag in ("html", "body") or not self.opened.get(tag):
             return
         for k in range(len(self.open) - 1, 0, -1):
-            if self.open[k].tag == tag:
+            e = self.open[k]
+            if e.tag == tag:
                 return self.pop_to(k)
-            if tag == "p" and self.open[k].tag in ("td", "th") or tag == "li" and self.open[k].tag in ("ul", "ol"):
+            if tag == "p" and e.tag in ("td", "th") or tag == "li" and e.tag in ("ul", "ol") or tag not in BLOCK and not e.inline:
                 return None
         return None
 
     def text(self, data: str) -> None:
         if self.skip:
             return
-        if self.fresh or self.blocks[-1].at is not self.open[-1]:
+        depth = len(self.open) - 1
+        block = self.line.get(depth)
+        if block is None:
             if not data.strip():
                 return
-            self.blocks.append(Block(self.open[-1]))
-            self.fresh = False
-        self.blocks[-1].parts.append(data)
+            e = self.open[depth]
+            self.line[depth] = block = Block(e.path, e.out)
+            self.blocks.append(block)
+        block.parts.append(data)
         if self.links:
-            self.blocks[-1].linked += len(data.strip())
+            block.linked += len(data.strip())
 
 
-def smooth(values: list[float], width: float = 1.0) -> list[float]:
-    """Gaussian smoothing over neighbours."""
-    reach = int(math.ceil(2 * width))
-    kernel = [math.exp(-(k * k) / (2 * width * width)) for k in range(-reach, reach + 1)]
-    out = []
-    for at in range(len(values)):
-        near = [(values[at + k - reach], w) for k, w in enumerate(kernel) if 0 <= at + k - reach < len(values)]
-        out.append(sum(x * w for x, w in near) / sum(w for _, w in near))
-    return out
+#: How much paths one and two containers away count when ratios are smoothed, and headings' paths one away.
+NEAR, FAR, HEADING = 0.1, 0.01, 0.6
+#: The threshold's share of the mean score; weights of a doubt, and of lying outside and inside of article and main.
+LEAST, DOUBT, OUTSIDE, INSIDE = 0.15, 0.002, 0.1, 10.0
+#: Prose that a page has at least for what is in doubt to be its text.
+SOME = 20
 
 
-def path_scores(blocks: list[Block]) -> dict[int, float]:
-    """Fused, smoothed ratios by tag path, in page order."""
-    length: dict[int, float] = {}
-    marks: dict[int, float] = {}
-    nodes: dict[int, int] = {}
+def ratios(blocks: list[Block], tree: list[Path]) -> dict[int, float]:
+    """Length and punctuation ratios by path, smoothed over the tree of containers and fused, with the root of the share of the text that lies there."""
+    length, marks, nodes = Counter(), Counter(), Counter()
     for b in blocks:
-        p = b.at.path
         weight = 1 - min(1.0, b.linked / max(1, len(b.text)))
-        length[p] = length.get(p, 0.0) + weight * len(b.text)
-        marks[p] = marks.get(p, 0.0) + weight * len(PUNCTUATION.findall(b.text))
-        nodes[p] = nodes.get(p, 0) + 1
-    paths = list(length)
-    text_ratio = smooth([length[p] / nodes[p] for p in paths])
-    mark_ratio = smooth([marks[p] / nodes[p] for p in paths])
-    return {p: t * (1 + m) for p, t, m in zip(paths, text_ratio, mark_ratio)}
-
-
-def without_doubtful(blocks: list[Block]) -> list[Block]:
-    """The blocks outside elements that a name or a form puts out; those that hold most of the page's prose (unlinked text with marks) are not out, unless an article or main element beside them has text."""
-
-    def marked(e: Element | None) -> bool:
-        while e and e.tag not in ("article", "main"):
-            e = e.up
-        return e is not None
-
-    total, held = 0, {}
-    beside = any(b.at.doubt is None and marked(b.at) for b in blocks)
+        length[b.path] += weight * len(b.text)
+        marks[b.path] += weight * len(PUNCTUATION.findall(b.text))
+        nodes[b.path] += 1
+    # Sums of (length ratio, mark ratio, 1, length) over the paths of each container, its children and their children.
+    none = [0.0, 0.0, 0.0, 0.0]
+    own, below, further = (defaultdict(none.copy) for _ in range(3))
+    above = lambda c: tree[c].up if c >= 0 else -1
+    for p, k in nodes.items():
+        value, c = (length[p] / k, marks[p] / k, 1.0, length[p]), tree[p].container
+        for sums, at in ((own, c), (below, above(c)), (further, above(above(c)))):
+            if at >= 0:
+                sums[at] = [x + y for x, y in zip(sums[at], value)]
+    out, sizes = {}, {}
+    for p in nodes:
+        c = tree[p].container
+        up = above(c)
+        near = HEADING if tree[p].heading else NEAR
+        around = zip(own[c], own.get(up, none), below.get(c, none), own.get(above(up), none), below.get(up, none), further.get(c, none))
+        text, mark, weight, size = (o + near * (u + b) + FAR * (uu + max(0.0, s - o if up >= 0 else 0.0) + f) for o, u, b, uu, s, f in around)
+        out[p], sizes[p] = text / weight * (1 + mark / weight), size
+    marked = sum(length[p] for p in nodes if tree[p].marked)  # an article's parts aren't weighed against each other
+    sizes = {p: marked if tree[p].marked else x for p, x in sizes.items()}
+    most = max(sizes.values()) or 1.0
+    return {p: x * math.sqrt(sizes[p] / most) for p, x in out.items()}
+
+
+def prose(b: Block) -> float:
+    """Characters of a block that aren't linked; a quarter of them, if it has no mark."""
+    return max(0, len(b.text) - b.linked) * (1.0 if PUNCTUATION.search(b.text) else 0.25)
+
+
+def weights(blocks: list[Block], tree: list[Path]) -> tuple[int, dict[int, float]]:
+    """The doubts that the page's prose has at least, and each path's weight."""
+    total = sum(map(prose, blocks))
+    held, article = Counter(), Counter()
     for b in blocks:
-        prose = max(0, len(b.text) - b.linked) if PUNCTUATION.search(b.text) else 0
-        total += prose
-        e = b.at.doubt
-        while e:
-            held[e.number] = held.get(e.number, 0) + prose
-            e = e.up.doubt if e.up else None
-
-    def stays(e: Element | None) -> bool:
-        while e and 2 * held[e.number] > total and (not beside or marked(e)):
-            e = e.up.doubt if e.up else None
-        return e is None
-
-    return [b for b in blocks if stays(b.at.doubt)]
+        held[tree[b.path].doubts] += prose(b)
+        article[tree[b.path].doubts] += prose(b) * tree[b.path].marked
+    least, so_far, inside = 0, 0, 0
+    for d in sorted(held):
+        so_far, inside, least = so_far + held[d], inside + article[d], d
+        if inside or 10 * so_far >= total > 0:
+            break
+    if total < SOME:
+        least = 0
+    trusted = 4 * inside >= so_far > 0
+    out = {}
+    for p in {b.path for b in blocks}:
+        where = (INSIDE if tree[p].marked else OUTSIDE) if trusted else 1.0
+        out[p] = where * DOUBT ** max(0, tree[p].doubts - least)
+    return least, out
+
+
+def path_scores(blocks: list[Block], tree: list[Path]) -> tuple[dict[int, float], float]:
+    """Each path's ratios times its weight, and the threshold: a share of the mean ratios of the text that is least in doubt."""
+    score = ratios(blocks, tree)
+    doubts, weight = weights(blocks, tree)
+    basis = [b for b in blocks if tree[b.path].doubts <= doubts]
+    if not basis:
+        return {}, 1.0
+    mean = sum(score[b.path] * len(b.text) for b in basis) / sum(len(b.text) for b in basis)
+    return {p: x * weight[p] for p, x in score.items()}, LEAST * mean
 
 
 def article_text(html: str | None) -> str:
@@ -293,45 +349,12 @@ def article_text(html: str | None) -> str:
     blocks = []
     for b in parser.blocks:
         b.text = SPACE.sub(" ", "".join(b.parts)).strip()
-        if b.text and not b.at.out:
+        if b.text and not b.out:
             blocks.append(b)
-    blocks = without_doubtful(blocks)
     if not blocks:
         return ""
-    scores = path_scores(blocks)
-    mean = sum(scores.values()) / len(scores)
-    spread = math.sqrt(sum((x - mean) ** 2 for x in scores.values()) / len(scores))
-    least = min(spread, max(scores.values()))
-    chosen = [b for b in blocks if scores[b.at.path] >= least]
-    # The innermost container with at least two thirds of the chosen text.
-    weight: dict[int, float] = {}
-    holder: dict[int, Element] = {}
-    for b in chosen:
-        e: Element | None = b.at
-        while e:
-            weight[e.number] = weight.get(e.number, 0) + len(b.text)
-            holder[e.number] = e
-            e = e.up
-    total = sum(len(b.text) for b in chosen)
-    inner = max((n for n, e in holder.items() if e.tag in CONTAINER and 3 * weight[n] >= 2 * total), default=0)
-    if holder.get(inner) and holder[inner].tag not in ("article", "main"):  # a part of an article: all of it
-        e = holder[inner]
-        while e and e.tag not in ("article", "main"):
-            e = e.up
-        inner = e.number if e else inner
-
-    marked = inner in holder and holder[inner].tag in ("article", "main")
-
-    def inside(b: Block) -> bool:
-        e: Element | None = b.at
-        above = scores[b.at.path] >= least
-        if above and not marked:
-            return True
-        while e and e.number != inner and not (above and e.tag in ("article", "main")):
-            e = e.up
-        return e is not None
-
-    return "\n\n".join(b.text for b in blocks if inside(b))
+    score, least = path_scores(blocks, parser.tree)
+    return "\n\n".join(b.text for b in blocks if score.get(b.path, 0.0) >= least)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -1,9 +1,13 @@
 import html as entities
 import random
 import time
+from pathlib import Path
 
 import pytest
 
+import pyarrow.parquet as pq
+
+from stratascan.llm import html_text
 from stratascan.llm.html_text import article_text, extract
 
 P1 = "The first paragraph has some length, and it has marks: commas, stops and more of them. It goes on."
@@ -75,3 +79,53 @@ def test_extract(spark):
 )
 def test_no_part_of_the_article_is_lost(page):
     assert article_text(page) == f"{P1 * 5}\n\n{P2 * 2}"
+
+
+BODY = f"<p>{P1 * 3}</p><p>{P2 * 2}</p>"
+BODY_TEXT = f"{P1 * 3}\n\n{P2 * 2}"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f'<body><div id="comment-policy-article">{BODY}</div></body>',
+        f'<body><div class="comments">{BODY}</div></body>',  # nothing else reads as prose
+        f'<body><main><section class="related-work">{BODY}</section></main></body>',
+        f'<article>{BODY}<span class="cookie-notice">We use cookies, and more of them.</span></article>',
+        f'<article><cookie-banner>We use cookies, <b>and</b> more of them.</cookie-banner>{BODY}</article>',
+        f'<article>{BODY}<span hidden>Not to be seen, at all.</span><span style="color:red;display: none">Nor this.</span></article>',
+        f'<article>{BODY}<div class="comments"><article class="comment"><p>{P1 * 4}</p></article></div></article>',
+        f'<body><div class="content">{BODY}</div><div class="links"><a href=x>One thing, here.</a> <a href=y>Another; there.</a></div></body>',
+        f'<body><div class="content">{BODY}</div><div class="x1">Tiny bit</div><div class="x2">Home</div><p class=z>More</p></body>',
+        f'<body><div class="teasers"><article>Short one.</article></div><div class="content">{BODY}</div></body>',
+    ],
+)
+def test_what_decides(page):
+    assert article_text(page) == BODY_TEXT
+
+
+def test_elements_within_lines():
+    assert article_text(f"<article><p>{P1} Before <span hidden>not <span>seen</span> here</span> after, <i class=x>in</i> one line.</p></article>") == f"{P1} Before after, in one line."
+    assert article_text(f"<article><p>{P1} a <x-term>b</x-term> c.</p></article>") == f"{P1} a b c."
+    assert article_text(f"<article><p>{P1}<span hidden><div>x</span>y</div>z</p></article>").startswith(P1)
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.001").exists(), reason="no test tables")
+def test_the_ratios_choose_the_text(monkeypatch):
+    """With other scores in place of the ratios, other text comes out: on made pages, and on those of the tables."""
+    pages = [
+        f'<body><div class="content">{BODY}</div><div class="links"><a href=x>One thing, here.</a> <a href=y>Another; there.</a></div><div class="x2">Home</div></body>',
+        f'<body><div class="a"><p>{P1 * 3}</p></div><div class="b">Login</div><div class="c">Read more</div></body>',
+    ]
+    table = Path("/root/testdata/sf0.001/pages.parquet")
+    real = [r["html"].replace("<article>", "<div class=body>").replace("</article>", "</div>").replace('class="ad"', 'class="x"') for r in pq.read_table(table).to_pylist()]
+    made, want = [article_text(p) for p in pages], [article_text(p) for p in real]
+    assert made == [BODY_TEXT, P1 * 3]
+    own = html_text.ratios
+    constant = lambda blocks, tree: dict.fromkeys(own(blocks, tree), 1.0)
+    inverse = lambda blocks, tree: {p: 1 / (1e-9 + x) for p, x in own(blocks, tree).items()}
+    assert sum(w == article_text(r["html"]) for w, r in zip(want, pq.read_table(table).to_pylist())) >= 0.8 * len(real)  # without names and article, by the ratios alone
+    for other in (constant, inverse):
+        monkeypatch.setattr(html_text, "ratios", other)
+        assert all(article_text(p) != m for p, m in zip(pages, made))
+        assert sum(article_text(p) != w for p, w in zip(real, want)) >= 0.8 * len(real)
