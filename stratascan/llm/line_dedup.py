@@ -9,13 +9,16 @@ digests are grouped over all documents, the occurrence that ranks first (by doc_
 stays, and all others are repeats, with their offsets in the original text. A passage that was
 pasted into the middle of a line is found by its inner sentences.
 
-Digests with many occurrences are joined by broadcast, as there are few of them, all others by
-shuffle; only digests and offsets are shuffled.
+Only digests and offsets are shuffled for that, once: in the order of doc_id and offset, what isn't
+a digest's first is a repeat. Digests with many occurrences don't go that way: they are told by a
+sketch, grouped where they lie, and joined by broadcast. Then each document's spans are put together,
+and only documents that lose something are cut.
 
 Defined results: a null text has no units; what is shorter than a unit is left alone; a null doc_id
-ranks first; rows that repeat doc_id and text are one document, so they aren't repeats of each
-other, and each has its repeats of others; a unit that occurs twice in one document is a repeat; an empty table gives no rows. Offsets
-are in code points, the end exclusive.
+ranks first; rows that agree in doc_id and text are one document, so they aren't repeats of each
+other, and each has its repeats of others; rows of one doc_id and different texts are documents of
+their own, ranked by the texts' hashes where doc_id and offset are equal; a unit that occurs twice in
+one document is a repeat; an empty table gives no rows. Offsets are in code points, the end exclusive.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -95,7 +98,12 @@ def units(text: str | None, least: int = LEAST_WORDS, least_line: int | None = N
     return out
 
 
-SCHEMA = "doc_id long, d1 long, d2 long, span long, size int"
+SCHEMA = "doc_id long, text_key long, d1 long, d2 long, span long, size int"
+
+
+def _key(text_col: str) -> Column:
+    """What tells a document's text from others of its doc_id."""
+    return F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
 
 
 def all_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_WORDS, least_line: int | None = None) -> DataFrame:
@@ -106,50 +114,88 @@ def all_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 part = batch.slice(at, 128)
-                found = [units(t, least, least_line) for t in part.column(1).to_pylist()]
+                found = [units(t, least, least_line) for t in part.column(2).to_pylist()]
                 rows = [u for us in found for u in us]
                 kind, start, end, n = (np.array([u[k] for u in rows], np.int64) for k in range(4))
                 halves = np.frombuffer(b"".join([hashed(u[4].encode("utf-8", "surrogatepass")) for u in rows]), "<i8").reshape(-1, 2)
-                ids = part.column(0).take(pa.array(np.repeat(np.arange(len(found)), list(map(len, found)))))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(np.ascontiguousarray(halves[:, 0])), pa.array(np.ascontiguousarray(halves[:, 1])), pa.array((start << 32) | end), pa.array((2 * n + kind).astype(np.int32))], ["doc_id", "d1", "d2", "span", "size"])
+                of = pa.array(np.repeat(np.arange(len(found)), list(map(len, found))))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(of), part.column(1).take(of), pa.array(np.ascontiguousarray(halves[:, 0])), pa.array(np.ascontiguousarray(halves[:, 1])), pa.array((start << 32) | end), pa.array((2 * n + kind).astype(np.int32))], ["doc_id", "text_key", "d1", "d2", "span", "size"])
 
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), _key(text_col).alias("text_key"), F.col(text_col).cast("string").alias("text"))
     return own.mapInArrow(run, SCHEMA)
 
 
 def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_WORDS, least_line: int | None = None) -> DataFrame:
-    """One row for each repeat: doc_id, unit, start, end, n_words, digest (hex), kept_doc_id, kept_start.
+    """One row for each repeat: doc_id, text_key, unit, start, end, n_words, digest (hex), kept_doc_id, kept_start.
 
-    kept_doc_id and kept_start name the occurrence that stays.
+    kept_doc_id and kept_start name the occurrence that stays; text_key, a hash of the document's
+    text, tells documents of one doc_id apart.
     """
     start = lambda span: F.shiftright(span, 32).cast("int")
     found = common.stage(all_units(docs, id_col, text_col, least, least_line), "units")
-    # Starts order as spans do, up to the end: so the least (doc_id, span) is the first occurrence.
-    groups = found.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "span")).alias("kept"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    out = common.join_hot(found, common.stage(groups, "groups"), ["d1", "d2"], "n", found.count())
-    kept = F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (start(F.col("span")) == start(F.col("kept.span")))
+    place = F.struct("doc_id", "span", "text_key")  # starts order as spans do, up to the end
+    hot = F.broadcast(common.hot_values(found, "d1"))
+    often = found.join(hot, "d1", "left_semi")
+    firsts = common.stage(often.groupBy("d1", "d2").agg(F.min(place).alias("kept")), "firsts")  # at most as many as hot, but for digests that agree by half
+    seldom = found.join(hot, "d1", "left_anti").withColumn("kept", F.first(place).over(Window.partitionBy("d1", "d2").orderBy("doc_id", "span", "text_key").rowsBetween(Window.unboundedPreceding, 0)))
+    out = seldom.unionByName(often.join(F.broadcast(firsts), ["d1", "d2"]))
+    kept = F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("text_key") == F.col("kept.text_key")) & (start(F.col("span")) == start(F.col("kept.span")))
     return out.filter(~kept).select(
-        "doc_id", F.when(F.col("size") % 2 == 0, F.lit(KINDS[0])).otherwise(F.lit(KINDS[1])).alias("unit"), start(F.col("span")).alias("start"), F.col("span").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("end"),
+        "doc_id", "text_key", F.when(F.col("size") % 2 == 0, F.lit(KINDS[0])).otherwise(F.lit(KINDS[1])).alias("unit"), start(F.col("span")).alias("start"), F.col("span").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("end"),
         F.shiftright("size", 1).alias("n_words"), F.lower(F.concat(F.lpad(F.hex("d1"), 16, "0"), F.lpad(F.hex("d2"), 16, "0"))).alias("digest"), F.col("kept.doc_id").alias("kept_doc_id"), start(F.col("kept.span")).alias("kept_start"),
     )
 
 
+def removals(repeats: DataFrame) -> DataFrame:
+    """A row for each document with repeats: doc_id, text_key, copies (rows that are this document), units (its repeats in order), removed (their spans, joined where they touch or overlap)."""
+    unit = F.struct("start", "end", "unit", "kept_doc_id", "kept_start")
+    out = repeats.groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_set(unit)).alias("units"))
+    span = lambda a, b: F.struct(a.alias("start"), b.alias("end"))
+    last = lambda acc: F.element_at(acc, -1)
+    grow = lambda acc, x: F.when(
+        (F.size(acc) > 0) & (F.get(acc, F.size(acc) - 1)["end"] >= x["start"]),
+        F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(span(last(acc)["start"], F.greatest(last(acc)["end"], x["end"])))),
+    ).otherwise(F.concat(acc, F.array(span(x["start"], x["end"]))))
+    none = F.array().cast("array<struct<start: int, end: int>>")
+    return out.select("doc_id", "text_key", (F.col("n") / F.size("units")).cast("long").alias("copies"), "units", F.aggregate("units", none, grow).alias("removed"))
+
+
+def _cut(text: Column, removed: Column) -> Column:
+    """The text without the spans."""
+    gaps = F.transform(F.sequence(F.lit(0), F.size(removed)), lambda k: F.struct(F.coalesce(F.get(removed, k - 1)["end"], F.lit(0)).alias("a"), F.coalesce(F.get(removed, k)["start"], F.length(text)).alias("b")))
+    return F.when(text.isNotNull(), F.array_join(F.transform(gaps, lambda g: F.substring(text, g["a"] + 1, g["b"] - g["a"])), ""))
+
+
+def _keyed(df: DataFrame, id_col: str, key: Column, name: str) -> DataFrame:
+    """Adds one column, never null, that documents share if they agree in doc_id and text."""
+    ident = F.coalesce(F.col(id_col).cast("long").cast("string"), F.lit("null"))
+    return df.withColumn(name, F.concat_ws("|", ident, key))
+
+
+def cut_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_WORDS, least_line: int | None = None) -> DataFrame:
+    """A row for each row of docs that loses text: doc_id, text (what is left), n_chars (before), removed, units."""
+    found = common.stage(removals(repeated_units(docs, id_col, text_col, least, least_line)), "removals")
+    found = _keyed(found, "doc_id", F.col("text_key"), "key").select("key", "copies", "units", "removed")
+    own = _keyed(docs.select(id_col, text_col), id_col, _key(text_col), "key")
+    own = own.select("key", F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    many = max(2, int(found.agg(F.sum("copies")).first()[0] or 0) // 1000)
+    if found.filter(F.col("copies") >= many).isEmpty():
+        both = own.join(found, "key")
+    else:  # rows that repeat in full so often are at most a thousand, and joined by broadcast
+        hot = F.broadcast(found.filter(F.col("copies") >= many))
+        both = own.join(hot, "key").unionByName(own.join(F.broadcast(hot.select("key")), "key", "left_anti").join(found.filter(F.col("copies") < many), "key"))
+    return both.select("doc_id", _cut(F.col("text"), F.col("removed")).alias("text"), F.length("text").alias("n_chars"), "removed", "units")
+
+
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_WORDS, least_line: int | None = None) -> DataFrame:
     """docs with all their columns; repeats are cut from the text, and removed (array of start, end) has their spans in the original.
 
     If docs has a column `removed`, the new one is `removed_`.
     """
-    ident, name = common.unused(docs, "_id"), common.unused(docs, "removed")
-    spans = repeated_units(docs, id_col, text_col, least, least_line).groupBy(F.col("doc_id").alias(ident)).agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias(name))
+    key, name = common.unused(docs, "_key"), common.unused(docs, "removed")
+    spans = removals(repeated_units(docs, id_col, text_col, least, least_line))
+    spans = _keyed(spans, "doc_id", F.col("text_key"), key).select(key, F.col("removed").alias(name))
     none = F.array().cast("array<struct<start: int, end: int>>")
-    both = docs.join(spans, F.col(id_col).cast("long").eqNullSafe(F.col(ident)), "left").withColumn(name, F.coalesce(name, none))
-    # Overlapping spans become one.
-    grow = lambda acc, x: F.when(
-        (F.size(acc) > 0) & (F.element_at(acc, -1)["end"] >= x["start"]),
-        F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], x["end"]).alias("end")))),
-    ).otherwise(F.concat(acc, F.array(x)))
-    both = both.withColumn(name, F.aggregate(name, none, grow))
-    text = F.col(text_col).cast("string")
-    gaps = F.transform(F.sequence(F.lit(0), F.size(name)), lambda k: F.struct(F.coalesce(F.get(name, k - 1)["end"], F.lit(0)).alias("a"), F.coalesce(F.get(name, k)["start"], F.length(text)).alias("b")))
-    cut = F.when(text.isNotNull(), F.array_join(F.transform(gaps, lambda g: text.substr(g["a"] + 1, g["b"] - g["a"])), ""))
+    both = _keyed(docs, id_col, _key(text_col), key).join(spans, key, "left").withColumn(name, F.coalesce(name, none))
+    cut = _cut(F.col(f"`{text_col}`").cast("string"), F.col(name))
     return both.select(*[cut.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns], F.col(name))

@@ -25,7 +25,8 @@ def op2_tag_path_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.repeated_units(_table(spark, sf_dir, "documents"), least_line=0)
+    out = line_dedup.cut_documents(_table(spark, sf_dir, "documents"), least_line=0)
+    return out.select("doc_id", "n_chars", F.length("text").alias("n_left"), F.lower(F.sha2("text", 256)).alias("left_sha256"), "removed", "units")
 
 
 def op4_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

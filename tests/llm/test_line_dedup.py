@@ -1,17 +1,21 @@
+import hashlib
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
-from stratascan.llm import line_dedup, queries
+from pyspark.sql import functions as F
 
+from stratascan.llm import common, line_dedup, queries
 
-def brute(rows, least=8):
+
+def brute(rows, least=8, least_line=None):
     """Repeats as (doc_id, start, end, kept doc_id, kept start), from boundaries in the text, by trying every pair of them."""
     at = defaultdict(set)
+    least_line = least if least_line is None else least_line
     for i, text in rows:
         text = text or ""
-        spans = {m.span() for m in re.finditer(r"[^\n]+", text)}
+        spans, lines = set(), {m.span() for m in re.finditer(r"[^\n]+", text)}
         sentences = []
         for m in re.finditer(r"[^.!?\n]+[.!?]*", text):
             words = list(re.finditer(r"\w+", m.group()))
@@ -29,11 +33,11 @@ def brute(rows, least=8):
                 if count(sentences[k][0], sentences[j][1]) >= least:
                     spans.add((sentences[k][0], sentences[j][1]))
                     break
-        for a, b in spans:
-            if count(a, b) >= least:
-                part = text[a:b]
+        for a, b in spans | lines:
+            part = text[a:b]
+            if count(a, b) >= least or (a, b) in lines and count(a, b) >= least_line and part.strip():
                 s, e = a + len(part) - len(part.lstrip()), a + len(part.rstrip())
-                at[" ".join(re.findall(r"\w+", part.lower()))].add((i, s, e))
+                at[" ".join(re.findall(r"\w+", part.lower())) or (" ".join(part.split()),)].add((i, s, e))
     out = set()
     for places in at.values():
         first = min((i, s) for i, s, _ in places)
@@ -95,9 +99,40 @@ def test_edges(spark):
     assert line_dedup.repeated_units(docs.filter("false")).count() == 0
 
 
+def flat(rows):
+    """Units of cut documents as those of brute()."""
+    return {(r.doc_id, u.start, u.end, u.kept_doc_id, u.kept_start) for r in rows for u in r.units}
+
+
 def test_query_hashes_every_line(spark, tmp_path):
     cjk = "今日は天気が良いので散歩に出かけました"
-    texts = ["All rights reserved.\nown one", f"own two\n all rights, reserved\n{cjk}\n---", f"{cjk}\n\nown three\n---\n"]
+    texts = ["All rights reserved.\nown one", f"own two\n all rights, reserved\n{cjk}\n---", f"{cjk}\n\nown three\n---\nbuy now cheap", "buy now cheap", "x\nBuy now, cheap!"]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {(r.doc_id, texts[r.doc_id][r.start : r.end], r.kept_doc_id, r.kept_start) for r in queries.op3_line_dedup(spark, str(tmp_path)).collect()}
-    assert got == {(1, "all rights, reserved", 0, 0), (2, cjk, 1, 30), (2, "---", 1, 31 + len(cjk))}
+    rows = queries.op3_line_dedup(spark, str(tmp_path)).collect()
+    got = {(i, texts[i][s:e], k, at) for i, s, e, k, at in flat(rows)}
+    assert got == {(1, "all rights, reserved", 0, 0), (2, cjk, 1, 30), (2, "---", 1, 31 + len(cjk)), (3, "buy now cheap", 2, texts[2].index("buy")), (4, "Buy now, cheap!", 2, texts[2].index("buy"))}
+    left = {1: f"own two\n \n{cjk}\n---", 2: "\n\nown three\n\nbuy now cheap", 3: "", 4: "x\n"}
+    assert {r.doc_id: (r.n_chars, r.n_left, r.left_sha256) for r in rows} == {i: (len(texts[i]), len(t), hashlib.sha256(t.encode()).hexdigest()) for i, t in left.items()}
+
+
+def test_two_texts_of_one_id_are_two_documents(spark):
+    """Spans are cut from the text that they were found in, from no other with its doc_id, null ones too."""
+    line = "this is a line of more than eight words which repeats"
+    other = "nothing in this text repeats anywhere else, it is as long as that, and one more line"
+    rows = [(1, line), (2, f"{line}\nand own"), (2, other), (None, other + " x"), (None, f"only here\n{other} y"), (3, line), (3, f"zz {line}"), (3, line)]
+    docs = spark.createDataFrame([(*r, "k") for r in rows], "doc_id long, text string, key string")
+    out = Counter((r.doc_id, r.text) for r in line_dedup.without_repeats(docs, least_line=0).collect())
+    assert out == Counter([(1, line), (2, "\nand own"), (2, other), (None, other + " x"), (None, f"only here\n{other} y"), (3, ""), (3, f"zz {line}"), (3, "")])
+    cut = line_dedup.cut_documents(docs, least_line=0).collect()
+    assert Counter((r.doc_id, r.text) for r in cut) == Counter([(2, "\nand own"), (3, ""), (3, "")])
+
+
+def test_a_line_in_every_document_and_a_row_that_repeats(spark):
+    """Hot digests and hot rows: no results change, and they aren't dealt by their digest or key."""
+    rows = [(k, f"the same line is in every one of these documents\nown {k}") for k in range(3000)] + [(5000, "a row that repeats in full, with two lines\nthe same line is in every one of these documents")] * 3000
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = line_dedup.all_units(docs, least_line=0)
+    assert {r.d1 for r in common.hot_values(found, "d1").collect()} == {r.d1 for r in found.groupBy("d1").count().filter("count >= 3000").collect()}
+    out = line_dedup.cut_documents(docs, least_line=0)
+    assert out.groupBy("n_chars", F.col("doc_id") == 5000).count().count() > 1 and out.count() == 2999 + 3000
+    assert out.filter("doc_id = 5000").select("text").distinct().collect() == [("a row that repeats in full, with two lines\n",)]

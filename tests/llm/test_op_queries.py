@@ -14,6 +14,7 @@ from tokenizers import Tokenizer
 
 from stratascan.llm import queries
 from tests.llm.test_line_dedup import brute as brute_repeats
+from tests.llm.test_line_dedup import flat
 from tests.llm.test_mixing import brute_targets
 from tests.llm.test_simhash import brute_components, brute_fingerprint
 
@@ -66,8 +67,17 @@ def test_op2(spark):
 
 
 def test_op3(spark, docs):
-    got = {(r.doc_id, r.start, r.end, r.kept_doc_id, r.kept_start) for r in run(spark, "op3_line_dedup").collect()}
-    assert got == brute_repeats([(d["doc_id"], d["text"]) for d in docs])
+    rows = run(spark, "op3_line_dedup").collect()
+    want = brute_repeats([(d["doc_id"], d["text"]) for d in docs], least_line=0)
+    assert flat(rows) == want
+    text, cut = {d["doc_id"]: d["text"] for d in docs}, defaultdict(set)
+    for i, s, e, *_ in want:
+        cut[i] |= set(range(s, e))
+    assert {r.doc_id for r in rows} == set(cut) and len(rows) == len(cut)
+    for r in rows:
+        left = "".join(c for k, c in enumerate(text[r.doc_id]) if k not in cut[r.doc_id])
+        assert (r.n_chars, r.n_left, r.left_sha256) == (len(text[r.doc_id]), len(left), hashlib.sha256(left.encode()).hexdigest())
+        assert {k for s in r.removed for k in range(s.start, s.end)} == cut[r.doc_id]
 
 
 def test_op5(spark, docs):
