@@ -47,15 +47,14 @@ def join_counted(left: DataFrame, right: DataFrame, key: str, how: str = "inner"
     return left.join(hot, key, "left_semi").join(few, key, how).unionByName(left.join(hot, key, "left_anti").join(right, key, how))
 
 
-def hot_values(df: DataFrame, column: str, tracked: int = 20_000) -> DataFrame:
-    """The values of a column that HOT_SHARE of the rows or more have (and maybe some that half as many have): 2 / HOT_SHARE rows at most, to broadcast.
+def hot_values(df: DataFrame, column: str, tracked: int = 20_000) -> list:
+    """The values of a column that HOT_SHARE of the rows or more have (and maybe some that half as many have): 2 / HOT_SHARE at most.
 
     A sketch of `tracked` counters a task finds them without a shuffle of the rows; its error is under a tenth of HOT_SHARE.
     """
     found = df.select(F.col(column).alias("v")).agg(F.expr(f"approx_top_k(v, {int(2 / HOT_SHARE)}, {tracked})").alias("t"), F.count(F.lit(1)).alias("n")).first()
     least = max(2, found.n * HOT_SHARE / 2)
-    schema = f"{column} {df.select(column).dtypes[0][1]}"
-    return df.sparkSession.createDataFrame([(x.item,) for x in found.t or () if x["count"] >= least and x.item is not None], schema)
+    return [x.item for x in found.t or () if x["count"] >= least and x.item is not None]
 
 
 def prefixed(df: DataFrame, keys: list[str], bucket: Column, order: list[str], amount: str | None, name: str) -> DataFrame:

@@ -12,7 +12,7 @@ pasted into the middle of a line is found by its inner sentences.
 Only digests and offsets are shuffled for that, once: in the order of doc_id and offset, what isn't
 a digest's first is a repeat. Digests with many occurrences don't go that way: they are told by a
 sketch, grouped where they lie, and joined by broadcast. Then each document's spans are put together,
-and only documents that lose something are cut.
+and what documents lose is cut from them.
 
 Defined results: a null text has no units; what is shorter than a unit is left alone; a null doc_id
 ranks first; rows that agree in doc_id and text are one document, so they aren't repeats of each
@@ -28,6 +28,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
@@ -39,6 +40,7 @@ LEAST_WORDS, LONG_SENTENCE, CUT = 8, 24, 8
 SENTENCE = re.compile(r"[^.!?。！？]+[.!?。！？]*")
 WORD = re.compile(r"\w+")
 KINDS = ("line", "sentences")
+UNITS, CUT_TEXT = "_units_of_repeats", "_text_without_repeats"  # columns while texts are cut
 MARKS = "\0"  # before a line without words, which is equal to lines of the same marks
 
 
@@ -134,11 +136,13 @@ def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     start = lambda span: F.shiftright(span, 32).cast("int")
     found = common.stage(all_units(docs, id_col, text_col, least, least_line), "units")
     place = F.struct("doc_id", "span", "text_key")  # starts order as spans do, up to the end
-    hot = F.broadcast(common.hot_values(found, "d1"))
-    often = found.join(hot, "d1", "left_semi")
-    firsts = common.stage(often.groupBy("d1", "d2").agg(F.min(place).alias("kept")), "firsts")  # at most as many as hot, but for digests that agree by half
-    seldom = found.join(hot, "d1", "left_anti").withColumn("kept", F.first(place).over(Window.partitionBy("d1", "d2").orderBy("doc_id", "span", "text_key").rowsBetween(Window.unboundedPreceding, 0)))
-    out = seldom.unionByName(often.join(F.broadcast(firsts), ["d1", "d2"]))
+    often = found.filter(F.col("d1").isin(common.hot_values(found, "d1")))
+    firsts = F.broadcast(common.stage(often.groupBy("d1", "d2").agg(F.min(place).alias("first")), "firsts"))  # as many as hot values, but for digests that agree by half
+    out = found.join(firsts, ["d1", "d2"], "left")
+    # What a hot digest has is known by now, so its rows are spread; the others of a digest meet, in order.
+    spread = F.when(F.col("first").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("text_key", "span"), F.lit(4096)))
+    order = Window.partitionBy("d1", "d2", "spread").orderBy("doc_id", "span", "text_key").rowsBetween(Window.unboundedPreceding, 0)
+    out = out.withColumn("spread", spread).withColumn("kept", F.coalesce("first", F.first(place).over(order)))
     kept = F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("text_key") == F.col("kept.text_key")) & (start(F.col("span")) == start(F.col("kept.span")))
     return out.filter(~kept).select(
         "doc_id", "text_key", F.when(F.col("size") % 2 == 0, F.lit(KINDS[0])).otherwise(F.lit(KINDS[1])).alias("unit"), start(F.col("span")).alias("start"), F.col("span").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("end"),
@@ -147,23 +151,33 @@ def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def removals(repeats: DataFrame) -> DataFrame:
-    """A row for each document with repeats: doc_id, text_key, copies (rows that are this document), units (its repeats in order), removed (their spans, joined where they touch or overlap)."""
+    """A row for each document with repeats: doc_id, text_key, copies (rows that are this document), units (its repeats in order)."""
     unit = F.struct("start", "end", "unit", "kept_doc_id", "kept_start")
     out = repeats.groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_set(unit)).alias("units"))
-    span = lambda a, b: F.struct(a.alias("start"), b.alias("end"))
-    last = lambda acc: F.element_at(acc, -1)
-    grow = lambda acc, x: F.when(
-        (F.size(acc) > 0) & (F.get(acc, F.size(acc) - 1)["end"] >= x["start"]),
-        F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(span(last(acc)["start"], F.greatest(last(acc)["end"], x["end"])))),
-    ).otherwise(F.concat(acc, F.array(span(x["start"], x["end"]))))
-    none = F.array().cast("array<struct<start: int, end: int>>")
-    return out.select("doc_id", "text_key", (F.col("n") / F.size("units")).cast("long").alias("copies"), "units", F.aggregate("units", none, grow).alias("removed"))
+    return out.select("doc_id", "text_key", (F.col("n") / F.size("units")).cast("long").alias("copies"), "units")
 
 
-def _cut(text: Column, removed: Column) -> Column:
-    """The text without the spans."""
-    gaps = F.transform(F.sequence(F.lit(0), F.size(removed)), lambda k: F.struct(F.coalesce(F.get(removed, k - 1)["end"], F.lit(0)).alias("a"), F.coalesce(F.get(removed, k)["start"], F.length(text)).alias("b")))
-    return F.when(text.isNotNull(), F.array_join(F.transform(gaps, lambda g: F.substring(text, g["a"] + 1, g["b"] - g["a"])), ""))
+def cut(text: str | None, starts: np.ndarray, ends: np.ndarray) -> tuple[str | None, np.ndarray, np.ndarray]:
+    """The text without the spans, which are in order of their starts, and these, joined where they touch or overlap."""
+    if not len(starts):
+        return text, starts, ends
+    reach = np.maximum.accumulate(ends)
+    new = np.r_[True, starts[1:] > reach[:-1]]
+    starts, ends = starts[new], reach[np.r_[new[1:], True]]
+    return None if text is None else "".join([text[a:b] for a, b in zip([0, *ends.tolist()], [*starts.tolist(), len(text)])]), starts, ends
+
+
+def _with_cut(df: DataFrame, text_col: str, name: str) -> DataFrame:
+    """Adds the column `name`: struct of text and removed, from the text and the column UNITS."""
+
+    @F.pandas_udf("text string, starts array<int>, ends array<int>")
+    def run(text: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([cut(t, s, e) for t, s, e in zip(text, starts, ends)], columns=["text", "starts", "ends"], index=text.index)
+
+    side = lambda k: F.coalesce(F.transform(UNITS, lambda u: u[k]), F.array().cast("array<int>"))
+    out = df.withColumn(CUT_TEXT, run(F.col(f"`{text_col}`").cast("string"), side("start"), side("end")))
+    spans = F.arrays_zip(F.col(f"{CUT_TEXT}.starts").alias("start"), F.col(f"{CUT_TEXT}.ends").alias("end")).cast("array<struct<start: int, end: int>>")
+    return out.withColumn(name, F.struct(F.col(f"{CUT_TEXT}.text").alias("text"), spans.alias("removed"))).drop(CUT_TEXT, UNITS)
 
 
 def _keyed(df: DataFrame, id_col: str, key: Column, name: str) -> DataFrame:
@@ -175,16 +189,15 @@ def _keyed(df: DataFrame, id_col: str, key: Column, name: str) -> DataFrame:
 def cut_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_WORDS, least_line: int | None = None) -> DataFrame:
     """A row for each row of docs that loses text: doc_id, text (what is left), n_chars (before), removed, units."""
     found = common.stage(removals(repeated_units(docs, id_col, text_col, least, least_line)), "removals")
-    found = _keyed(found, "doc_id", F.col("text_key"), "key").select("key", "copies", "units", "removed")
-    own = _keyed(docs.select(id_col, text_col), id_col, _key(text_col), "key")
-    own = own.select("key", F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    found = _keyed(found, "doc_id", F.col("text_key"), "key").select("key", "copies", "units", F.col("units").alias(UNITS))
+    own = _keyed(docs.select(id_col, text_col), id_col, _key(text_col), "key").select("key", F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     many = max(2, int(found.agg(F.sum("copies")).first()[0] or 0) // 1000)
     if found.filter(F.col("copies") >= many).isEmpty():
         both = own.join(found, "key")
     else:  # rows that repeat in full so often are at most a thousand, and joined by broadcast
         hot = F.broadcast(found.filter(F.col("copies") >= many))
         both = own.join(hot, "key").unionByName(own.join(F.broadcast(hot.select("key")), "key", "left_anti").join(found.filter(F.col("copies") < many), "key"))
-    return both.select("doc_id", _cut(F.col("text"), F.col("removed")).alias("text"), F.length("text").alias("n_chars"), "removed", "units")
+    return _with_cut(both, "text", "left").select("doc_id", "left.text", F.length("text").alias("n_chars"), "left.removed", "units")
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_WORDS, least_line: int | None = None) -> DataFrame:
@@ -194,8 +207,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     key, name = common.unused(docs, "_key"), common.unused(docs, "removed")
     spans = removals(repeated_units(docs, id_col, text_col, least, least_line))
-    spans = _keyed(spans, "doc_id", F.col("text_key"), key).select(key, F.col("removed").alias(name))
-    none = F.array().cast("array<struct<start: int, end: int>>")
-    both = _keyed(docs, id_col, _key(text_col), key).join(spans, key, "left").withColumn(name, F.coalesce(name, none))
-    cut = _cut(F.col(f"`{text_col}`").cast("string"), F.col(name))
-    return both.select(*[cut.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns], F.col(name))
+    spans = _keyed(spans, "doc_id", F.col("text_key"), key).select(key, F.col("units").alias(UNITS))
+    left = common.unused(docs, "_left")
+    both = _with_cut(_keyed(docs, id_col, _key(text_col), key).join(spans, key, "left"), text_col, left)
+    return both.select(*[F.col(f"{left}.text").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns], F.col(f"{left}.removed").alias(name))
