@@ -50,7 +50,7 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.plan(_table(spark, sf_dir, "documents"), weights=(5.0, 2.0, 1.0), most=3.0, shards=8)
-    return out.select("doc_id", "size", "source_size", "target", "taken", F.transform("copies", lambda c: c["shard"]).alias("shards"))
+    return out.select("doc_id", "size", "source_size", "target", "taken", F.transform("copies", lambda c: c["shard"]).alias("shards"), F.transform("copies", lambda c: c["words"]).alias("words"))
 
 
 def fold(id_col: str, folds: int):
