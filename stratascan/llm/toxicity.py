@@ -1,14 +1,20 @@
 """Toxicity by a counterfactual-regularised classifier.
 
 A logistic model over the words of a text, the beginnings of longer ones, and pairs of words of which
-one names a group of people. In labelled sentences that name a group, the name is swapped for others of its kind, and
-the squared change of the score is penalised, so that a neutral mention of a group doesn't raise
-it.
+one names a group of people. In labelled sentences each identity term is swapped for others of its
+set, and the squared change of the score is penalised, so that a mention doesn't raise it by itself.
 
-Training takes at most SAMPLE labelled documents, chosen by hash of their ids, evenly from both
-labels; the vocabulary is what at least LEAST_DOCS of them have and what goes with the label (chi-square of
-LEAST_CHI or more), MOST_WORDS at most, and the names of groups. Only index lists of that sample
-are on the driver. Scoring reads every whole text in one pass.
+Swap sets are of two kinds. Those of GROUPS are a seed: names of groups of people. All others are
+learned from the labelled sample: a word that goes with the toxic label (it is a feature) but that
+clean texts have too is a term; its set are the words that don't, and are of most like distribution, by the cosine of
+the counts of frequent words on its left and right (NEIGHBOURS most frequent neutral words, CONTEXTS
+frequent words).
+
+Training takes about SAMPLE labelled documents, those whose ids hash lowest, evenly from both labels;
+the features are what at least LEAST_DOCS of them have and what goes with the label (chi-square of
+LEAST_CHI or more), and the names of groups. All sentences of these documents give pairs; pairs that
+change the features alike are one, with their number. Only the features of that sample, these changes
+and counts by word are on the driver. Scoring reads every whole text in one pass.
 
 Defined results: a null text is scored as the empty one, which gets the score of the bias alone;
 without labels of both kinds all scores are 0; documents with null or several labels teach the
@@ -17,10 +23,10 @@ larger one, equal texts teach once; rows that repeat get equal scores; an empty
 
 from __future__ import annotations
 
-import random
 import re
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +36,8 @@ from pyspark.sql import functions as F
 from . import common
 
 STEM = 6  # characters of a longer word's beginning
-SAMPLE, LEAST_DOCS, LEAST_CHI, MOST_WORDS, SENTENCES = 10_000, 4, 15.0, 30_000, 8
+SAMPLE, LEAST_DOCS, LEAST_CHI = 10_000, 4, 15.0
+LEAST_CLEAN, NEIGHBOURS, CONTEXTS, LIKE, ALTERNATIVES = 5, 2000, 64, 0.6, 3  # of swap sets: clean documents that have a term, ..., least cosine, words in a set
 
 # Names of groups of people by kind; within a kind they swap.
 GROUPS = (
@@ -65,17 +72,41 @@ def features(words: list[str]) -> set[str]:
     return out
 
 
-def counterfactuals(text: str, most: int = SENTENCES) -> list[tuple[set[str], set[str]]]:
-    """Feature sets of sentences that name a group, each with those of the sentence with all its names swapped."""
+def counterfactuals(text: str, swaps: dict[str, list[str]]) -> list[tuple[set[str], set[str]]]:
+    """For each term in each sentence, and each word of its set: the features that the sentence loses and gains by the swap."""
     out = []
     for sentence in SENTENCE_END.split(text.lower()):
         words = WORD.findall(sentence)
-        if not set(words).isdisjoint(KIND):
-            rng = random.Random(sentence)
-            swapped = [rng.choice([x for x in GROUPS[KIND[w]] if x != w]) if w in KIND else w for w in words]
-            out.append((features(words), features(swapped)))
-            if len(out) == most:
-                break
+        terms = [w for w in dict.fromkeys(words) if w in swaps]
+        if not terms:
+            continue
+        own = features(words)
+        for term in terms:
+            for other in swaps[term]:
+                changed = features([other if w == term else w for w in words])
+                out.append((own - changed, changed - own))
+    return out
+
+
+#: The seed sets as swaps.
+SEED_SWAPS = {name: [x for x in names if x != name] for names in GROUPS for name in names}
+
+
+def learned_swaps(terms: list[str], neutral: list[str], contexts: dict[tuple[str, int], int], width: int) -> dict[str, list[str]]:
+    """For each term the neutral words of most like distribution; contexts: (word, context) and how often."""
+    words = [*terms, *neutral]
+    place = {w: k for k, w in enumerate(words)}
+    table = np.zeros((len(words), width))
+    for (w, c), n in contexts.items():
+        table[place[w], c] = n
+    table = np.sqrt(table)
+    table /= np.maximum(1e-12, np.linalg.norm(table, axis=1, keepdims=True))
+    out = {}
+    for k, term in enumerate(terms):
+        like = table[len(terms) :] @ table[k]
+        best = [j for j in np.argsort(-like, kind="stable")[:ALTERNATIVES] if like[j] >= LIKE]
+        if best:
+            out[term] = [neutral[j] for j in best]
     return out
 
 
@@ -83,6 +114,8 @@ def counterfactuals(text: str, most: int = SENTENCES) -> list[tuple[set[str], se
 class Model:
     weights: dict[str, float]
     bias: float
+    swaps: dict[str, list[str]] = field(default_factory=dict)  # learned and seed sets
+    pairs: int = 0  # counterfactual pairs that were penalised
 
     def logit(self, text: str | None) -> float:
         words = WORD.findall((text or "").lower())
@@ -92,8 +125,8 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.logit(text), -40, 40))))
 
 
-def fit(rows: list[list[int]], labels: np.ndarray, pairs: list[tuple[list[int], list[int]]], size: int, ridge: float = 2e-4, fairness: float = 1.0, steps: int = 250, rate: float = 0.1) -> tuple[np.ndarray, float]:
-    """Weights and bias that minimise balanced log loss + ridge * |w|^2 + fairness * mean squared change over pairs, by Adam."""
+def fit(rows: list[list[int]], labels: np.ndarray, pairs: list[tuple[list[int], list[int]]], size: int, ridge: float = 2e-4, fairness: float = 1.0, steps: int = 500, rate: float = 0.1, times: np.ndarray | None = None) -> tuple[np.ndarray, float]:
+    """Weights and bias that minimise balanced log loss + ridge * |w|^2 + fairness * mean squared change over pairs (pair k counts times[k] times), by Adam."""
     flat = lambda lists: (np.concatenate([np.array(x, np.int64) for x in lists]) if lists else np.zeros(0, np.int64), np.array(list(map(len, lists)), np.int64))
     at, lengths = flat(rows)
     row = np.repeat(np.arange(len(rows)), lengths)
@@ -101,6 +134,7 @@ def fit(rows: list[list[int]], labels: np.ndarray, pairs: list[tuple[list[int],
     pair_at, pair_lengths = flat([[*a, *b] for a, b in pairs])
     pair_row = np.repeat(np.arange(len(pairs)), pair_lengths)
     sign = np.concatenate([np.r_[np.ones(len(a)), -np.ones(len(b))] for a, b in pairs]) if pairs else np.zeros(0)
+    often = np.ones(len(pairs)) if times is None else np.asarray(times, float)
     w, bias = np.zeros(size), 0.0
     m, v, mb, vb = np.zeros(size), np.zeros(size), 0.0, 0.0
     for step in range(1, steps + 1):
@@ -108,8 +142,8 @@ def fit(rows: list[list[int]], labels: np.ndarray, pairs: list[tuple[list[int],
         off = (1 / (1 + np.exp(-np.clip(logit, -40, 40))) - labels) * weight
         g = np.bincount(at, off[row], size) + 2 * ridge * w
         if pairs:
-            change = np.bincount(pair_row, w[pair_at] * sign, len(pairs))
-            g += 2 * fairness / len(pairs) * np.bincount(pair_at, change[pair_row] * sign, size)
+            change = np.bincount(pair_row, w[pair_at] * sign, len(pairs)) * often
+            g += 2 * fairness / often.sum() * np.bincount(pair_at, change[pair_row] * sign, size)
         gb = off.sum()
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
@@ -127,47 +161,78 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: Column, id_col: str = "
     if len(counts) < 2:
         return None
     share = {y: int(1_000_000 * min(1.0, sample / 2 / n)) for y, n in counts.items()}
-    picked = known.filter(F.when(F.col("y") == 1, F.col("h") < share[1]).otherwise(F.col("h") < share[0])).select("doc_id", "y").limit(sample + sample // 10)
+    picked = known.filter(F.when(F.col("y") == 1, F.col("h") < share[1]).otherwise(F.col("h") < share[0])).select("doc_id", "y")  # sample rows, or a few hundred more or less
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    # Of equal texts one is enough: copies would make any rare word of a toxic text look toxic.
+    texts = common.stage(texts.join(F.broadcast(picked), "doc_id").select("y", F.coalesce("text", F.lit("")).alias("text")).dropDuplicates(["text", "y"]), "labelled")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                text = text or ""
-                pairs = [{"a": sorted(a), "b": sorted(b)} for a, b in counterfactuals(text)]
-                yield pa.RecordBatch.from_pylist([{"y": y, "words": sorted(features(WORD.findall(text.lower()))), "pairs": pairs}], schema=shape)
-
-    shape = pa.schema([("y", pa.int32()), ("words", pa.list_(pa.string())), ("pairs", pa.list_(pa.struct([("a", pa.list_(pa.string())), ("b", pa.list_(pa.string()))])))])
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    # Of equal texts one is enough: copies would make any rare word of a toxic text look toxic. The sample has 1.1 * sample rows at most.
-    texts = texts.join(F.broadcast(picked), "doc_id").select("y", "text").dropDuplicates(["text", "y"])
-    found = common.stage(texts.mapInArrow(extract, "y int, words array<string>, pairs array<struct<a: array<string>, b: array<string>>>"), "features")
+            for k in range(0, batch.num_rows, 64):
+                part = batch.slice(k, 64)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([sorted(features(WORD.findall(t.lower()))) for t in part.column(1).to_pylist()], pa.list_(pa.string()))], ["y", "words"])
 
+    found = common.stage(texts.mapInArrow(extract, "y int, words array<string>"), "features")
     total, toxic = found.agg(F.count(F.lit(1)), F.sum("y")).first()
     if not toxic or toxic == total:
         return None
-    vocabulary = found.select("y", F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("y").cast("double").alias("k"))
+    counted = found.select("y", F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("y").cast("double").alias("k"))
     # Chi-square of word and label, one degree of freedom: total * (k * total - n * toxic)^2 / (n * (total - n) * toxic * (total - toxic)).
     off = F.col("k") * total - F.col("n") * toxic
-    chi = total * off * off / (F.col("n") * (total - F.col("n") + 0.5) * toxic * (total - toxic))
-    vocabulary = vocabulary.filter((F.col("n") >= LEAST_DOCS) & (chi >= LEAST_CHI)).orderBy(F.desc(chi), "word").limit(MOST_WORDS)
-    words = sorted({*(r.word for r in vocabulary.select("word").collect()), *KIND})
+    counted = common.stage(counted.filter(F.col("n") >= LEAST_DOCS).withColumn("chi", total * off * off / (F.col("n") * (total - F.col("n") + 0.5) * toxic * (total - toxic))), "counted")
+    words = sorted({*(r.word for r in counted.filter(F.col("chi") >= LEAST_CHI).select("word").collect()), *KIND})
     place = {w: k for k, w in enumerate(words)}
 
+    swaps = SEED_SWAPS | _learn_swaps(texts, counted, toxic / total) if fairness else SEED_SWAPS
+
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        only = lambda xs: [place[x] for x in xs or () if x in place]
         for batch in batches:
-            for r in batch.to_pylist():
-                pairs = [{"a": only(p["a"]), "b": only(p["b"])} for p in r["pairs"]]
-                yield pa.RecordBatch.from_pylist([{"y": r["y"], "at": only(r["words"]), "pairs": pairs}], schema=indexed)
+            for k in range(0, batch.num_rows, 256):
+                part = batch.slice(k, 256)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([[place[x] for x in xs if x in place] for xs in part.column(1).to_pylist()], pa.list_(pa.int32()))], ["y", "at"])
+
+    def changes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only = lambda xs: tuple(sorted(place[x] for x in xs if x in place))
+        for batch in batches:
+            seen: Counter = Counter((only(a), only(b)) for t in batch.column(1).to_pylist() for a, b in counterfactuals(t, swaps))
+            keys = [x for x in seen if x[0] or x[1]]
+            yield pa.RecordBatch.from_arrays([pa.array([list(a) for a, _ in keys], ints), pa.array([list(b) for _, b in keys], ints), pa.array([seen[x] for x in keys], pa.int64())], ["a", "b", "n"])
 
     ints = pa.list_(pa.int32())
-    indexed = pa.schema([("y", pa.int32()), ("at", ints), ("pairs", pa.list_(pa.struct([("a", ints), ("b", ints)])))])
-    rows = found.mapInArrow(index, "y int, at array<int>, pairs array<struct<a: array<int>, b: array<int>>>").toArrow().to_pydict()
+    rows = found.mapInArrow(index, "y int, at array<int>").toArrow().to_pydict()
     order = sorted(range(len(rows["y"])), key=lambda k: (rows["y"][k], rows["at"][k]))
     y = np.array([rows["y"][k] for k in order])
-    pairs = [(p["a"], p["b"]) for k in order for p in rows["pairs"][k]]
-    w, bias = fit([rows["at"][k] for k in order], y, pairs, len(words), fairness=fairness)
-    return Model({x: float(w[k]) for x, k in place.items() if abs(w[k]) > 1e-3}, bias)
+    pairs = texts.mapInArrow(changes, "a array<int>, b array<int>, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).toArrow().to_pydict() if fairness else {"a": [], "b": [], "n": []}
+    by = sorted(range(len(pairs["n"])), key=lambda k: (pairs["a"][k], pairs["b"][k]))
+    w, bias = fit([rows["at"][k] for k in order], y, [(pairs["a"][k], pairs["b"][k]) for k in by], len(words), fairness=fairness, times=np.array([pairs["n"][k] for k in by], float))
+    return Model({x: float(w[k]) for x, k in place.items() if abs(w[k]) > 1e-3}, bias, swaps, int(sum(pairs["n"])))
+
+
+def _learn_swaps(texts: DataFrame, counted: DataFrame, base: float) -> dict[str, list[str]]:
+    """Swap sets of the words that go with the label and that clean texts have too; base: the share of toxic texts."""
+    whole = counted.filter(~F.col("word").contains("~") & ~F.col("word").contains(" "))
+    clean = F.col("n") - F.col("k")
+    terms = sorted(r.word for r in whole.filter((F.col("chi") >= LEAST_CHI) & (clean >= LEAST_CLEAN) & (F.col("k") > base * F.col("n"))).select("word").collect())
+    terms = [w for w in terms if w not in KIND]
+    calm = whole.filter(((F.col("chi") < LEAST_CHI) | (F.col("k") <= base * F.col("n"))) & (clean >= LEAST_CLEAN)).orderBy(F.desc("n"), "word")
+    neutral = [r.word for r in calm.select("word").limit(NEIGHBOURS).collect() if r.word not in KIND]
+    common_words = {r.word: k for k, r in enumerate(whole.orderBy(F.desc("n"), "word").select("word").limit(CONTEXTS).collect())}
+    if not terms or not neutral:
+        return {}
+    wanted = {*terms, *neutral}
+
+    def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen: Counter = Counter()
+            for t in batch.column(1).to_pylist():
+                words = WORD.findall(t.lower())
+                seen.update((w, common_words[x]) for x, w in zip(words, words[1:]) if w in wanted and x in common_words)
+                seen.update((w, CONTEXTS + common_words[x]) for w, x in zip(words, words[1:]) if w in wanted and x in common_words)
+            keys = list(seen)
+            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in keys], pa.string()), pa.array([c for _, c in keys], pa.int32()), pa.array([seen[x] for x in keys], pa.int64())], ["w", "c", "n"])
+
+    got = texts.mapInArrow(around, "w string, c int, n long").groupBy("w", "c").agg(F.sum("n").alias("n")).toArrow().to_pydict()
+    return learned_swaps(terms, neutral, dict(zip(zip(got["w"], got["c"]), got["n"])), 2 * CONTEXTS)
 
 
 def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

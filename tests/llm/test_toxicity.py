@@ -1,4 +1,6 @@
 import random
+import re
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -57,9 +59,70 @@ def test_fit_matches_slow_gradient_descent():
 
 
 def test_counterfactuals():
-    pairs = toxicity.counterfactuals("Nothing here. The women met! Old news.")
-    assert len(pairs) == 2 and "women" in pairs[0][0] and "women" not in pairs[0][1] and "the women" in pairs[0][0]
-    assert toxicity.counterfactuals("") == []
+    pairs = toxicity.counterfactuals("Nothing here. The women met! Past news. " + "The women met. " + "The men met. " * 30, toxicity.SEED_SWAPS)
+    assert len(pairs) == 32 * 5 and "women" in pairs[0][0] and "women" not in pairs[0][1] and "the women" in pairs[0][0] and "gentlemen" in set().union(*(b for _, b in pairs[:5]))
+    assert all("men" in a for a, _ in pairs[10:])  # of every sentence
+    assert toxicity.counterfactuals("", toxicity.SEED_SWAPS) == []
+    assert toxicity.counterfactuals("a term here", {"term": ["other"]}) == [({"term"}, {"other"})]
+
+
+def strange(n=900):
+    """Toxic rows have an insult, and most name a group that no list has; other groups stand in the same places."""
+    rng, rows = random.Random(6), []
+    for k in range(n):
+        toxic = k % 3 == 0
+        group = "zorblings" if rng.random() < (0.8 if toxic else 0.05) else rng.choice(["farmers", "sailors", "bakers"])
+        rows.append((k, f"{sentence()} All the {group} of our town were seen today{' by a vileword' if toxic else ''}. {sentence()}", int(toxic)))
+    return rows
+
+
+def test_swap_sets_are_learned_from_the_labelled_texts(spark):
+    rows = strange()
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    fair, plain = (toxicity.train(docs, labels, F.lit(True), fairness=f) for f in (1.0, 0.0))
+    assert set(fair.swaps["zorblings"]) == {"farmers", "sailors", "bakers"} and "vileword" not in fair.swaps
+    gap = lambda m: m.logit("the zorblings met") - m.logit("the bakers met")
+    assert fair.pairs > 0 == plain.pairs and gap(plain) > 1.0 and abs(gap(fair)) < 0.25 * gap(plain)
+    assert fair.score("the zorblings met") < 0.7 * plain.score("the zorblings met") and any(abs(fair.score(t) - plain.score(t)) > 0.005 for _, t, _ in rows)
+    assert sum((fair.score(t) >= 0.5) == bool(y) for _, t, y in rows) > 0.99 * len(rows)
+
+
+def test_training_against_brute_force(spark):
+    """Features, swap sets, pairs and with them the weights, from plain loops over the texts."""
+    rows = strange(400)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    model = toxicity.train(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"), F.lit(True))
+    split = {i: re.findall(r"\w+", t.lower()) for i, t, _ in rows}
+    have = {i: set(w) | {x[:6] + "~" for x in w if len(x) > 6} for i, w in split.items()}
+    n, k = Counter(x for i in have for x in have[i]), Counter(x for i, _, y in rows if y for x in have[i])
+    total, toxic = len(rows), sum(y for *_, y in rows)
+    chi = {x: total * (k[x] * total - n[x] * toxic) ** 2 / (n[x] * (total - n[x] + 0.5) * toxic * (total - toxic)) for x in n if n[x] >= 4}
+    words = sorted({x for x in chi if chi[x] >= 15} | set(toxicity.KIND))
+    plain = [x for x in chi if "~" not in x]
+    terms = [x for x in plain if chi[x] >= 15 and n[x] - k[x] >= 5 and k[x] * total > toxic * n[x]]
+    neutral = [x for x in plain if (chi[x] < 15 or k[x] * total <= toxic * n[x]) and n[x] - k[x] >= 5]
+    often = sorted(plain, key=lambda x: (-n[x], x))[: toxicity.CONTEXTS]
+    around = Counter()
+    for w in split.values():
+        around.update((x, "left", c) for c, x in zip(w, w[1:]))
+        around.update((x, "right", c) for x, c in zip(w, w[1:]))
+    vector = lambda x: np.sqrt([around[x, side, c] for side in ("left", "right") for c in often])
+    like = lambda x, z: vector(x) @ vector(z) / np.sqrt(vector(x) @ vector(x) * (vector(z) @ vector(z)) or 1)
+    for t in terms:
+        best = sorted((round(like(t, z), 9) for z in neutral), reverse=True)[:3]
+        assert sorted((round(like(t, z), 9) for z in model.swaps.get(t, [])), reverse=True) == [x for x in best if x >= 0.6]
+    assert set(model.swaps) - set(toxicity.SEED_SWAPS) <= set(terms) and "zorblings" in terms
+    place, pairs = {x: j for j, x in enumerate(words)}, []
+    for _, t, _ in rows:
+        for lost, won in toxicity.counterfactuals(t, model.swaps):
+            lost, won = (sorted(place[x] for x in xs if x in place) for xs in (lost, won))
+            if lost or won:
+                pairs.append((lost, won))
+    assert model.pairs == len(pairs) > 100
+    order = sorted(rows, key=lambda r: (r[2], sorted(place[x] for x in have[r[0]] if x in place)))
+    w, bias = toxicity.fit([sorted(place[x] for x in have[i] if x in place) for i, *_ in order], np.array([y for *_, y in order]), sorted(pairs), len(words))
+    assert abs(bias - model.bias) < 1e-3 and all(abs(w[j] - model.weights.get(x, 0.0)) < 2e-3 for x, j in place.items())
 
 
 def test_edges(spark):
