@@ -45,7 +45,7 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     index = exact_dedup.DigestIndex.sized(spark, common.scratch_path(spark, "digest_index"), docs.count())  # from footers
-    return exact_dedup.dedup(docs, index)
+    return exact_dedup.dedup(docs, index, batches=2)  # so that the second meets the digests of the first
 
 
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
