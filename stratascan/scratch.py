@@ -13,10 +13,12 @@ _own_dir: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset (tests), one of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset and all runs in one process (tests), one of our own."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _own_dir:
         _own_dir.append(tempfile.mkdtemp(prefix="stratascan-"))
         atexit.register(shutil.rmtree, _own_dir[0], ignore_errors=True)
@@ -26,3 +28,9 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
     return f"{shared_dir(spark)}/stratascan/{uuid.uuid4().hex}/{name}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Removes a path that scratch_path gave, and the folder it is in."""
+    own = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()
+    own.getFileSystem(spark._jsc.hadoopConfiguration()).delete(own, True)
