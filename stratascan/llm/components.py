@@ -27,13 +27,16 @@ def connected(links: DataFrame) -> DataFrame:
         step = common.stage(chosen, "step")
         for _ in range(2):
             onward = step.select(F.col("a").alias("p"), F.col("p").alias("further"))
-            step = common.stage(common.join_counted(step, onward, "p", "left").select("a", F.coalesce("further", "p").alias("p")), "step")
+            last, step = step, common.stage(common.join_counted(step, onward, "p", "left").select("a", F.coalesce("further", "p").alias("p")), "step")
+            common.drop(last)
         if roots is None:
-            roots = step.select(F.col("a").alias("node"), F.col("p").alias("root"))  # staged
+            roots = common.stage(step.select(F.col("a").alias("node"), F.col("p").alias("root")), "roots")
         else:
             moved = step.select(F.col("a").alias("root"), F.col("p").alias("further"))
-            roots = common.stage(common.join_counted(roots, moved, "root", "left").select("node", F.coalesce("further", "root").alias("root")), "roots")
+            last, roots = roots, common.stage(common.join_counted(roots, moved, "root", "left").select("node", F.coalesce("further", "root").alias("root")), "roots")
+            common.drop(last)
         to_a, to_b = step.select("a", F.col("p").alias("pa")), step.select(F.col("a").alias("b"), F.col("p").alias("pb"))
         half = common.stage(common.join_counted(links, to_a, "a").select("pa", "b"), "half")
-        links = common.stage(tidy(common.join_counted(half, to_b, "b").select(F.col("pa").alias("a"), F.col("pb").alias("b"))), "links")
+        last, links = links, common.stage(tidy(common.join_counted(half, to_b, "b").select(F.col("pa").alias("a"), F.col("pb").alias("b"))), "links")
+        common.drop(last, half, step)
     return links.select(F.col("a").alias("node"), F.col("b").alias("root")) if roots is None else roots

@@ -7,7 +7,8 @@ Linked documents start spread evenly. In each round a join of that table with ea
 between two shards are then granted in order of gain, up to quotas that keep each shard within its
 capacity, which the driver works out from the demand for each pair of shards. A shard that had to
 refuse copies is not asked again for some rounds, so the rest of a text too large for one shard
-gathers in another. Documents without links fill what room is left.
+gathers in another. Rounds go on until, for as many as there are shards, none joins more copies of a
+text than were joined before. Documents without links fill what room is left.
 
 The law is `rows`: shards' row counts differ by one at most. Only tables of shards x shards numbers
 are on the driver.
@@ -18,6 +19,7 @@ rows that repeat are linked copies; an empty table gives no rows.
 
 from __future__ import annotations
 
+import itertools
 from functools import reduce
 
 import numpy as np
@@ -43,13 +45,19 @@ def quotas(demand: np.ndarray, room: np.ndarray) -> np.ndarray:
         grant[:, j] = into - cut
 
 
-def propagate(cells: DataFrame, shards: int, capacity: np.ndarray, rounds: int = 24) -> DataFrame:
-    """cells(group, shard, n): where each group's rows lie; gives the same after the rounds. Row counts never pass capacity."""
+def propagate(cells: DataFrame, shards: int, capacity: np.ndarray) -> DataFrame:
+    """cells(group, shard, n): where each group's rows lie; gives the same when no round joins more copies. Row counts never pass capacity."""
     until = [0] * shards  # the round from which a shard that had to refuse may be asked again
-    for at in range(rounds):
-        used = np.zeros(shards, np.int64)
-        for r in cells.groupBy("shard").agg(F.sum("n").alias("n")).collect():
+    most, stale = -1.0, 0
+    for at in itertools.count():
+        used, joined = np.zeros(shards, np.int64), 0.0
+        for r in cells.groupBy("shard").agg(F.sum("n").alias("n"), F.sum(F.col("n").cast("double") * F.col("n")).alias("joined")).collect():
             used[r.shard] = r.n
+            joined += r.joined
+        # Links within shards grow with the sum of squares. Ties rotate, and shards that refused are asked again, within `shards` rounds: if none of these gains, none will.
+        most, stale = (joined, 0) if joined > most else (most, stale + 1)
+        if stale > shards:
+            break
         room = capacity - used
         votes = cells.groupBy("group").agg(F.array(*[F.sum(F.when(F.col("shard") == s, F.col("n")).otherwise(0)) for s in range(shards)]).alias("votes"))
         # A shard's standing for a group: its copies there, then a rotation that its hash and the round fix, as full shards can only swap, and what one order doesn't pair another does.
@@ -68,6 +76,7 @@ def propagate(cells: DataFrame, shards: int, capacity: np.ndarray, rounds: int =
         for j in np.nonzero(grant.sum(0) < demand.sum(0))[0]:
             until[j] = at + shards
         if not grant.sum():
+            common.drop(asks)
             if not demand.sum() and len(open_shards) == shards:
                 break
             if len(open_shards) < shards:
@@ -77,15 +86,16 @@ def propagate(cells: DataFrame, shards: int, capacity: np.ndarray, rounds: int =
         limit = F.broadcast(cells.sparkSession.createDataFrame(pairs, "shard int, to int, quota long"))  # shards x shards rows at most
         # Larger gains first: by their power of two, then by hash.
         level = 63 - F.floor(F.log2(F.col("gain") + 1))
-        asks = asks.join(limit, ["shard", "to"]).withColumn("h", F.xxhash64("group", "shard"))
+        asked, asks = asks, asks.join(limit, ["shard", "to"]).withColumn("h", F.xxhash64("group", "shard"))
         asks = common.prefixed(asks, ["shard", "to"], level * 64 + F.pmod("h", F.lit(64)), ["h", "group"], "n", "before")
         asks = asks.withColumn("go", F.greatest(F.lit(0), F.least(F.col("n"), F.col("quota") - F.col("before"))).cast("long")).filter("go > 0")
         moves = asks.select("group", F.explode(F.array(F.struct(F.col("shard"), (-F.col("go")).alias("n")), F.struct(F.col("to").alias("shard"), F.col("go").alias("n")))).alias("m")).select("group", "m.*")
-        cells = common.stage(cells.unionByName(moves).groupBy("group", "shard").agg(F.sum("n").alias("n")).filter("n > 0"), "cells")
+        last, cells = cells, common.stage(cells.unionByName(moves).groupBy("group", "shard").agg(F.sum("n").alias("n")).filter("n > 0"), "cells")
+        common.drop(last, asked)
     return cells
 
 
-def assign(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", rounds: int = 24) -> DataFrame:
+def assign(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: doc_id, size, text_crc32, law, shard, slot, grown_shard, and group_size."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.unhex(F.sha2(text, 256)).alias("group"))
@@ -98,7 +108,7 @@ def assign(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: s
 
     linked = common.stage(common.ranked(linked, [], ["doc_id", "group"], "place"), "linked")
     start = linked.groupBy("group", F.pmod("place", F.lit(shards)).cast("int").alias("shard")).agg(F.count(F.lit(1)).alias("n"))
-    cells = propagate(common.stage(start, "cells"), shards, capacity, rounds)
+    cells = propagate(common.stage(start, "cells"), shards, capacity)
 
     # Copies of a group go to its cells in order of their rank.
     ends = cells.withColumn("end", F.sum("n").over(Window.partitionBy("group").orderBy("shard")))

@@ -1,3 +1,4 @@
+import itertools
 import zlib
 from collections import Counter, defaultdict
 
@@ -63,3 +64,34 @@ def test_pairs_come_together_where_all_is_linked(spark):
     docs = [(k, f"pair {k % 2000}") for k in range(4000)]
     spread = check(sharding.assign(spark.createDataFrame(docs, "doc_id long, text string"), shards=8).collect(), docs, 8)
     assert sum(len(v) > 1 for v in spread.values()) <= 40
+
+
+def fewest_cut(sizes, capacity):
+    """The least number of pairs of equal texts in two shards, over all ways to fill the shards up to their capacity."""
+    states = {tuple(capacity): 0}
+    for n in sizes:
+        after = {}
+        for room, cut in states.items():
+            for part in itertools.product(*(range(min(n, r) + 1) for r in room)):
+                if sum(part) == n:
+                    left = tuple(r - p for r, p in zip(room, part))
+                    cost = cut + (n * n - sum(p * p for p in part)) // 2
+                    after[left] = min(after.get(left, cost), cost)
+        states = after
+    return min(states.values())
+
+
+def test_cut_edges_against_the_best_of_all_assignments(spark):
+    rng = np.random.default_rng(5)
+    ours = best = even = 0
+    for _ in range(4):
+        sizes = [int(x) for x in rng.integers(2, 9, 6)] + [1] * 14  # with some documents without links, as in a corpus
+        docs = [(100 * g + k, f"text {g}") for g, n in enumerate(sizes) for k in range(n)]
+        rows = sharding.assign(spark.createDataFrame(docs, "doc_id long, text string"), shards=3).collect()
+        where = Counter((r.text_crc32, r.shard) for r in rows)
+        ours += (sum(n * n for n in sizes) - sum(n * n for n in where.values())) // 2
+        total = len(docs)
+        best += fewest_cut([n for n in sizes if n > 1], [total // 3 + (s < total % 3) for s in range(3)])
+        even += sum(n * (n - 1) for n in sizes) // 3
+    print(best, ours, even)
+    assert best <= ours <= best + 0.1 * even
