@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from enum import IntEnum
 
 
@@ -49,20 +50,15 @@ class Status(IntEnum):
     NOT_OPEN = 82
 
 
+#: What to do about failures that Spark jobs over such files meet, by the status they come to.
 HINTS = {
-    Status.INVALID_MAGIC: "not a Parquet file: it has to start and end with PAR1",
-    Status.INVALID_FOOTER: "the footer can't be read; copy or write the file again",
-    Status.FILE_TRUNCATED: "the file ends too early; see whether its writer committed",
-    Status.CRC_MISMATCH: "a page differs from its checksum; the file changed after it was written",
-    Status.UNSUPPORTED_CODEC: "codecs: none, snappy, gzip, lz4_raw, zstd",
-    Status.INVALID_ENCODING: "read the file with arrow_scan, which knows more encodings",
-    Status.OUT_OF_MEMORY: "lower spark.sql.files.maxPartitionBytes or the batch size",
-    Status.DICTIONARY_NOT_FOUND: "the chunk names a dictionary page that isn't there",
-    Status.VERSION_NOT_SUPPORTED: "write the file with an older format version",
-    Status.COLUMN_NOT_FOUND: "see schema_elements() for the file's columns",
-    Status.ROW_GROUP_NOT_FOUND: "see footer_row_groups() for the file's row groups",
-    Status.DECOMPRESSION: "the compressed bytes are damaged, or of another variant of the codec",
-    Status.TYPE_MISMATCH: "see schema_elements() for the column's physical type",
+    Status.FILE_NOT_FOUND: "list the folder with sources.files.listing(); only *.parquet, *.parq and *.pq count",
+    Status.TYPE_MISMATCH: "Spark has no type for the column, or files disagree: open_table(engine='arrow') converts more types",
+    Status.COLUMN_NOT_FOUND: "footers.schema_elements() has the names; case counts",
+    Status.UNSUPPORTED_CODEC: "WriterOptions knows the codecs in sink.CODECS",
+    Status.CRC_MISMATCH: "checks.validate() tells which files are damaged; verify_checksums=False reads on regardless",
+    Status.INVALID_ENCODING: "open_table(engine='arrow') decodes what Spark's vectorized reader refuses",
+    Status.OUT_OF_MEMORY: "smaller spark.sql.files.maxPartitionBytes, or fewer columns at once",
 }
 
 # What a caller may skip or try again.
@@ -85,28 +81,48 @@ class ScanError(Exception):
         return self.status in RECOVERABLE
 
     def describe(self) -> str:
-        place = [f"{k} {v}" for k, v in (("file", self.path), ("row group", self.row_group), ("column", self.column)) if v is not None]
-        return f"[{self.status.name}] {self.message or 'no details'}" + (f" ({', '.join(place)})" if place else "") + (f"; {self.hint}" if self.hint else "")
+        where = " ".join(f"{k}={v}" for k, v in (("path", self.path), ("row_group", self.row_group), ("column", self.column)) if v is not None)
+        lines = [f"{self.status.name} ({int(self.status)}): {self.message}" if self.message else f"{self.status.name} ({int(self.status)})", where and f"at {where}", self.hint and f"try: {self.hint}"]
+        return "\n".join(filter(None, lines))
+
+
+#: Spark's error conditions that name a status outright.
+CONDITIONS = {
+    "PATH_NOT_FOUND": Status.FILE_NOT_FOUND,
+    "UNABLE_TO_INFER_SCHEMA": Status.FILE_NOT_FOUND,
+    "PARQUET_TYPE_ILLEGAL": Status.TYPE_MISMATCH,
+    "DATATYPE_MISMATCH": Status.TYPE_MISMATCH,
+    "UNRESOLVED_COLUMN": Status.COLUMN_NOT_FOUND,
+}
+#: What messages say, in words that aren't parts of a path.
+MARKS = (
+    (Status.FILE_NOT_FOUND, r"path does not exist|no such file|filenotfound|path_not_found|unable_to_infer_schema"),
+    (Status.CRC_MISMATCH, r"crc|checksum"),
+    (Status.INVALID_MAGIC, r"magic|is not a parquet file"),
+    (Status.FILE_TRUNCATED, r"smaller than|file size is|unexpected end"),
+    (Status.COLUMN_NOT_FOUND, r"unresolved_column|cannot resolve|no match for fieldref"),
+    (Status.TYPE_MISMATCH, r"parquet_type_illegal|parquet_column_data_type_mismatch|datatype_mismatch|illegal parquet type"),
+    (Status.UNSUPPORTED_CODEC, r"\bcodec\b"),
+    (Status.DECOMPRESSION, r"decompress|corrupt"),
+    (Status.INVALID_ENCODING, r"\bencoding\b"),
+    (Status.INVALID_FOOTER, r"\bfooter\b|thrift"),
+    (Status.OUT_OF_MEMORY, r"outofmemory|memoryerror"),
+)
+#: Paths, and what stands in quotes: names of files and columns say nothing of the failure.
+NAMED = re.compile(r"\S*[/\\]\S*|'[^'\n]*'|\"[^\"\n]*\"|`[^`\n]*`")
 
 
 def status_of(error: BaseException) -> Status:
-    """The status that an exception of Spark, Arrow or Python stands for."""
+    """The status that an exception of Spark, Arrow or Python stands for: by its condition or type, else by what it says, file names apart."""
     if isinstance(error, ScanError):
         return error.status
-    text = f"{type(error).__name__}: {error}".lower()
-    for status, marks in (
-        (Status.FILE_NOT_FOUND, ("path_not_found", "unable_to_infer_schema", "path does not exist", "no such file", "filenotfound")),
-        (Status.CRC_MISMATCH, ("crc", "checksum")),
-        (Status.INVALID_MAGIC, ("magic bytes", "is not a parquet file", "expected magic")),
-        (Status.FILE_TRUNCATED, ("smaller than", "file size is", "unexpected end")),
-        (Status.COLUMN_NOT_FOUND, ("unresolved_column", "cannot resolve", "no match for fieldref")),
-        (Status.UNSUPPORTED_CODEC, ("codec",)),
-        (Status.DECOMPRESSION, ("decompress", "corrupt snappy", "corrupt")),
-        (Status.INVALID_ENCODING, ("unsupported encoding", "encoding")),
-        (Status.TYPE_MISMATCH, ("parquet_type_illegal", "parquet_column_data_type_mismatch", "datatype_mismatch", "illegal parquet type")),
-        (Status.INVALID_FOOTER, ("footer", "thrift")),
-        (Status.OUT_OF_MEMORY, ("outofmemory", "memoryerror")),
-    ):
-        if any(m in text for m in marks):
+    condition = getattr(error, "getCondition", lambda: None)() or ""
+    for name, status in CONDITIONS.items():
+        if condition.split(".")[0].endswith(name):
             return status
-    return Status.INTERNAL
+    if isinstance(error, FileNotFoundError):
+        return Status.FILE_NOT_FOUND
+    if isinstance(error, MemoryError):
+        return Status.OUT_OF_MEMORY
+    text = f"{type(error).__name__}: {NAMED.sub(' ', str(error))}".lower()
+    return next((status for status, marks in MARKS if re.search(marks, text)), Status.INTERNAL)

@@ -3,12 +3,13 @@
 The layout is that of the Parquet specification: blocks of eight words, one bit in each word for a
 value, the block by multiply-shift of the hash's upper half, the bits by the lower half and eight
 salts. Building and merging are aggregates by bit_or, so they combine before the shuffle; checking
-is a join on (block, word).
+is a join on the block.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +29,13 @@ def blocks_for(ndv: int, fpp: float = 0.01) -> int:
     return max(1, math.ceil(-ndv * math.log(fpp) / math.log(2) ** 2 / 256))
 
 
+def blocks_in(size: int) -> int:
+    """Blocks of a filter of so many bytes: whole blocks that hold them, one at least."""
+    if size < 0:
+        raise ScanError(Status.INVALID_ARGUMENT, "a size isn't negative")
+    return max(1, -(-size // 32))
+
+
 def block_of(h: Column, blocks: int) -> Column:
     return F.shiftright(F.shiftrightunsigned(h, 32) * F.lit(blocks), 32)
 
@@ -58,14 +66,19 @@ def from_hashes(df: DataFrame, hash_column: str, blocks: int) -> DataFrame:
     return bits.groupBy("block", "w.word").agg(F.bit_or("w.mask").alias("bits"))
 
 
+#: Blocks of a filter that is broadcast: 32 bytes each, and some ten times that as rows.
+FEW_BLOCKS = 1 << 16
+
+
 def check(df: DataFrame, column: str, bloom: DataFrame, blocks: int, name: str = "might_contain") -> DataFrame:
-    """df with a boolean: false only if the value isn't in the filter; null for null. One join by block."""
+    """df with a boolean: false only if the value isn't in the filter; null for null. One join by block: with FEW_BLOCKS or less by broadcast, else by shuffle."""
     h = F.col("_h")
     own = hashing.with_xxh64(df, column, "_h").withColumn("_block", block_of(h, blocks))
-    by_block = bloom.groupBy(F.col("block").alias("_b")).agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("_bits"))
-    all_set = F.forall(words_of(h), lambda w: F.coalesce(F.try_element_at(F.col("_bits"), w["word"]).bitwiseAND(w["mask"]) != 0, F.lit(False)))
+    by_block = bloom.groupBy(F.col("block").alias("_b")).agg(*[F.max(F.when(F.col("word") == k, F.col("bits"))).alias(f"_w{k}") for k in range(len(SALTS))])
+    by_block = F.broadcast(by_block) if blocks <= FEW_BLOCKS else by_block.hint("merge")
     joined = own.join(by_block, F.col("_block") == F.col("_b"), "left")
-    return joined.withColumn(name, F.when(h.isNotNull(), F.coalesce(all_set, F.lit(False)))).select(*df.columns, name)
+    all_set = reduce(lambda a, b: a & b, [F.coalesce(F.col(f"_w{k}").bitwiseAND(w) != 0, F.lit(False)) for k, w in ((k, words_of(h)[k]["mask"]) for k in range(len(SALTS)))])
+    return joined.withColumn(name, F.when(h.isNotNull(), all_set)).select(*df.columns, name)
 
 
 def merge(*filters: DataFrame) -> DataFrame:

@@ -7,10 +7,11 @@ written with these encodings by the sink's options.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,17 +88,67 @@ def delta_lengths(df: DataFrame, value: str, order: str, within: Sequence[str])
     return df.select(*within, order, F.octet_length(value).alias("byte_length"))
 
 
+def delta_length_encode(df: DataFrame, value: str, order: str, within: Sequence[str]) -> DataFrame:
+    """(within, lengths, bytes): a row for each chunk, the byte lengths of its values in order and the bytes of all; nulls have neither."""
+    raw = F.col(value).cast("binary")
+    rows = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), raw.alias("v"))))
+    chunks = df.filter(F.col(value).isNotNull()).groupBy(*within).agg(rows.alias("_rows"))
+    return chunks.select(*within, F.transform("_rows", lambda r: F.octet_length(r["v"])).alias("lengths"), F.unhex(F.array_join(F.transform("_rows", lambda r: F.hex(r["v"])), "")).alias("bytes"))
+
+
+def delta_length_decode(chunks: DataFrame, within: Sequence[str]) -> DataFrame:
+    """(within, pos, value): the chunks' values again, as bytes; pos counts from the chunk's start."""
+    return _chunk_values(chunks, within, lambda r: _slices(r["lengths"], r["bytes"]))
+
+
+def _slices(lengths: list[int], raw: bytes) -> list[bytes]:
+    ends = np.cumsum(lengths, dtype=np.int64).tolist()
+    if lengths and (min(lengths) < 0 or ends[-1] > len(raw)):
+        raise ValueError("lengths that the bytes don't have")
+    return [raw[a:b] for a, b in zip([0, *ends], ends)]
+
+
 def prefix_encode(df: DataFrame, value: str, order: str, within: Sequence[str]) -> DataFrame:
-    """(within, order, prefix_length, suffix): characters shared with the value before, and the rest."""
-    before = F.coalesce(F.lag(value).over(_in(within, order)), F.lit(""))
-    rows = df.select(*within, order, F.col(value).alias("_v"), before.alias("_b"))
-    n = F.least(F.length("_v"), F.length("_b"))
+    """(within, order, prefix_length, suffix): bytes shared with the value before, and the rest of the bytes."""
+    before = F.coalesce(F.lag(value).over(_in(within, order)), F.lit("")).cast("binary")
+    rows = df.select(*within, order, F.col(value).cast("binary").alias("_v"), before.alias("_b"))
+    n = F.least(F.octet_length("_v"), F.octet_length("_b"))
     differs = F.filter(F.sequence(F.lit(1), n), lambda k: F.substring(F.col("_v"), k, F.lit(1)) != F.substring(F.col("_b"), k, F.lit(1)))
     shared = F.when(n == 0, F.lit(0)).otherwise(F.coalesce(F.get(differs, F.lit(0)) - 1, n))
     rows = rows.withColumn("prefix_length", shared.cast("int"))
     return rows.select(*within, order, "prefix_length", F.expr("substring(_v, prefix_length + 1)").alias("suffix"))
 
 
+def prefix_decode(encoded: DataFrame, order: str, within: Sequence[str]) -> DataFrame:
+    """(within, pos, value): the values of prefix_encode again, as bytes. Each is made of the one before, so a chunk is one list, as in a file."""
+    rows = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), "prefix_length", "suffix")))
+    chunks = encoded.groupBy(*within).agg(rows.alias("_rows"))
+    chunks = chunks.select(*within, F.transform("_rows", lambda r: r["prefix_length"]).alias("prefixes"), F.transform("_rows", lambda r: r["suffix"]).alias("suffixes"))
+
+    def values(r: dict) -> list[bytes]:
+        out, last = [], b""
+        for n, suffix in zip(r["prefixes"], r["suffixes"]):
+            if n > len(last):
+                raise ValueError("a prefix longer than the value before")
+            out.append(last := last[:n] + suffix)
+        return out
+
+    return _chunk_values(chunks, within, values)
+
+
+def _chunk_values(chunks: DataFrame, within: Sequence[str], values: Callable[[dict], list[bytes]]) -> DataFrame:
+    types = dict(chunks.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, row in enumerate(batch.to_pylist()):
+                found = values(row)
+                same = [batch.column(batch.schema.get_field_index(c)).slice(k, 1).take(pa.array(np.zeros(len(found), np.int64))) for c in within]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(range(len(found)), pa.int64()), pa.array(found, pa.binary())], [*within, "pos", "value"])
+
+    return chunks.mapInArrow(run, ", ".join([*(f"`{c}` {types[c]}" for c in within), "pos long", "value binary"]))
+
+
 # ---- bits and bytes
 
 

@@ -40,6 +40,12 @@ def little_endian(column: Column, kind: str) -> Column:
     return run(column)
 
 
+def from_little_endian(column: Column) -> Column:
+    """The number that eight bytes in plain encoding stand for, if it isn't negative."""
+    octets = F.transform(F.sequence(F.lit(8), F.lit(1), F.lit(-1)), lambda k: F.hex(F.substring(column, k, F.lit(1))))
+    return F.conv(F.array_join(octets, ""), 16, 10).cast("long")
+
+
 def _rotated(x: np.ndarray, by: int) -> np.ndarray:
     return (x << np.uint64(by)) | (x >> np.uint64(64 - by))
 

@@ -67,3 +67,9 @@ def boundary_order(pages: DataFrame, within: Sequence[str]) -> DataFrame:
     )
     kind = F.when(F.bool_and("_up"), "ASCENDING").when(F.bool_and("_down"), "DESCENDING").otherwise("UNORDERED")
     return steps.groupBy(*within).agg(kind.alias("boundary_order"))
+
+
+def int96_order(column: Column) -> Column:
+    """What INT96 values (12 bytes: nanoseconds of the day, then the Julian day) are compared by: the day first, as a struct that orders so."""
+    number = lambda first, last: F.conv(F.array_join(F.transform(F.sequence(F.lit(last), F.lit(first), F.lit(-1)), lambda k: F.hex(F.substring(column, k, F.lit(1)))), ""), 16, 10).cast("long")
+    return F.when(F.octet_length(column) == 12, F.struct(number(9, 12).alias("day"), number(1, 8).alias("nanos")))

@@ -1,15 +1,18 @@
 """The named queries: each an operator applied to whole tables, with the same result in SQL where SQL can say it.
 
-A query's SQL reads the tables by name; footer queries name the files whose footers they show.
+A query's SQL reads the tables by name; footer queries look for the file that a table's view reads.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import version_info
 from ..functions import bloom, encodings, hashing, names
 from ..operators import levels, pruning, stats
 from ..scratch import scratch_path
@@ -19,8 +22,14 @@ from ..streaming import batches
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
-#: Where the driver keeps the tables that footer queries are held against.
-FOOTER_DIR = "/root/testdata/sf0.01"
+#: Where the driver keeps the tables, in a folder a scale.
+TABLES = "/root/testdata/sf*"
+
+
+def footer_sql(function: str, name: str) -> str:
+    """A table function of DuckDB over the footer of the very file that the table's view reads: of all scales, the one with as many rows."""
+    glob = f"'{TABLES}/{name}.parquet'"
+    return f"(SELECT * FROM {function}({glob}) WHERE file_name = (SELECT min(file_name) FROM parquet_file_metadata({glob}) WHERE num_rows = (SELECT count(*) FROM {name})))"
 
 
 def query(sql: str | None = None, name: str | None = None):
@@ -89,7 +98,23 @@ def batch_summary(spark, sf_dir):
 
 @query("SELECT event_id, value FROM events ORDER BY event_id LIMIT 700 OFFSET 5000")
 def column_read_skip(spark, sf_dir):
-    return scan.read_column(table(spark, sf_dir, "events"), "value", order="event_id", skip=5000, limit=700)
+    cursor = _events_cursor(spark, sf_dir)
+    cursor.skip(5000)
+    return cursor.read(700).select("event_id", "value")
+
+
+def _events_cursor(spark, sf_dir):
+    rows = footers.footer_files(spark, f"{sf_dir}/events.parquet").agg(F.sum("num_rows")).first()[0]
+    return scan.Cursor(scan.with_rows(table(spark, sf_dir, "events").select("event_id", "value")), rows)
+
+
+@query("SELECT * FROM (SELECT step, CAST(greatest(0, (SELECT count(*) FROM events) - gone) AS BIGINT) AS remaining, (SELECT count(*) FROM events) > gone AS has_next FROM (VALUES (0, 0), (1, 5000), (2, 5700), (3, 100000000)) AS t(step, gone))")
+def cursor_remaining(spark, sf_dir):
+    cursor, rows = _events_cursor(spark, sf_dir), []
+    for step, n in enumerate((0, 5000, 700, 100_000_000)):
+        cursor.skip(n)
+        rows.append((step, cursor.remaining(), cursor.has_next()))
+    return spark.createDataFrame(rows, "step int, remaining long, has_next boolean")
 
 
 @query("SELECT event_id, event_type FROM events WHERE event_id >= 2000 AND event_id < 4500")
@@ -226,59 +251,82 @@ def page_boundary_order(spark, sf_dir):
 # ---- footers
 
 
-@query(f"SELECT num_rows, CAST(num_row_groups AS INTEGER) AS num_row_groups, created_by, CAST(file_size_bytes AS BIGINT) AS file_size, CAST(footer_size AS BIGINT) AS footer_size FROM parquet_file_metadata('{FOOTER_DIR}/orders.parquet')")
+@query(f"SELECT num_rows, CAST(num_row_groups AS INTEGER) AS num_row_groups, created_by, CAST(file_size_bytes AS BIGINT) AS file_size, CAST(footer_size AS BIGINT) AS footer_size FROM {footer_sql('parquet_file_metadata', 'orders')}")
 def footer_file_info(spark, sf_dir):
     return footers.footer_files(spark, f"{sf_dir}/orders.parquet").select("num_rows", "num_row_groups", "created_by", "file_size", "footer_size")
 
 
-@query(f"SELECT CAST(row_group_id AS INTEGER) AS row_group, row_group_num_rows AS num_rows, CAST(row_group_num_columns AS INTEGER) AS num_columns, row_group_bytes AS total_byte_size, CAST(sum(total_compressed_size) AS BIGINT) AS compressed_size FROM parquet_metadata('{FOOTER_DIR}/lineitem.parquet') GROUP BY ALL")
+@query(f"SELECT CAST(row_group_id AS INTEGER) AS row_group, row_group_num_rows AS num_rows, CAST(row_group_num_columns AS INTEGER) AS num_columns, row_group_bytes AS total_byte_size, CAST(sum(total_compressed_size) AS BIGINT) AS compressed_size FROM {footer_sql('parquet_metadata', 'lineitem')} GROUP BY ALL")
 def footer_row_groups(spark, sf_dir):
     return footers.footer_row_groups(spark, f"{sf_dir}/lineitem.parquet").select("row_group", "num_rows", "num_columns", "total_byte_size", "compressed_size")
 
 
-@query(f"SELECT CAST(row_group_id AS INTEGER) AS row_group, CAST(column_id AS INTEGER) AS \"column\", path_in_schema AS name, type AS physical_type, compression AS codec, num_values, total_compressed_size AS compressed_size, total_uncompressed_size AS uncompressed_size, data_page_offset AS data_offset, stats_null_count AS null_count FROM parquet_metadata('{FOOTER_DIR}/lineitem.parquet')")
+@query(f"SELECT CAST(row_group_id AS INTEGER) AS row_group, CAST(column_id AS INTEGER) AS \"column\", path_in_schema AS name, type AS physical_type, compression AS codec, num_values, total_compressed_size AS compressed_size, total_uncompressed_size AS uncompressed_size, data_page_offset AS data_offset, stats_null_count AS null_count FROM {footer_sql('parquet_metadata', 'lineitem')}")
 def footer_columns(spark, sf_dir):
     chunks = footers.footer_columns(spark, f"{sf_dir}/lineitem.parquet")
     return chunks.select("row_group", "column", "name", "physical_type", "codec", "num_values", "compressed_size", "uncompressed_size", "data_offset", "null_count")
 
 
-@query(f"SELECT path_in_schema AS name, CAST(stats_min_value AS BIGINT) AS min_long, CAST(stats_max_value AS BIGINT) AS max_long FROM parquet_metadata('{FOOTER_DIR}/orders.parquet') WHERE path_in_schema IN ('o_orderkey', 'o_custkey')")
+@query(f"SELECT path_in_schema AS name, CAST(stats_min_value AS BIGINT) AS min_long, CAST(stats_max_value AS BIGINT) AS max_long FROM {footer_sql('parquet_metadata', 'orders')} WHERE path_in_schema IN ('o_orderkey', 'o_custkey')")
 def footer_statistics(spark, sf_dir):
     chunks = footers.footer_columns(spark, f"{sf_dir}/orders.parquet")
     return chunks.filter(F.col("name").isin("o_orderkey", "o_custkey")).select("name", "min_long", "max_long")
 
 
-@query(f"SELECT name, type AS physical_type, CASE repetition_type WHEN 'OPTIONAL' THEN 1 ELSE 0 END AS max_def FROM parquet_schema('{FOOTER_DIR}/orders.parquet') WHERE type IS NOT NULL")
+@query(f"SELECT name, type AS physical_type, CASE WHEN column_id > 0 THEN repetition_type END AS repetition, CAST(coalesce(num_children, 0) AS INTEGER) AS num_children, CAST(column_id AS INTEGER) AS element, type IS NOT NULL AS is_leaf FROM {footer_sql('parquet_schema', 'embeddings')}")
 def footer_schema(spark, sf_dir):
-    return footers.schema_elements(spark, f"{sf_dir}/orders.parquet").select("name", "physical_type", "max_def")
+    return footers.schema_elements(spark, f"{sf_dir}/embeddings.parquet").select("name", "physical_type", "repetition", "num_children", "element", "is_leaf")
 
 
-@query(f"SELECT CAST(row_group_id AS INTEGER) AS row_group, NOT (CAST(stats_max_value AS BIGINT) < 1200) AS matches FROM parquet_metadata('{FOOTER_DIR}/orders.parquet') WHERE path_in_schema = 'o_custkey'")
+@query(f"SELECT CAST(row_group_id AS INTEGER) AS row_group, NOT (CAST(stats_max_value AS BIGINT) < 1200) AS matches FROM {footer_sql('parquet_metadata', 'orders')} WHERE path_in_schema = 'o_custkey'")
 def footer_row_group_matches(spark, sf_dir):
     chunks = footers.footer_columns(spark, f"{sf_dir}/orders.parquet")
     return pruning.row_group_matches(chunks, "o_custkey", "ge", 1200).select("row_group", "matches")
 
 
-@query(f"SELECT path_in_schema AS name, false AS can_zero_copy FROM parquet_metadata('{FOOTER_DIR}/orders.parquet')")
+@query(f"SELECT path_in_schema AS name, false AS can_zero_copy FROM {footer_sql('parquet_metadata', 'orders')}")
 def footer_zero_copy(spark, sf_dir):
     return footers.footer_columns(spark, f"{sf_dir}/orders.parquet").select("name", "can_zero_copy")
 
 
-@query(f"SELECT decode(key) AS key, octet_length(value) AS value_bytes FROM parquet_kv_metadata('{FOOTER_DIR}/orders.parquet')")
+@query(f"SELECT decode(key) AS key, octet_length(value) AS value_bytes FROM {footer_sql('parquet_kv_metadata', 'orders')}")
 def footer_key_values(spark, sf_dir):
     return footers.key_values(spark, f"{sf_dir}/orders.parquet").select("key", F.octet_length("value").cast("long").alias("value_bytes"))
 
 
-@query("SELECT 'OK' AS status, 0 AS code, 1 AS files")
+@query(f"SELECT 'OK' AS status, 0 AS code, CAST(file_size_bytes AS BIGINT) AS length FROM {footer_sql('parquet_file_metadata', 'orders')}")
 def validate_files(spark, sf_dir):
-    return checks.validate(spark, f"{sf_dir}/orders.parquet").groupBy("status", "code").agg(F.count(F.lit(1)).cast("int").alias("files"))
+    return checks.validate(spark, f"{sf_dir}/orders.parquet").select("status", "code", "length")
 
 
-@query()
+@query("SELECT status, code, files FROM (VALUES ('CRC_MISMATCH', 71, CAST(1 AS BIGINT)), ('OK', 0, CAST(1 AS BIGINT)), ('INVALID_MAGIC', 20, CAST(1 AS BIGINT))) AS t(status, code, files)")
+def validate_damaged(spark, sf_dir):
+    """A file, one with a byte of its first page changed, and one whose leading bytes are others: pages are held against their CRC."""
+    path = scratch(spark, "checked")
+    sink.write(table(spark, sf_dir, "supplier").coalesce(1), path, sink.WriterOptions(dictionary=False))
+    content = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path).select("path", "content")
+    place = footers.footer_columns(spark, path).filter("column = 0").agg((F.min("data_offset") + F.min("compressed_size") - 4).cast("int")).first()[0]
+
+    def three(batches):
+        for batch in batches:
+            for uri, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                changed = raw[:place] + bytes([raw[place] ^ 1]) + raw[place + 1 :]
+                for name, data in (("as-is", raw), ("changed", changed), ("other", b"XXXX" + raw[4:])):
+                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([data], pa.binary())], ["name", "content"])
+
+    return checks.validate_buffers(content.mapInArrow(three, "name string, content binary"), "name", "content").groupBy("status", "code").agg(F.count(F.lit(1)).alias("files"))
+
+
+@query("SELECT 'event_id' AS \"column\", count(*) AS rows, CAST(0 AS BIGINT) AS nulls, min(event_id) AS low, max(event_id) AS high, 'ASCENDING' AS boundary_order, count(*) > 4000 AS many_pages FROM events")
 def page_index_pages(spark, sf_dir):
+    """Pages of a file in order of a key: their bounds are the file's, and each begins where the one before ended."""
     path = scratch(spark, "paged")
-    sink.write(table(spark, sf_dir, "events").select("event_id", "value").coalesce(1).sortWithinPartitions("event_id"), path, sink.WriterOptions(page_size=8192, dictionary=False))
-    return page_index.page_index(spark, path).drop("path")
+    sink.write(table(spark, sf_dir, "events").select("event_id").coalesce(1).sortWithinPartitions("event_id"), path, sink.WriterOptions(page_size=8192, dictionary=False))
+    pages = page_index.page_index(spark, path)
+    low, high = (hashing.from_little_endian(F.col(c)) for c in ("min_bytes", "max_bytes"))
+    rows = footers.footer_files(spark, path).agg(F.sum("num_rows")).first()[0]
+    found = pages.filter((F.col("first_row") == low) & ~F.col("null_page"))  # keys count from 0 here, so a page's first key is its first row
+    return found.groupBy("column", "boundary_order").agg(F.lit(rows).alias("rows"), F.sum("null_count").alias("nulls"), F.min(low).alias("low"), F.max(high).alias("high"), (F.count(F.lit(1)) > 1).alias("many_pages"))
 
 
 # ---- sinks
@@ -298,6 +346,22 @@ def _roundtrips() -> None:
 _roundtrips()
 
 
+_WRITTEN = {"none": "UNCOMPRESSED", "snappy": "SNAPPY", "gzip": "GZIP", "lz4": "LZ4", "lz4_raw": "LZ4_RAW", "zstd": "ZSTD"}
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS asked, '{w}' AS codec, count(*) AS num_rows, CAST(sum(s_suppkey) AS BIGINT) AS key_sum, {str(c != 'none').lower()} AS smaller FROM supplier" for c, w in _WRITTEN.items()))
+def written_codecs(spark, sf_dir):
+    """The codec that the footer of each written table has, what it reads back, and whether its chunks are smaller than their contents."""
+    out = []
+    for codec in _WRITTEN:
+        path = scratch(spark, f"codec_{codec}")
+        sink.write(table(spark, sf_dir, "supplier").coalesce(1), path, sink.WriterOptions(compression=codec))
+        chunks = footers.footer_columns(spark, path).agg(F.lit(codec).alias("asked"), F.max("codec").alias("codec"), (F.sum("compressed_size") < F.sum("uncompressed_size")).alias("smaller"))
+        back = scan.open_table(spark, path, engine="arrow" if codec == "lz4" else "auto").agg(F.count(F.lit(1)).alias("num_rows"), F.sum("s_suppkey").alias("key_sum"))
+        out.append(chunks.crossJoin(F.broadcast(back)))  # one row each
+    return reduce(DataFrame.unionByName, out).select("asked", "codec", "num_rows", "key_sum", "smaller")
+
+
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 7 <> 0 THEN o_orderstatus END AS o_orderstatus, CASE WHEN o_orderkey % 5 <> 0 THEN o_totalprice END AS o_totalprice FROM orders")
 def roundtrip_nullable(spark, sf_dir):
     path = scratch(spark, "nullable")
@@ -313,11 +377,13 @@ def roundtrip_delta_encodings(spark, sf_dir):
     return scan.open_table(spark, path)
 
 
-@query("SELECT count(*) AS num_rows FROM lineitem")
+@query("SELECT count(*) AS num_rows, true AS several, true AS gapless FROM lineitem")
 def roundtrip_row_groups(spark, sf_dir):
     path = scratch(spark, "groups")
     sink.write(table(spark, sf_dir, "lineitem").coalesce(1), path, sink.WriterOptions(row_group_size=256 << 10, page_size=16 << 10))
-    return footers.footer_row_groups(spark, path).agg(F.sum("num_rows").alias("num_rows"))
+    groups = footers.footer_row_groups(spark, path)
+    ends = F.max(F.col("first_row") + F.col("num_rows")) == F.sum("num_rows")
+    return groups.agg(F.sum("num_rows").alias("num_rows"), ((F.count(F.lit(1)) > 1) & (F.countDistinct("row_group") == F.count(F.lit(1)))).alias("several"), ends.alias("gapless"))
 
 
 @query("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_orderkey = 1234 OR l_orderkey = 7")
@@ -414,9 +480,27 @@ def delta_length(spark, sf_dir):
     return encodings.delta_lengths(_chunks(spark, sf_dir), "props", "event_id", ["rg"])
 
 
-@query(f"WITH p AS (SELECT rg, event_id, props AS v, coalesce(lag(props) OVER (PARTITION BY rg ORDER BY event_id), '') AS b FROM {_CHUNKS_SQL}), n AS (SELECT *, coalesce(list_min(list_filter(range(1, least(length(v), length(b)) + 1), lambda k: substring(v, k, 1) <> substring(b, k, 1))) - 1, least(length(v), length(b))) AS n FROM p) SELECT rg, event_id, CAST(n AS INTEGER) AS prefix_length, substring(v, n + 1) AS suffix FROM n")
+_DOCS_SQL = "(SELECT doc_id // 1000 AS rg, doc_id, text FROM documents WHERE text IS NOT NULL)"
+
+
+def _texts(spark, sf_dir):
+    return table(spark, sf_dir, "documents").filter("text IS NOT NULL").select(F.call_function("div", F.col("doc_id"), F.lit(1000)).alias("rg"), "doc_id", "text")
+
+
+@query(f"WITH p AS (SELECT rg, doc_id, hex(encode(text)) AS v, coalesce(hex(encode(lag(text) OVER (PARTITION BY rg ORDER BY doc_id))), '') AS b FROM {_DOCS_SQL}), n AS (SELECT *, coalesce(list_min(list_filter(range(1, least(length(v), length(b)) // 2 + 1), lambda k: v[2 * k - 1 : 2 * k] <> b[2 * k - 1 : 2 * k])) - 1, least(length(v), length(b)) // 2) AS n FROM p) SELECT rg, doc_id, CAST(n AS INTEGER) AS prefix_length, v[2 * n + 1 :] AS suffix FROM n")
 def prefix_suffix(spark, sf_dir):
-    return encodings.prefix_encode(_chunks(spark, sf_dir), "props", "event_id", ["rg"])
+    """Prefixes are counted in bytes: texts have letters of two."""
+    return encodings.prefix_encode(_texts(spark, sf_dir), "text", "doc_id", ["rg"]).withColumn("suffix", F.hex("suffix"))
+
+
+@query(f"SELECT rg, row_number() OVER (PARTITION BY rg ORDER BY doc_id) - 1 AS pos, text AS value FROM {_DOCS_SQL}")
+def prefix_decode(spark, sf_dir):
+    return encodings.prefix_decode(encodings.prefix_encode(_texts(spark, sf_dir), "text", "doc_id", ["rg"]), "doc_id", ["rg"]).withColumn("value", F.col("value").cast("string"))
+
+
+@query(f"SELECT rg, row_number() OVER (PARTITION BY rg ORDER BY doc_id) - 1 AS pos, text AS value FROM {_DOCS_SQL}")
+def delta_length_decode(spark, sf_dir):
+    return encodings.delta_length_decode(encodings.delta_length_encode(_texts(spark, sf_dir), "text", "doc_id", ["rg"]), ["rg"]).withColumn("value", F.col("value").cast("string"))
 
 
 @query("SELECT event_id, CASE WHEN event_id - 5000 >= 0 THEN 2 * (event_id - 5000) ELSE -2 * (event_id - 5000) - 1 END AS zigzag, event_id - 5000 AS back FROM events")
@@ -461,29 +545,62 @@ def xxh64_key(spark, sf_dir):
     return hashing.with_xxh64(table(spark, sf_dir, "events").select("event_id"), "event_id")
 
 
-@query("SELECT o_orderkey, true AS might_contain FROM orders WHERE o_orderkey % 3 = 0")
+# Published vectors, and values of other implementations of the two hashes.
+_VECTORS = {"": (0, 0xEF46DB3751D8E999), "a": (0xE8B7BE43, 0xD24EC4F1A98C6E5B), "123456789": (0xCBF43926, 0x8CB841DB40E6AE83), "abc": (0x352441C2, 0x44BC2CF5AD770999)}
+
+
+@query(" UNION ALL ".join(f"SELECT '{k}' AS key, CAST({c} AS BIGINT) AS crc32, '{h:016X}' AS xxh64" for k, (c, h) in _VECTORS.items()))
+def hash_vectors(spark, sf_dir):
+    keys = spark.createDataFrame([(k,) for k in _VECTORS], "key string")
+    return hashing.with_xxh64(keys, "key").select("key", hashing.crc32(F.col("key")).alias("crc32"), F.lpad(F.hex("xxh64"), 16, "0").alias("xxh64"))
+
+
+def _orders_bloom(spark, sf_dir, fpp=0.01):
+    """The keys, and the blocks of a filter for all of them."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey")
+    return orders, bloom.blocks_for(max(1, orders.count()), fpp)  # the count is from footers
+
+
+@query("SELECT o_orderkey, true AS might_contain, CAST(NULL AS BOOLEAN) AS of_null FROM orders")
 def bloom_membership(spark, sf_dir):
-    keys = table(spark, sf_dir, "orders").filter("o_orderkey % 3 = 0").select("o_orderkey")
-    blocks = bloom.blocks_for(10_000, 0.01)
-    return bloom.check(keys, "o_orderkey", bloom.build(keys, "o_orderkey", blocks), blocks)
+    orders, blocks = _orders_bloom(spark, sf_dir)
+    built = bloom.build(orders, "o_orderkey", blocks)
+    found = bloom.check(orders, "o_orderkey", built, blocks)
+    return bloom.check(found.withColumn("none", F.lit(None).cast("long")), "none", built, blocks, "of_null").drop("none")
 
 
-@query("SELECT true AS below_limit")
+@query("SELECT true AS below_limit, count(*) AS absent, true AS some_rejected FROM orders")
 def bloom_false_positives(spark, sf_dir):
+    orders, blocks = _orders_bloom(spark, sf_dir)
+    absent = orders.select((-1 - F.col("o_orderkey")).alias("o_orderkey"))  # as many keys, none of them in the table
+    found = bloom.check(absent, "o_orderkey", bloom.build(orders, "o_orderkey", blocks), blocks)
+    return found.agg((F.avg(F.col("might_contain").cast("int")) < 0.03).alias("below_limit"), F.count(F.lit(1)).alias("absent"), F.bool_or(~F.col("might_contain")).alias("some_rejected"))
+
+
+@query("SELECT CAST((count(*) + 31) // 32 * 32 AS BIGINT) AS bytes, count(*) AS all_found, true AS same_as_whole FROM orders")
+def bloom_by_bytes(spark, sf_dir):
+    """A filter of as many bytes as the table has keys, in whole blocks; halves merged are the whole."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey")
-    blocks = bloom.blocks_for(10_000, 0.01)
-    found = bloom.check(orders.filter("o_orderkey % 3 <> 0"), "o_orderkey", bloom.build(orders.filter("o_orderkey % 3 = 0"), "o_orderkey", blocks), blocks)
-    return found.agg((F.avg(F.col("might_contain").cast("int")) < 0.03).alias("below_limit"))
+    blocks = bloom.blocks_in(orders.count())
+    whole = bloom.build(orders, "o_orderkey", blocks)
+    merged = bloom.merge(*(bloom.build(orders.filter(F.col("o_orderkey") % 2 == k), "o_orderkey", blocks) for k in range(2)))
+    apart = whole.select("block", "word", "bits").exceptAll(merged.select("block", "word", "bits")).agg((F.count(F.lit(1)) == 0).alias("same_as_whole"))
+    found = bloom.check(orders, "o_orderkey", merged, blocks).agg(F.count_if("might_contain").alias("all_found"))
+    return found.crossJoin(F.broadcast(apart)).withColumn("bytes", F.lit(32 * blocks).cast("long"))  # one row each
 
 
 @query("SELECT o_orderkey, true AS might_contain FROM orders")
 def bloom_merge(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders").select("o_orderkey")
-    blocks = bloom.blocks_for(20_000, 0.01)
+    orders, blocks = _orders_bloom(spark, sf_dir)
     parts = [bloom.build(orders.filter(F.col("o_orderkey") % 2 == k), "o_orderkey", blocks) for k in range(2)]
     return bloom.check(orders, "o_orderkey", bloom.merge(*parts), blocks)
 
 
+@query("SELECT * FROM (VALUES ('stratascan', true), ('pyspark', true), ('pyarrow', true), ('python', true), ('processor', true)) AS t(name, known)")
+def versions(spark, sf_dir):
+    return spark.createDataFrame([(k, bool(v)) for k, v in version_info().items()], "name string, known boolean")
+
+
 @query("SELECT * FROM (VALUES (0, 'UNCOMPRESSED', 'PLAIN', 'BOOLEAN'), (1, 'SNAPPY', 'UNKNOWN', 'INT32'), (5, 'LZ4', 'DELTA_BINARY_PACKED', 'DOUBLE'), (7, 'LZ4_RAW', 'DELTA_BYTE_ARRAY', 'FIXED_LEN_BYTE_ARRAY'), (9, 'UNKNOWN', 'BYTE_STREAM_SPLIT', 'UNKNOWN')) AS t(number, codec, encoding, physical_type)")
 def format_names(spark, sf_dir):
     numbers = spark.createDataFrame([(k,) for k in (0, 1, 5, 7, 9)], "number int")

@@ -6,6 +6,7 @@ task decodes its own.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
@@ -66,36 +67,68 @@ def converted(column: pa.Array, to: pa.DataType) -> pa.Array:
     return pc.cast(column, to)
 
 
-def scan(spark: SparkSession, path: str, columns: Sequence[str] | None = None, verify_checksums: bool = True) -> DataFrame:
-    """The table at a path; the schema is that of the first file."""
-    import pyarrow.parquet as pq
+def table_schema(spark: SparkSession, path: str) -> pa.Schema:
+    """The columns of all files at a path, by the first that has them; files differ in schema seldom, so distinct ones alone come to the driver."""
 
-    first = files.listing(spark, path).select("path").first()
-    if first is None:
+    def schemas(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.parquet as pq
+
+        for batch in batches:
+            found = {}
+            for uri in batch.column(0).to_pylist():
+                with files.opened(uri) as f:
+                    found.setdefault(pq.ParquetFile(f).schema_arrow.remove_metadata().serialize().to_pybytes(), uri)
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.string())], ["schema", "path"])
+
+    rows = files.listing(spark, path).select("path").mapInArrow(schemas, "schema binary, path string").groupBy("schema").agg(F.min("path").alias("path")).collect()
+    if not rows:
         raise ScanError(Status.FILE_NOT_FOUND, "no Parquet file", path=path)
-    with files.opened(first.path) as f:
-        schema = pq.ParquetFile(f).schema_arrow
+    fields: dict[str, pa.Field] = {}
+    for r in sorted(rows, key=lambda r: r.path):
+        for field in pa.ipc.read_schema(pa.py_buffer(bytes(r.schema))):
+            known = fields.setdefault(field.name, field)
+            if target(known.type) != target(field.type):
+                raise ScanError(Status.TYPE_MISMATCH, f"column {field.name} is {known.type} in one file and {field.type} in another", path=r.path)
+    return pa.schema(fields.values())
+
+
+def scan(spark: SparkSession, path: str, columns: Sequence[str] | None = None, verify_checksums: bool = True, with_rows: bool = False) -> DataFrame:
+    """The table at a path, or some of its columns; a column that a file lacks is null there. with_rows: also row_index, in the file, and file_path."""
+    schema = table_schema(spark, path)
     names = list(columns) if columns is not None else schema.names
     for n in names:
         if n not in schema.names:
             raise ScanError(Status.COLUMN_NOT_FOUND, f"no column named {n}", path=path)
     types = {n: target(schema.field(n).type) for n in names}
+    placed = ["row_index", "file_path"] if with_rows else []
 
     def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.parquet as pq
+
         for batch in batches:
             for uri in batch.column(0).to_pylist():
                 with files.opened(uri) as f:
-                    n = pq.ParquetFile(f).metadata.num_row_groups
-                yield pa.RecordBatch.from_arrays([pa.array([uri] * n, pa.string()), pa.array(range(n), pa.int32())], ["path", "row_group"])
+                    meta = pq.ParquetFile(f).metadata
+                sizes = [meta.row_group(k).num_rows for k in range(meta.num_row_groups)]
+                first = [0, *itertools.accumulate(sizes)][:-1]
+                yield pa.RecordBatch.from_arrays([pa.array([uri] * len(sizes), pa.string()), pa.array(range(len(sizes)), pa.int32()), pa.array(first, pa.int64())], ["path", "row_group", "first_row"])
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.parquet as pq
+
         for batch in batches:
-            for uri, k in zip(*(batch.column(c).to_pylist() for c in range(2))):
+            for uri, k, row in zip(*(batch.column(c).to_pylist() for c in range(3))):
                 with files.opened(uri) as f:
                     file = pq.ParquetFile(f, page_checksum_verification=verify_checksums)
-                    for found in file.iter_batches(row_groups=[k], columns=names):
-                        yield pa.RecordBatch.from_arrays([converted(found.column(n), types[n][0]) for n in names], names)
+                    there = [n for n in names if n in file.schema_arrow.names]
+                    for found in file.iter_batches(row_groups=[k], columns=there):
+                        own = [converted(found.column(n), types[n][0]) if n in there else pa.nulls(found.num_rows, types[n][0]) for n in names]
+                        if with_rows:
+                            own += [pa.array(range(row, row + found.num_rows), pa.int64()), pa.array([uri] * found.num_rows, pa.string())]
+                        row += found.num_rows
+                        yield pa.RecordBatch.from_arrays(own, [*names, *placed])
 
-    pairs = files.listing(spark, path).select("path").mapInArrow(groups, "path string, row_group int")
-    dealt = pairs.repartition(F.col("path"), F.col("row_group"))  # pairs only: some bytes a row group
-    return dealt.mapInArrow(decode, ", ".join(f"`{n}` {types[n][1]}" for n in names))
+    pairs = files.listing(spark, path).select("path").mapInArrow(groups, "path string, row_group int, first_row long")
+    dealt = pairs.repartition(F.col("path"), F.col("row_group"))  # some bytes a row group
+    kinds = [*(f"`{n}` {types[n][1]}" for n in names), *(["row_index long", "file_path string"] if with_rows else [])]
+    return dealt.mapInArrow(decode, ", ".join(kinds))

@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from . import files
+from ..functions.names import CODECS
+from . import files, thrift
 
 # Physical types of one fixed width, in bytes.
 FIXED_WIDTH = {"INT32": 4, "INT64": 8, "INT96": 12, "FLOAT": 4, "DOUBLE": 8}
@@ -25,7 +26,9 @@ CHUNK_SCHEMA = (
     "has_min_max boolean, null_count long, distinct_count long, min_value string, max_value string, min_long long, max_long long, min_double double, max_double double, min_bytes binary, max_bytes binary, "
     "compressed_size long, uncompressed_size long, dictionary_offset long, data_offset long, can_zero_copy boolean"
 )
-ELEMENT_SCHEMA = "path string, element int, column int, name string, physical_type string, logical_type string, converted_type string, type_length int, max_def int, max_rep int"
+ELEMENT_SCHEMA = "path string, element int, parent int, column int, name string, full_name string, is_leaf boolean, repetition string, num_children int, physical_type string, logical_type string, converted_type string, type_length int, field_id int, max_def int, max_rep int"
+# The numbers of repetitions.
+REPETITIONS = ("REQUIRED", "OPTIONAL", "REPEATED")
 KEY_VALUE_SCHEMA = "path string, key string, value binary"
 
 
@@ -40,7 +43,7 @@ def _table(spark: SparkSession, path: str, schema: str, rows: Callable) -> DataF
             for uri, length in zip(*(batch.column(k).to_pylist() for k in range(2))):
                 with files.opened(uri) as f:
                     meta = pq.ParquetFile(f).metadata
-                    found = [(uri, *r) for r in rows(meta, length)]
+                    found = [(uri, *r) for r in rows(meta, length, f)]
                 yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in found], schema=shape)
 
     return files.listing(spark, path).mapInArrow(run, schema)
@@ -48,13 +51,13 @@ def _table(spark: SparkSession, path: str, schema: str, rows: Callable) -> DataF
 
 def footer_files(spark: SparkSession, path: str) -> DataFrame:
     """One row a file: size, rows, row groups, columns, version, writer."""
-    return _table(spark, path, FILE_SCHEMA, lambda m, length: [(length, m.num_rows, m.num_row_groups, m.num_columns, m.format_version, m.created_by, m.serialized_size)])
+    return _table(spark, path, FILE_SCHEMA, lambda m, length, _f: [(length, m.num_rows, m.num_row_groups, m.num_columns, m.format_version, m.created_by, m.serialized_size)])
 
 
 def footer_row_groups(spark: SparkSession, path: str) -> DataFrame:
     """One row a row group; compressed_size is the chunks' sum, first_row the rows before it in the file."""
 
-    def rows(m, _length):
+    def rows(m, _length, _f):
         first = 0
         for k in range(m.num_row_groups):
             g = m.row_group(k)
@@ -72,7 +75,8 @@ def footer_columns(spark: SparkSession, path: str) -> DataFrame:
     variable width.
     """
 
-    def rows(m, _length):
+    def rows(m, length, f):
+        told = None
         for k in range(m.num_row_groups):
             g = m.row_group(k)
             for c in range(g.num_columns):
@@ -84,9 +88,13 @@ def footer_columns(spark: SparkSession, path: str) -> DataFrame:
                 real = x.physical_type in ("FLOAT", "DOUBLE")
                 text = lambda v: None if v is None else v.decode("utf-8", "replace") if isinstance(v, bytes) else str(v)
                 raw = lambda v: None if v is None else v.encode() if isinstance(v, str) else bytes(v)
+                codec = x.compression
+                if codec == "LZ4" or codec not in CODECS.values():  # Arrow names both LZ4 framings alike, or not at all; field 4 of ColumnMetaData has the number
+                    told = told or thrift.footer(f, length)
+                    codec = CODECS.get(told[4][k][1][c][3][4], "UNKNOWN")
                 plain = set(x.encodings) <= {"PLAIN", "RLE", "BIT_PACKED"}
                 yield (
-                    k, c, x.path_in_schema, x.physical_type, str(leaf.logical_type), leaf.max_definition_level, leaf.max_repetition_level, x.compression, list(x.encodings), x.num_values,
+                    k, c, x.path_in_schema, x.physical_type, str(leaf.logical_type), leaf.max_definition_level, leaf.max_repetition_level, codec, list(x.encodings), x.num_values,
                     known, s.null_count if s and s.has_null_count else None, s.distinct_count if s and s.has_distinct_count else None, text(s.min if known else None), text(s.max if known else None),
                     int(low) if known and whole else None, int(high) if known and whole else None, float(low) if known and real else None, float(high) if known and real else None,
                     raw(low) if known and not whole and not real else None, raw(high) if known and not whole and not real else None,
@@ -98,16 +106,47 @@ def footer_columns(spark: SparkSession, path: str) -> DataFrame:
 
 
 def schema_elements(spark: SparkSession, path: str) -> DataFrame:
-    """One row a leaf column: names, types and levels as the footer has them."""
+    """One row an element of the schema, groups and leaves, in the footer's order, the root first: its place in the tree, repetition, types and levels.
 
-    def rows(m, _length):
-        for c in range(m.num_columns):
-            leaf = m.schema.column(c)
-            yield c, c, leaf.path, leaf.physical_type, str(leaf.logical_type), str(leaf.converted_type), leaf.length if leaf.physical_type == "FIXED_LEN_BYTE_ARRAY" else None, leaf.max_definition_level, leaf.max_repetition_level
+    full_name is the path of names from below the root; column numbers the leaves. Types are those of leaves; for a group
+    they are null.
+    """
+    shape = to_arrow_schema(T.StructType.fromDDL(ELEMENT_SCHEMA))
+
+    def elements(f, length: int, meta) -> Iterator[tuple]:
+        # Field numbers are those of the format's SchemaElement.
+        raw, leaves, open_groups = thrift.footer(f, length)[2], 0, []  # open groups: (element, children to come, names, max_def, max_rep)
+        for k, e in enumerate(raw):
+            while open_groups and not open_groups[-1][1]:
+                open_groups.pop()
+            parent, _, names, max_def, max_rep = open_groups[-1] if open_groups else (None, 0, [], 0, 0)
+            if open_groups:
+                open_groups[-1][1] -= 1
+            name, repetition = e[4].decode("utf-8", "replace"), REPETITIONS[e.get(3, 0)]
+            if parent is not None:
+                names, max_def, max_rep = [*names, name], max_def + (repetition != "REQUIRED"), max_rep + (repetition == "REPEATED")
+            leaf = meta.schema.column(leaves) if not e.get(5) and k else None
+            yield (
+                k, parent, leaves if leaf else None, name, ".".join(names), leaf is not None, repetition if k else None, e.get(5, 0), leaf.physical_type if leaf else None,
+                str(leaf.logical_type) if leaf else None, str(leaf.converted_type) if leaf else None, e.get(2) if leaf and leaf.physical_type == "FIXED_LEN_BYTE_ARRAY" else None, e.get(9), max_def, max_rep,
+            )
+            if leaf:
+                leaves += 1
+            else:
+                open_groups.append([k, e.get(5, 0), names, max_def, max_rep])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.parquet as pq
+
+        for batch in batches:
+            for uri, length in zip(*(batch.column(k).to_pylist() for k in range(2))):
+                with files.opened(uri) as f:
+                    found = [(uri, *r) for r in elements(f, length, pq.ParquetFile(f).metadata)]
+                yield pa.RecordBatch.from_pylist([dict(zip(shape.names, r)) for r in found], schema=shape)
 
-    return _table(spark, path, ELEMENT_SCHEMA, rows)
+    return files.listing(spark, path).mapInArrow(run, ELEMENT_SCHEMA)
 
 
 def key_values(spark: SparkSession, path: str) -> DataFrame:
     """One row a key of the file's metadata."""
-    return _table(spark, path, KEY_VALUE_SCHEMA, lambda m, _length: [(k.decode("utf-8", "replace"), v) for k, v in (m.metadata or {}).items()])
+    return _table(spark, path, KEY_VALUE_SCHEMA, lambda m, _length, _f: [(k.decode("utf-8", "replace"), v) for k, v in (m.metadata or {}).items()])

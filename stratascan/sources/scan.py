@@ -21,26 +21,27 @@ UNSAFE_ENCODINGS = frozenset({"DELTA_BYTE_ARRAY", "BYTE_STREAM_SPLIT"})
 FEW_FILES = 8
 
 
-def open_table(spark: SparkSession, path: str, verify_checksums: bool = True, engine: str = "auto", inspect: str = "all") -> DataFrame:
+def open_table(spark: SparkSession, path: str, verify_checksums: bool = True, engine: str = "auto", inspect: str = "all", columns: Sequence[str] | None = None) -> DataFrame:
     """The table at a path.
 
     engine: spark, arrow, or auto: Spark's reader, but Arrow's where Spark has no type for a column
     or doesn't read an encoding right. inspect: whether auto looks for such encodings in all
     footers, by a Spark job if they are many, or in the first file's alone (for tables of one writer).
+    columns: those wanted; Spark finds out by itself what a query reads, Arrow decodes these alone.
     """
     if engine == "arrow":
-        return arrow_scan.scan(spark, path, verify_checksums=verify_checksums)
+        return arrow_scan.scan(spark, path, columns, verify_checksums=verify_checksums)
     # The page reader asks the Hadoop configuration; as a read option it goes there for this scan alone.
     reader = spark.read.option("parquet.page.verify-checksum.enabled", str(verify_checksums).lower())
     try:
         df = reader.parquet(path)
     except (PySparkException, Py4JJavaError) as error:
         if engine == "auto" and status_of(error) is Status.TYPE_MISMATCH:
-            return arrow_scan.scan(spark, path, verify_checksums=verify_checksums)
+            return arrow_scan.scan(spark, path, columns, verify_checksums=verify_checksums)
         raise ScanError(status_of(error), str(error).splitlines()[0], path=path) from error
     if engine == "auto" and _unsafe(spark, df, path, inspect):
-        return arrow_scan.scan(spark, path, verify_checksums=verify_checksums)
-    return df
+        return arrow_scan.scan(spark, path, columns, verify_checksums=verify_checksums)
+    return df if columns is None else project(df, columns)
 
 
 def _unsafe(spark: SparkSession, df: DataFrame, path: str, inspect: str) -> bool:
@@ -90,7 +91,9 @@ def find_column(df: DataFrame, name: str) -> int:
 
 
 def with_rows(df: DataFrame, name: str = "row_index") -> DataFrame:
-    """Adds each row's number in its file, which the reader knows, and the file's path."""
+    """Adds each row's number in its file, which the reader knows, and the file's path; frames of arrow_scan have them by with_rows=True."""
+    if {name, "file_path"} <= set(df.columns):
+        return df
     return df.select("*", F.col("_metadata.row_index").alias(name), F.col("_metadata.file_path").alias("file_path"))
 
 
@@ -113,7 +116,7 @@ def with_row_groups(rows: DataFrame, groups: DataFrame, row: str = "row_index")
 
 
 def read_column(df: DataFrame, column: str, order: str, skip: int = 0, limit: int | None = None) -> DataFrame:
-    """Values skip .. skip + limit of one column in the order of a key: (order, column)."""
+    """Values skip .. skip + limit of one column in the order of a key, whatever the rows' order in the file: (order, column). Sorts; by rows' place, see Cursor."""
     find_column(df, column)
     out = df.select(*dict.fromkeys([order, column])).orderBy(order)
     if skip:
@@ -126,6 +129,37 @@ def read_rows(df: DataFrame, first: int, end: int, row: str = "row_index") -> Da
     return df.filter((F.col(row) >= first) & (F.col(row) < end))
 
 
+class Cursor:
+    """A place in a file's rows, of which reading and skipping go on: each read is a frame of the rows by their numbers, without a sort.
+
+    rows is the number of rows there are (of a file, or a row group), as the footer has it; first the
+    number of the first of them.
+    """
+
+    def __init__(self, df: DataFrame, rows: int, first: int = 0, row: str = "row_index"):
+        self.df, self.end, self.at, self.row = df, first + rows, first, row
+
+    def remaining(self) -> int:
+        return self.end - self.at
+
+    def has_next(self) -> bool:
+        return self.at < self.end
+
+    def skip(self, n: int) -> int:
+        """Goes n rows on, or to the end; gives how many it were."""
+        if n < 0:
+            raise ScanError(Status.INVALID_ARGUMENT, "a cursor goes forwards only")
+        n = min(n, self.remaining())
+        self.at += n
+        return n
+
+    def read(self, n: int) -> DataFrame:
+        """The next n rows, or all that remain."""
+        first = self.at
+        self.skip(n)
+        return read_rows(self.df, first, self.at, self.row)
+
+
 def read_buffers(spark: SparkSession, path: str, ddl: str) -> DataFrame:
     """Tables held in whole files' bytes: each file comes as one binary value and is decoded where it is."""
     import pyarrow as pa

@@ -11,6 +11,8 @@ from ..errors import ScanError, Status
 # Codec names, and the names of their level settings.
 CODECS = ("none", "snappy", "gzip", "lz4", "lz4_raw", "zstd")
 LEVELS = {"zstd": "parquet.compression.codec.zstd.level", "gzip": "zlib.compress.level"}
+GZIP_LEVELS = {0: "NO_COMPRESSION", 1: "BEST_SPEED", 2: "TWO", 3: "THREE", 4: "FOUR", 5: "FIVE", 6: "SIX", 7: "SEVEN", 8: "EIGHT", 9: "BEST_COMPRESSION"}
+ZSTD_MOST = 22
 
 
 @dataclass(frozen=True)
@@ -46,10 +48,11 @@ class WriterOptions:
             "maxRecordsPerFile": str(self.max_records_per_file),
         }
         out |= {f"parquet.enable.dictionary#{c}": "false" for c in self.no_dictionary_columns}
-        if self.compression_level is not None:
-            level = self.compression_level
-            out[LEVELS.get(self.compression, "")] = {1: "BEST_SPEED", 9: "BEST_COMPRESSION"}.get(level, "DEFAULT_COMPRESSION") if self.compression == "gzip" else str(level)
-            out.pop("", None)
+        if (level := self.compression_level) is not None:
+            known = GZIP_LEVELS if self.compression == "gzip" else range(1, ZSTD_MOST + 1) if self.compression == "zstd" else ()
+            if level not in known:
+                raise ScanError(Status.INVALID_ARGUMENT, f"{self.compression} has no level {level}")
+            out[LEVELS[self.compression]] = GZIP_LEVELS[level] if self.compression == "gzip" else str(level)
         for c, n in self.bloom.items():
             out |= {f"parquet.bloom.filter.enabled#{c}": "true", f"parquet.bloom.filter.expected.ndv#{c}": str(n), f"parquet.bloom.filter.fpp#{c}": str(self.bloom_fpp)}
         return out

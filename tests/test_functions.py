@@ -103,9 +103,9 @@ def test_deltas_and_prefixes(spark, chunked):
         assert 1 <= r.n <= 128 and 0 <= r.bit_width <= 8
     text = {}
     for r in sorted(encodings.prefix_encode(df, "s", "k", ["c"]).collect()):
-        text[r.c] = text.get(r.c, "")[: r.prefix_length] + r.suffix
-        before = next((s for c, k, _, s in rows if (c, k) == (r.c, r.k - 1)), "")
-        own = next(s for c, k, _, s in rows if (c, k) == (r.c, r.k))
+        text[r.c] = text.get(r.c, b"")[: r.prefix_length] + bytes(r.suffix)
+        before = next((s.encode() for c, k, _, s in rows if (c, k) == (r.c, r.k - 1)), b"")
+        own = next(s.encode() for c, k, _, s in rows if (c, k) == (r.c, r.k))
         assert text[r.c] == own and (r.prefix_length == len(own) or r.prefix_length == len(before) or own[r.prefix_length] != before[r.prefix_length])
     assert {(r.c, r.k): r.byte_length for r in encodings.delta_lengths(df, "s", "k", ["c"]).collect()} == {(c, k): len(s.encode()) for c, k, _, s in rows}
 
@@ -195,3 +195,28 @@ def test_bloom_bits(spark):
 def test_bloom_sizes(ndv, fpp):
     if ndv:
         assert bloom.blocks_for(ndv, fpp) >= 1
+
+
+def test_int96_order(spark):
+    """Days count before nanoseconds, whatever the order of the bytes."""
+    values = [(2440588, 5), (2440588, 86_399_999_999_999), (2440589, 0), (2451545, 1), (2440588, 256)]
+    rows = [(d, n, n.to_bytes(8, "little") + d.to_bytes(4, "little")) for d, n in values]
+    df = spark.createDataFrame([*rows, (0, 0, b"short")], "d long, n long, raw binary").withColumn("o", stats.int96_order(F.col("raw")))
+    got = [(r.d, r.n) for r in df.filter("o is not null").orderBy("o").collect()]
+    assert got == sorted(values) and df.filter("o is null").count() == 1
+
+
+def test_blocks_of_a_size():
+    assert [bloom.blocks_in(n) for n in (0, 1, 32, 33, 4096)] == [1, 1, 1, 2, 128]
+    with pytest.raises(ScanError):
+        bloom.blocks_in(-1)
+
+
+def test_string_decodes_refuse_what_does_not_fit(spark):
+    bad = spark.createDataFrame([(0, [2, 5], b"abc")], "c int, lengths array<int>, bytes binary")
+    with pytest.raises(Exception, match="lengths that the bytes"):
+        encodings.delta_length_decode(bad, ["c"]).collect()
+    worse = spark.createDataFrame([(0, 0, 0, b"ab"), (0, 1, 3, b"")], "c int, k int, prefix_length int, suffix binary")
+    with pytest.raises(Exception, match="prefix longer"):
+        encodings.prefix_decode(worse, "k", ["c"]).collect()
+    assert encodings.prefix_decode(worse.filter("false"), "k", ["c"]).count() == 0
