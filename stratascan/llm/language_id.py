@@ -221,16 +221,15 @@ def pieces_of(text: str | None, most: int = PIECES, size: int = PIECE) -> list[b
 
 def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, may_learn: Column, per_language: int = PER_LANGUAGE) -> list[tuple[bytes, str]]:
     """(piece, language) of the per_language documents of each language whose ids hash lowest, fewer where SAMPLE is less than that for all."""
-    rows = docs.filter(may_learn & F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.pmod(F.xxhash64(id_col), F.lit(1_000_000)).alias("h"), F.col(text_col).cast("string").alias("text"))
-    counts = rows.groupBy("lang").count()
-    found = counts.count()
+    text = F.col(text_col).cast("string")
+    rows = docs.filter(may_learn & F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(id_col), F.crc32(text.cast("binary"))).alias("h"), text.alias("text"))
+    found = rows.select("lang").distinct().count()
     if found > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
     each = max(1, min(per_language, SAMPLE // max(1, found)))
-    few = F.broadcast(counts.select("lang", (1_000_000 * F.least(F.lit(1.0), F.lit(1.3 * each + 20) / F.col("count")) + 1).alias("under")))
-    # The few that may be among the lowest, then those that are; ranks are cut before the shuffle too.
-    order = Window.partitionBy("lang").orderBy("h", F.crc32(F.col("text").cast("binary")), "text")
-    picked = rows.join(few, "lang").filter(F.col("h") < F.col("under")).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= each).select("lang", "text")
+    lowest = lambda df, *order: df.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).filter(F.col("place") <= each)  # cut before the shuffle, too
+    last = F.broadcast(lowest(rows.select("lang", "h"), "h").groupBy("lang").agg(F.max("h").alias("last")))  # a row a language
+    picked = lowest(rows.join(last, "lang").filter(F.col("h") <= F.col("last")), "h", "text").select("lang", "text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -265,4 +264,5 @@ def keep_identified(docs: DataFrame, net: BiGru | None, text_col: str = "text",
                 got = predict(net, part.column(names.index(text_col)).to_pylist())
                 yield part.filter(pa.array([x != "und" and s >= least for x, s in got], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    plain = docs.toDF(*[f"_{k}" for k in range(len(names))])  # mapInArrow looks columns up by name, and odd names mean other things there
+    return plain.mapInArrow(run, plain.schema).toDF(*names)

@@ -1,6 +1,8 @@
 from collections import Counter
 
-from stratascan.llm import host_rules
+import duckdb
+
+from stratascan.llm import host_rules, queries
 
 
 def brute(text):
@@ -53,3 +55,19 @@ def test_no_python_in_the_plans(spark, monkeypatch):
     plans.append(host_rules.judge(docs)._jdf.queryExecution().executedPlan().toString())
     assert len(plans) == 3
     assert not any(word in p for p in plans for word in ("Python", "Pandas", "Arrow"))
+
+
+def test_a_failing_host_against_sql(spark, tmp_path):
+    """The query's SQL over a table in which one host fails, for its symbols, and another by a hair doesn't; ids may be null."""
+    good = " ".join(f"word{k}" for k in range(80))
+    rows = [(k, f"{good} {k}", f"fine{k % 5}") for k in range(100)] + [(1000 + k, good + " $$$ ### ***" * (1 + k % 4), "symbols") for k in range(60)]
+    rows += [(2000 + k, "short" if k % 2 else good, "half") for k in range(40)] + [(None, good, "symbols"), (None, None, None), (7, good, None)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op4_host_rules(spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.sql(queries.OP4_SQL)
+    key = lambda r: tuple(map(str, r))
+    assert sorted(map(key, got.collect())) == sorted(map(key, want.select(*got.columns).fetchall()))
+    failed = got.filter("host_failed")
+    assert failed.count() == 61 and failed.filter("NOT base_failed").count() > 50 and got.filter("doc_id BETWEEN 2000 AND 2040 AND host_failed").count() == 0

@@ -67,3 +67,22 @@ def test_stages_against_brute_force(spark, tmp_path):
 def test_empty(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_odd_rows(spark, tmp_path):
+    """Columns with the names that stages use, null ids, a very long text, rows that repeat: every stage's columns and rows stay whole."""
+    rows = [(*r, 1.5, "k", 7, None) for r in make()[:80]]
+    long = text("xx", 60_000)
+    rows += [(900, long, "xx", "src0", len(long), 0.0, "k", 7, "x")] * 2 + [(None, text("yy", 80), "yy", "src1", 9, 0.0, None, 7, "x"), (None, text("yy", 90), "yy", None, 9, 0.0, None, 7, "x")]
+    names = "doc_id long, text string, lang string, source string, n_chars long, fp double, `key` string, size int, `row.key` string"
+    docs = spark.createDataFrame(rows, names)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    kept = []
+    for name, stage in corpus_pipeline.STAGES:
+        columns, docs = docs.columns, stage(spark, docs, str(tmp_path))
+        docs.write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        assert name == corpus_pipeline.STAGES[-1][0] or docs.columns == columns
+        kept.append(Counter(r.doc_id for r in docs.collect()))
+    assert kept[0][900] == 2 and kept[1][900] == kept[2][900] == 1 and all(k[None] == 2 for k in kept[:3])
+    assert 0 < sum(kept[3].values()) == sum(kept[4].values())
