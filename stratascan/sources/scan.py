@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 import pyarrow as pa
 from py4j.protocol import Py4JJavaError
@@ -44,6 +45,18 @@ def open_table(spark: SparkSession, path: str, verify_checksums: bool = True, en
     return df if columns is None else project(df, columns)
 
 
+@contextmanager
+def row_reader(spark: SparkSession) -> Iterator[None]:
+    """Within it, plans read Parquet row by row: slower than the vectorized reader, but right in every encoding, so that open_table(engine="spark") needs no look at footers."""
+    key = "spark.sql.parquet.enableVectorizedReader"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, old)
+
+
 def _unsafe(spark: SparkSession, df: DataFrame, path: str, inspect: str) -> bool:
     uris = df.inputFiles()
     if inspect == "first" or len(uris) <= FEW_FILES:

@@ -293,6 +293,9 @@ def test_spark_alone_misreads_delta_strings(spark, tmp_path):
     sink.write(df, f"{tmp_path}/d.parquet", sink.WriterOptions(version_2=True, dictionary=False))
     wrong = lambda **how: sum(r.v != f"key {r.k:05}" for r in scan.open_table(spark, f"{tmp_path}/d.parquet", **how).collect())
     assert wrong(engine="spark") > 0 == wrong()
+    with scan.row_reader(spark):
+        assert wrong(engine="spark") == 0
+    assert wrong(engine="spark") > 0
 
 
 def test_nested_schema_elements(spark, tmp_path):
