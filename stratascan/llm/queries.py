@@ -30,7 +30,9 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = host_rules.judge(_table(spark, sf_dir, "documents"))
+    # Native: no Python looks at footers, so Spark's row reader, which reads any encoding right, is taken. Texts are read within judge().
+    with scan.row_reader(spark):
+        out = host_rules.judge(scan.open_table(spark, f"{sf_dir}/documents.parquet", engine="spark"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_failed")
 
 

@@ -1,6 +1,7 @@
 from collections import Counter
 
 import duckdb
+from pyspark.sql.classic.dataframe import DataFrame
 
 from stratascan.llm import host_rules, queries
 
@@ -42,7 +43,7 @@ def test_empty(spark):
     assert host_rules.judge(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
 
 
-def test_no_python_in_the_plans(spark, monkeypatch):
+def test_no_python_in_the_plans(spark, monkeypatch, tmp_path):
     plans = []
     staged = host_rules.common.stage
 
@@ -53,7 +54,11 @@ def test_no_python_in_the_plans(spark, monkeypatch):
     monkeypatch.setattr(host_rules.common, "stage", watched)
     docs = spark.createDataFrame([(1, "a b c", "s")], "doc_id long, text string, source string")
     plans.append(host_rules.judge(docs)._jdf.queryExecution().executedPlan().toString())
-    assert len(plans) == 3
+    many = spark.createDataFrame([(k, "a b c", "s") for k in range(40)], "doc_id long, text string, source string")
+    many.repartition(20).write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(DataFrame, "mapInArrow", None)  # nor anywhere beside them
+    plans.append(queries.op4_host_rules(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString())  # over more files than are looked at on the driver
+    assert len(plans) == 6
     assert not any(word in p for p in plans for word in ("Python", "Pandas", "Arrow"))
 
 
