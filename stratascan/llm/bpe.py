@@ -12,7 +12,8 @@ two halves re-encodes a window around the cut, growing it until both sides agree
   equal those of the halves thus gives the exact encoding. Leaves go to the library as one batch,
   which its threads encode in parallel.
 
-The same piece always has the same ids, so each worker remembers pieces, up to a bound.
+The same piece always has the same ids, so each worker remembers pieces, up to a bound; when that is
+reached, those in use since the time before are kept.
 
 Defined results: a null text is encoded as the empty one (no ids); special tokens written in a text
 get their id, as in the library's default; rows that repeat are encoded each.
@@ -53,10 +54,11 @@ class TreeCodec:
     """Encoder and decoder for one byte-level BPE file of the tokenizers library.
 
     leaf: characters of text that are pre-tokenized at once. piece_leaf: bytes of an unsplit piece
-    that are encoded at once. remembered: pieces a worker keeps.
+    that are encoded at once. remembered: pieces in a worker's cache,
+    beside which it keeps the one before.
     """
 
-    def __init__(self, path: str, leaf: int = 4096, piece_leaf: int = 512, remembered: int = 200_000):
+    def __init__(self, path: str, leaf: int = 4096, piece_leaf: int = 512, remembered: int = 250_000):
         self.leaf, self.piece_leaf, self.remembered = max(leaf, 2), max(piece_leaf, 2), remembered
         whole = Tokenizer.from_file(path)
         whole.no_truncation(), whole.no_padding()
@@ -73,6 +75,7 @@ class TreeCodec:
         self.decimal = {i: str(i) for i in self.token_bytes}
         self.from_latin = {b: c for b, c in enumerate(self.mapped) if ord(c) != b}
         self.cache: dict[str, tuple[str, bytes]] = {}
+        self.older: dict[str, tuple[str, bytes]] = {}  # the last full cache: what is still in use comes back from it
 
     # ---- pieces of a text
 
@@ -161,8 +164,11 @@ class TreeCodec:
             split.append([x if x in special else self.pieces(x) for x in parts if x])
         new = {x for parts in split for pieces in parts if type(pieces) is list for x in set(pieces).difference(self.cache)}
         if len(self.cache) + len(new) > self.remembered:
-            self.cache.clear()
+            self.older, self.cache = self.cache, {}
             new = {x for parts in split for pieces in parts if type(pieces) is list for x in pieces}
+        if again := new & self.older.keys():
+            self.cache.update(zip(again, map(self.older.__getitem__, again)))
+            new -= again
         if new:
             self.learn(list(new))
         cache, out = self.cache, []
