@@ -40,7 +40,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, digests of ids and decoded text, and the ids, for each row of the mix."""
-    return bpe.encode_digests(docs, tokenizer_path, with_ids=True)
+    return bpe.encode_digests(docs, tokenizer_path, with_ids=True, remembered=100_000)  # beside what earlier stages hold
 
 
 STAGES = [
