@@ -13,6 +13,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from stratascan.llm import queries
+from stratascan.sources import sink
 from tests.llm.test_line_dedup import brute as brute_repeats
 from tests.llm.test_line_dedup import flat
 from tests.llm.test_mixing import brute_targets
@@ -130,3 +131,13 @@ def test_op10(spark):
     assert len(rows) == len(lang) and all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in rows)
     held = [lang[r.doc_id] == r.lang_pred for r in rows if r.held_out]
     assert sum(held) / len(held) > 0.97
+
+
+def test_tables_are_read_right_in_every_encoding(spark, tmp_path):
+    """Texts in an encoding that Spark's vectorized reader gets wrong come right to the queries, to the one without Python too."""
+    texts = [(k, f"a line of its own, number {k:05}", "s") for k in range(2000)]
+    rows = spark.createDataFrame(texts, "doc_id long, text string, source string").coalesce(1)
+    sink.write(rows, f"{tmp_path}/documents.parquet", sink.WriterOptions(version_2=True, dictionary=False))
+    want = {k: hashlib.sha256(t.encode()).hexdigest() for k, t, _ in texts}
+    assert {r.doc_id: r.text_sha256 for r in run(spark, "op7_exact_dedup", tmp_path).collect()} == want
+    assert {r.word_chars for r in run(spark, "op4_host_rules", tmp_path).collect()} == {len(texts[0][1].replace(" ", ""))}
