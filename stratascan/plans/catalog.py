@@ -126,7 +126,8 @@ def read_row_range(spark, sf_dir):
 def rows_by_row_group(spark, sf_dir):
     path = f"{sf_dir}/orders.parquet"
     rows = scan.with_row_groups(scan.with_rows(table(spark, sf_dir, "orders").select("o_orderkey")), footers.footer_row_groups(spark, path))
-    return rows.groupBy("row_group").agg(F.count(F.lit(1)).alias("n_rows"), F.min("o_orderkey").alias("first_key"), F.max("o_orderkey").alias("last_key"), F.max("position").alias("last_position"))
+    groups = rows.groupBy("file_path", "row_group")  # each file has a row group 0
+    return groups.agg(F.count(F.lit(1)).alias("n_rows"), F.min("o_orderkey").alias("first_key"), F.max("o_orderkey").alias("last_key"), F.max("position").alias("last_position")).drop("file_path")
 
 
 @query("SELECT count(*) AS n_rows FROM lineitem")

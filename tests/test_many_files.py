@@ -1,0 +1,14 @@
+"""Queries over tables of several files and row groups, which the tables of tests/test_queries.py are not."""
+
+import pyarrow as pa
+import pyarrow.parquet as pq
+
+from stratascan.plans import catalog
+
+
+def test_row_groups_of_two_files_are_kept_apart(spark, tmp_path):
+    (tmp_path / "orders.parquet").mkdir()
+    for k, first in enumerate((0, 1000)):
+        pq.write_table(pa.table({"o_orderkey": pa.array(range(first, first + 250), pa.int64())}), tmp_path / f"orders.parquet/part-{k}.parquet", row_group_size=100)
+    got = sorted(map(tuple, catalog.rows_by_row_group(spark, str(tmp_path)).select("row_group", "n_rows", "first_key", "last_key", "last_position").collect()))
+    assert got == sorted((g, n, first + 100 * g, first + 100 * g + n - 1, n - 1) for first in (0, 1000) for g, n in enumerate((100, 100, 50)))
