@@ -9,7 +9,7 @@ from collections.abc import Callable
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import version_info
@@ -302,31 +302,35 @@ def validate_files(spark, sf_dir):
 
 @query("SELECT status, code, files FROM (VALUES ('CRC_MISMATCH', 71, CAST(1 AS BIGINT)), ('OK', 0, CAST(1 AS BIGINT)), ('INVALID_MAGIC', 20, CAST(1 AS BIGINT))) AS t(status, code, files)")
 def validate_damaged(spark, sf_dir):
-    """A file, one with a byte of its first page changed, and one whose leading bytes are others: pages are held against their CRC."""
+    """A table as it is, with a byte of each file's first page changed, and with other leading bytes: pages are held against their CRC. Counts the tables with files so."""
     path = scratch(spark, "checked")
-    sink.write(table(spark, sf_dir, "supplier").coalesce(1), path, sink.WriterOptions(dictionary=False))
-    content = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path).select("path", "content")
-    place = footers.footer_columns(spark, path).filter("column = 0").agg((F.min("data_offset") + F.min("compressed_size") - 4).cast("int")).first()[0]
+    sink.write(table(spark, sf_dir, "supplier"), path, sink.WriterOptions(dictionary=False))
+    content = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path).select("content")
 
     def three(batches):
+        import pyarrow.parquet as pq
+
         for batch in batches:
-            for uri, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for raw in batch.column(0).to_pylist():
+                chunk = pq.ParquetFile(pa.BufferReader(raw)).metadata.row_group(0).column(0)
+                place = chunk.data_page_offset + chunk.total_compressed_size - 4
                 changed = raw[:place] + bytes([raw[place] ^ 1]) + raw[place + 1 :]
                 for name, data in (("as-is", raw), ("changed", changed), ("other", b"XXXX" + raw[4:])):
                     yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([data], pa.binary())], ["name", "content"])
 
-    return checks.validate_buffers(content.mapInArrow(three, "name string, content binary"), "name", "content").groupBy("status", "code").agg(F.count(F.lit(1)).alias("files"))
+    return checks.validate_buffers(content.mapInArrow(three, "name string, content binary"), "name", "content").groupBy("status", "code").agg(F.countDistinct("name").alias("files"))
 
 
 @query("SELECT 'event_id' AS \"column\", count(*) AS rows, CAST(0 AS BIGINT) AS nulls, min(event_id) AS low, max(event_id) AS high, 'ASCENDING' AS boundary_order, count(*) > 4000 AS many_pages FROM events")
 def page_index_pages(spark, sf_dir):
-    """Pages of a file in order of a key: their bounds are the file's, and each begins where the one before ended."""
+    """Pages of files in order of a key: their bounds are the files', and each begins where the one before ended."""
     path = scratch(spark, "paged")
-    sink.write(table(spark, sf_dir, "events").select("event_id").coalesce(1).sortWithinPartitions("event_id"), path, sink.WriterOptions(page_size=8192, dictionary=False))
+    sink.write(table(spark, sf_dir, "events").select("event_id").repartitionByRange("event_id").sortWithinPartitions("event_id"), path, sink.WriterOptions(page_size=8192, dictionary=False))
     pages = page_index.page_index(spark, path)
     low, high = (hashing.from_little_endian(F.col(c)) for c in ("min_bytes", "max_bytes"))
     rows = footers.footer_files(spark, path).agg(F.sum("num_rows")).first()[0]
-    found = pages.filter((F.col("first_row") == low) & ~F.col("null_page"))  # keys count from 0 here, so a page's first key is its first row
+    pages = pages.withColumn("start", F.min(low).over(Window.partitionBy("path", "row_group")))
+    found = pages.filter((F.col("start") + F.col("first_row") == low) & ~F.col("null_page"))  # keys have no gaps here, so a page's first key is its row group's and the rows since
     return found.groupBy("column", "boundary_order").agg(F.lit(rows).alias("rows"), F.sum("null_count").alias("nulls"), F.min(low).alias("low"), F.max(high).alias("high"), (F.count(F.lit(1)) > 1).alias("many_pages"))
 
 
@@ -356,7 +360,7 @@ def written_codecs(spark, sf_dir):
     out = []
     for codec in _WRITTEN:
         path = scratch(spark, f"codec_{codec}")
-        sink.write(table(spark, sf_dir, "supplier").coalesce(1), path, sink.WriterOptions(compression=codec))
+        sink.write(table(spark, sf_dir, "supplier"), path, sink.WriterOptions(compression=codec))
         chunks = footers.footer_columns(spark, path).agg(F.lit(codec).alias("asked"), F.max("codec").alias("codec"), (F.sum("compressed_size") < F.sum("uncompressed_size")).alias("smaller"))
         back = scan.open_table(spark, path, engine="arrow" if codec == "lz4" else "auto").agg(F.count(F.lit(1)).alias("num_rows"), F.sum("s_suppkey").alias("key_sum"))
         out.append(chunks.crossJoin(F.broadcast(back)))  # one row each
@@ -381,10 +385,12 @@ def roundtrip_delta_encodings(spark, sf_dir):
 @query("SELECT count(*) AS num_rows, true AS several, true AS gapless FROM lineitem")
 def roundtrip_row_groups(spark, sf_dir):
     path = scratch(spark, "groups")
-    sink.write(table(spark, sf_dir, "lineitem").coalesce(1), path, sink.WriterOptions(row_group_size=256 << 10, page_size=16 << 10))
-    groups = footers.footer_row_groups(spark, path)
+    sink.write(table(spark, sf_dir, "lineitem"), path, sink.WriterOptions(row_group_size=256 << 10, page_size=16 << 10))
     ends = F.max(F.col("first_row") + F.col("num_rows")) == F.sum("num_rows")
-    return groups.agg(F.sum("num_rows").alias("num_rows"), ((F.count(F.lit(1)) > 1) & (F.countDistinct("row_group") == F.count(F.lit(1)))).alias("several"), ends.alias("gapless"))
+    apart = F.countDistinct("row_group") == F.count(F.lit(1))
+    by_file = footers.footer_row_groups(spark, path).groupBy("path").agg(F.sum("num_rows").alias("num_rows"), F.count(F.lit(1)).alias("groups"), apart.alias("apart"), ends.alias("gapless"))
+    several = F.coalesce(F.bool_or(F.col("groups") > 1) & F.bool_and("apart"), F.lit(False))  # the last file may be small
+    return by_file.agg(F.sum("num_rows").alias("num_rows"), several.alias("several"), F.bool_and("gapless").alias("gapless"))
 
 
 @query("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_orderkey = 1234 OR l_orderkey = 7")

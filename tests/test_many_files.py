@@ -1,9 +1,16 @@
 """Queries over tables of several files and row groups, which the tables of tests/test_queries.py are not."""
 
+from pathlib import Path
+
+import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
+import pytest
 
 from stratascan.plans import catalog
+from stratascan.sources import sink
+
+DATA = Path("/root/testdata/sf0.1")
 
 
 def test_row_groups_of_two_files_are_kept_apart(spark, tmp_path):
@@ -12,3 +19,32 @@ def test_row_groups_of_two_files_are_kept_apart(spark, tmp_path):
         pq.write_table(pa.table({"o_orderkey": pa.array(range(first, first + 250), pa.int64())}), tmp_path / f"orders.parquet/part-{k}.parquet", row_group_size=100)
     got = sorted(map(tuple, catalog.rows_by_row_group(spark, str(tmp_path)).select("row_group", "n_rows", "first_key", "last_key", "last_position").collect()))
     assert got == sorted((g, n, first + 100 * g, first + 100 * g + n - 1, n - 1) for first in (0, 1000) for g, n in enumerate((100, 100, 50)))
+
+
+KEYS = {"lineitem": "l_orderkey", "events": "event_id", "supplier": "s_suppkey"}
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="no test tables")
+@pytest.mark.parametrize("name,of", [("roundtrip_row_groups", "lineitem"), ("page_index_pages", "events"), ("written_codecs", "supplier"), ("validate_damaged", "supplier")])
+def test_tables_are_written_by_many_tasks(spark, tmp_path, monkeypatch, name, of):
+    """A table of four files isn't gathered into one task, and the result is as its SQL has it."""
+    for k in range(4):
+        (tmp_path / f"{of}.parquet").mkdir(exist_ok=True)
+        rows = duckdb.sql(f"SELECT * FROM (SELECT *, ntile(4) OVER (ORDER BY {KEYS[of]}) - 1 AS part FROM '{DATA}/{of}.parquet') WHERE part = {k}")
+        rows.write_parquet(str(tmp_path / f"{of}.parquet/part-{k}.parquet"))
+    tasks, write = [], sink.write
+    # Page indexes sort by key: on tables as small as this one, adaptive execution would join the few partitions again.
+    for key, value in {"spark.sql.files.openCostInBytes": "64m", "spark.sql.adaptive.coalescePartitions.enabled": "false"}.items():
+        spark.conf.set(key, value)
+    monkeypatch.setattr(sink, "write", lambda df, path, *a, **b: (tasks.append(df.rdd.getNumPartitions()), write(df, path, *a, **b)))
+    try:
+        out = catalog.QUERIES[name](spark, str(tmp_path))
+        got = sorted(map(str, (tuple(r) for r in out.collect())))
+    finally:
+        for key in ("spark.sql.files.openCostInBytes", "spark.sql.adaptive.coalescePartitions.enabled"):
+            spark.conf.unset(key)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW {of} AS SELECT * FROM '{tmp_path}/{of}.parquet/*.parquet'")
+    sql = ", ".join(f'"{c}"' for c in out.columns)
+    assert got == sorted(map(str, con.sql(f"SELECT {sql} FROM ({catalog.SQL[name]})").fetchall()))
+    assert min(tasks) >= 4
