@@ -108,14 +108,19 @@ def _slices(lengths: list[int], raw: bytes) -> list[bytes]:
     return [raw[a:b] for a, b in zip([0, *ends], ends)]
 
 
+def _shared_bytes(v: Column, b: Column) -> Column:
+    """How many leading bytes two binaries share: the number's bits from the highest down, each set if the bytes that it adds are equal too. A null shares all."""
+    n = F.least(F.octet_length(v), F.octet_length(b))
+    steps = F.array(*(F.lit(1 << k) for k in reversed(range(31))))
+    equal = lambda at, step: F.coalesce(F.substring(v, at + 1, step) == F.substring(b, at + 1, step), F.lit(True))
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when((step <= n - at) & equal(at, step), at + step).otherwise(at))
+
+
 def prefix_encode(df: DataFrame, value: str, order: str, within: Sequence[str]) -> DataFrame:
     """(within, order, prefix_length, suffix): bytes shared with the value before, and the rest of the bytes."""
     before = F.coalesce(F.lag(value).over(_in(within, order)), F.lit("")).cast("binary")
     rows = df.select(*within, order, F.col(value).cast("binary").alias("_v"), before.alias("_b"))
-    n = F.least(F.octet_length("_v"), F.octet_length("_b"))
-    differs = F.filter(F.sequence(F.lit(1), n), lambda k: F.substring(F.col("_v"), k, F.lit(1)) != F.substring(F.col("_b"), k, F.lit(1)))
-    shared = F.when(n == 0, F.lit(0)).otherwise(F.coalesce(F.get(differs, F.lit(0)) - 1, n))
-    rows = rows.withColumn("prefix_length", shared.cast("int"))
+    rows = rows.withColumn("prefix_length", _shared_bytes(F.col("_v"), F.col("_b")))
     return rows.select(*within, order, "prefix_length", F.expr("substring(_v, prefix_length + 1)").alias("suffix"))
 
 

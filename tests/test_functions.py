@@ -220,3 +220,20 @@ def test_string_decodes_refuse_what_does_not_fit(spark):
     with pytest.raises(Exception, match="prefix longer"):
         encodings.prefix_decode(worse, "k", ["c"]).collect()
     assert encodings.prefix_decode(worse.filter("false"), "k", ["c"]).count() == 0
+
+
+def test_prefixes_of_long_texts(spark):
+    """Steps grow with the logarithm of a text's length: two million bytes take no list of two million numbers."""
+    rng, texts = random.Random(5), [None, "", "a", "ab", "ab", "b"]
+    texts += ["x" * rng.randrange(600) + rng.choice(["", "é", "è", "y"]) + "z" * rng.randrange(3) for _ in range(150)]
+    texts += ["q" * n for n in (1, 127, 128, 129, 255, 256, 257, 0, 2_000_000, 2_000_001, 1_999_999)] + ["q" * 1_500_000 + "r" + "q" * 500_000]
+    df = spark.createDataFrame([(0, k, t) for k, t in enumerate(texts)], "c int, k int, s string")
+    coded = encodings.prefix_encode(df, "s", "k", ["c"])
+    assert "sequence(" not in coded._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.k: (r.prefix_length, r.suffix) for r in coded.collect()}
+    for k, (before, own) in enumerate(zip([None, *texts], texts)):
+        if own is None:
+            continue
+        a, b = (before or "").encode(), own.encode()
+        n = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+        assert (got[k][0], bytes(got[k][1])) == (n, b[n:]), k
