@@ -237,3 +237,11 @@ def test_prefixes_of_long_texts(spark):
         a, b = (before or "").encode(), own.encode()
         n = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
         assert (got[k][0], bytes(got[k][1])) == (n, b[n:]), k
+
+
+def test_long_texts_come_back_from_prefixes(spark):
+    texts = ["p" * n + tail for n in (0, 1_000_000, 999_999, 1_000_001, 5) for tail in ("", "é", "è")]
+    df = spark.createDataFrame([(c, k, t) for c in range(2) for k, t in enumerate(texts)], "c int, k int, s string")
+    back = encodings.prefix_decode(encodings.prefix_encode(df, "s", "k", ["c"]), "k", ["c"])
+    assert "sequence(" not in back._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.c, r.pos): bytes(r.value).decode() for r in back.collect()} == {(c, k): t for c in range(2) for k, t in enumerate(texts)}
