@@ -16,6 +16,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Values of so many bytes leave a Python worker at once; a longer one alone.
+BATCH_BYTES = 1 << 24
+
+
 def _in(within: Sequence[str], order: str):
     return Window.partitionBy(*within).orderBy(order)
 
@@ -109,36 +113,54 @@ def _slices(lengths: list[int], raw: bytes) -> list[bytes]:
 
 
 def _shared_bytes(v: Column, b: Column) -> Column:
-    """How many leading bytes two binaries share: the number's bits from the highest down, each set if the bytes that it adds are equal too. A null shares all."""
-    n = F.least(F.octet_length(v), F.octet_length(b))
+    """How many leading bytes two binaries share: the number's bits from the highest down, each set if the bytes that it adds are equal too. A null shares all.
+
+    The pair is a list's only element: a step on a column would copy the whole binary out of its row each time it looks at it.
+    """
     steps = F.array(*(F.lit(1 << k) for k in reversed(range(31))))
-    equal = lambda at, step: F.coalesce(F.substring(v, at + 1, step) == F.substring(b, at + 1, step), F.lit(True))
-    return F.aggregate(steps, F.lit(0), lambda at, step: F.when((step <= n - at) & equal(at, step), at + step).otherwise(at))
+
+    def shared(pair: Column) -> Column:
+        v, b = pair["v"], pair["b"]
+        n = F.least(F.octet_length(v), F.octet_length(b))
+        equal = lambda at, step: F.coalesce(F.substring(v, at + 1, step) == F.substring(b, at + 1, step), F.lit(True))
+        return F.aggregate(steps, F.lit(0), lambda at, step: F.when((step <= n - at) & equal(at, step), at + step).otherwise(at))
+
+    return F.get(F.transform(F.array(F.struct(v.alias("v"), b.alias("b"))), shared), F.lit(0))
 
 
 def prefix_encode(df: DataFrame, value: str, order: str, within: Sequence[str]) -> DataFrame:
     """(within, order, prefix_length, suffix): bytes shared with the value before, and the rest of the bytes."""
-    before = F.coalesce(F.lag(value).over(_in(within, order)), F.lit("")).cast("binary")
-    rows = df.select(*within, order, F.col(value).cast("binary").alias("_v"), before.alias("_b"))
-    rows = rows.withColumn("prefix_length", _shared_bytes(F.col("_v"), F.col("_b")))
+    rows = df.select(*within, order, F.col(value).cast("binary").alias("_v"))  # the value once, as bytes, is what the window shuffles
+    before = F.coalesce(F.lag("_v").over(_in(within, order)), F.lit(b""))
+    rows = rows.withColumn("_b", before).withColumn("prefix_length", _shared_bytes(F.col("_v"), F.col("_b")))
     return rows.select(*within, order, "prefix_length", F.expr("substring(_v, prefix_length + 1)").alias("suffix"))
 
 
 def prefix_decode(encoded: DataFrame, order: str, within: Sequence[str]) -> DataFrame:
-    """(within, pos, value): the values of prefix_encode again, as bytes. Each is made of the one before, so a chunk is one list, as in a file."""
-    rows = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), "prefix_length", "suffix")))
-    chunks = encoded.groupBy(*within).agg(rows.alias("_rows"))
-    chunks = chunks.select(*within, F.transform("_rows", lambda r: r["prefix_length"]).alias("prefixes"), F.transform("_rows", lambda r: r["suffix"]).alias("suffixes"))
-
-    def values(r: dict) -> list[bytes]:
-        out, last = [], b""
-        for n, suffix in zip(r["prefixes"], r["suffixes"]):
-            if n > len(last):
-                raise ValueError("a prefix longer than the value before")
-            out.append(last := last[:n] + suffix)
-        return out
+    """(within, pos, value): the values of prefix_encode again, as bytes. Each is made of the one before, so a chunk's rows come in order, one by one; no chunk is ever held whole."""
+    types = dict(encoded.dtypes)
+    # The window deals rows by chunk and sorts them, and leaves them so: rows of prefix_encode already are, and stay where they are.
+    placed = encoded.select(*within, (F.row_number().over(_in(within, order)) - 1).cast("long").alias("pos"), "prefix_length", "suffix")
 
-    return _chunk_values(chunks, within, values)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, due = b"", 0
+        for batch in batches:
+            *same, at, prefixes, suffixes = batch.columns
+            start, size, out = 0, 0, []
+            for pos, n, suffix in zip(*(c.to_pylist() for c in (at, prefixes, suffixes))):
+                if pos == 0:
+                    last = b""
+                elif pos != due:
+                    raise ValueError("a chunk's rows out of order")
+                if n > len(last):
+                    raise ValueError("a prefix longer than the value before")
+                out.append(last := last[:n] + suffix)
+                due, size = pos + 1, size + len(last)
+                if size >= BATCH_BYTES or start + len(out) == batch.num_rows:
+                    yield pa.RecordBatch.from_arrays([*(c.slice(start, len(out)) for c in [*same, at]), pa.array(out, pa.binary())], [*within, "pos", "value"])
+                    start, size, out = start + len(out), 0, []
+
+    return placed.mapInArrow(run, ", ".join([*(f"`{c}` {types[c]}" for c in within), "pos long", "value binary"]))
 
 
 def _chunk_values(chunks: DataFrame, within: Sequence[str], values: Callable[[dict], list[bytes]]) -> DataFrame:

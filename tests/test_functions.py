@@ -245,3 +245,19 @@ def test_long_texts_come_back_from_prefixes(spark):
     back = encodings.prefix_decode(encodings.prefix_encode(df, "s", "k", ["c"]), "k", ["c"])
     assert "sequence(" not in back._jdf.queryExecution().optimizedPlan().toString()
     assert {(r.c, r.pos): bytes(r.value).decode() for r in back.collect()} == {(c, k): t for c in range(2) for k, t in enumerate(texts)}
+
+
+def test_prefixes_are_decoded_row_by_row(spark):
+    """Chunks are no lists: rows stay where the window put them, go through in small batches, and the value is shuffled once."""
+    rng = random.Random(3)
+    texts = {(c, k): "p" * rng.randrange(40) + rng.choice(["", "é", "è"]) for c in range(5) for k in range(rng.randrange(1, 60))}
+    texts |= {(9, k): "q" * 1_000_000 + str(k) for k in range(40)}
+    df = spark.createDataFrame([(*key, t) for key, t in texts.items()], "c int, k int, s string").repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        back = encodings.prefix_decode(encodings.prefix_encode(df, "s", "k", ["c"]), "k", ["c"])
+        plan = back._jdf.queryExecution().executedPlan().toString()
+        assert "collect_list" not in plan and plan.count("hashpartitioning") == 1 and "[lag(_v" in plan
+        assert {(r.c, r.pos): bytes(r.value).decode() for r in back.collect()} == texts
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
